@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, fm, licenses, mixing, quality, sharding, topk
+from gneiss.llm import bpe, fm, licenses, mixing, neardup, quality, sharding, topk
 
-_MODULES = (sharding, quality, licenses, topk, mixing, fm, bpe)
+_MODULES = (sharding, quality, licenses, topk, mixing, fm, bpe, neardup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
