@@ -6,10 +6,15 @@ m + m half-keys serve m * m tables. Documents that share no half-key of the
 first collection with any other leave before pairs are formed.
 
 Texts of equal shingle sets are one class from the start. Within a table's
-bucket the members meet a few pivots first, picked by orders that all buckets
-share; what a verified link has joined needs no further test. Then the pairs
-that still lie in different components are tested, all of them. A pair is
-tested by its minhashes and then on the full sets.
+bucket the members meet two pivots first: the one that meets most others in all
+tables (the original of a group of copies, as a rule) and one by hash. What a
+verified link has joined needs no further test. Of the pairs that still lie in
+different components, those are tested that a bound allows: two sets differ at
+least in the shingles that only one document has, and in as many of a common
+pivot's shingles as the numbers that they lack of it differ by. The bound is
+taken between cells of members with equal numbers, so that a large group of
+copies isn't paired out. A pair is tested by its minhashes and then on the full
+sets.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import LOWER, components, materialize, mix, pieces, table, windows, words
 
 PER_HALF = 3
-PIVOTS = 4
+BIG = 8  # members from which a component counts as one kind of its own
 _U = np.uint64
 
 
@@ -109,26 +114,22 @@ def _alike(pairs: DataFrame, sigs: DataFrame, similarity: float, n_hash: int) ->
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union of the full sets."""
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, i) of pairs: set sizes and the size of the intersection."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            out = np.zeros((batch.num_rows, 3), np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                out[k] = len(x), len(y), (both[1:] == both[:-1]).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(out[:, j])) for j in range(3))], ["a", "b", "na", "nb", "i"])
 
     joined = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, na long, nb long, i long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -164,26 +165,49 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sigs = whole.select("c", "sig")
     n_hash = 2 * halves * PER_HALF
     ratio = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    # A few pivots: in each order the bucket's first, for each member the one it meets most often.
-    tries = None
-    for k in range(PIVOTS):
-        order = F.struct(F.xxhash64("c", F.lit(k)), "c", "n")
-        pivots = buckets.groupBy("k").agg(F.min(order).alias("p")).select("k", F.col("p.c").alias("p"), F.col("p.n").alias("pn"))
-        pairs = buckets.join(pivots, "k").where(ratio).where("c <> p").groupBy("c", "p").agg(F.count("*").alias("m"))
-        best = pairs.groupBy("c").agg(F.max_by("p", F.struct("m", "p")).alias("p"))
-        best = best.select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b"))
-        tries = best if tries is None else tries.union(best)
-    tried = materialize(tries.distinct(), "tries")
-    links = materialize(_linked(_alike(tried, sigs, similarity, n_hash), sets, percent), "links")
+    # Two pivots of each bucket; each member tries the one that it meets most often.
+    sizes = buckets.groupBy("k").agg(F.count("*").alias("m"))
+    weight = buckets.join(sizes, "k").groupBy("c").agg(F.sum("m").alias("weight"))
+    weighed = materialize(buckets.join(weight, "c").select("k", "c", "n", "weight"), "weighed")
+    ranks = {"first": F.struct(-F.col("weight"), "c", "n"), "second": F.struct(F.xxhash64("c"), "c", "n")}
+    picks = weighed.groupBy("k").agg(*[F.min(order).alias(name) for name, order in ranks.items()])
+    picks = materialize(weighed.join(picks, "k").select("k", "c", "n", *[F.col(f"{r}.{f}").alias(f"{r}_{f}") for r in ranks for f in ("c", "n")]), "picks")
+    tries = []
+    for r in ranks:
+        pairs = picks.select("c", "n", F.col(f"{r}_c").alias("p"), F.col(f"{r}_n").alias("pn")).where(ratio).where("c <> p")
+        tries.append(pairs.groupBy("c", "p").agg(F.count("*").alias("m")).groupBy("c").agg(F.max_by("p", F.struct("m", "p")).alias("p")))
+    main = materialize(tries[0], "main-pivots")
+    tried = main.union(tries[1]).select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct()
+    tried = materialize(_common(_alike(tried, sigs, similarity, n_hash), sets), "tried")
+    linked = F.expr(f"100 * i >= {percent} * (na + nb - i)")
+    links = tried.where(linked).select("a", "b")
     comp = components(links)
     # The rest: pairs of a bucket in different components, not tested so far.
     held = buckets.join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
     mixed = held.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("k")
     held = materialize(held.join(mixed, "k").select("k", "c", "n", "g"), "mixed")
-    other = held.toDF("k", "p", "pn", "pg")
-    rest = held.join(other, "k").where("c > p and g <> pg").where(ratio).select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = materialize(_linked(_alike(rest, sigs, similarity, n_hash), sets, percent), "links")
+    own = held.select("c").distinct()
+    # Pivots are counted among them: what is in a pivot too is then not alone.
+    counted = own.union(own.join(main, "c").select("p")).distinct().toDF("doc_id")
+    alone = _alone(sets.join(counted.hint("shuffle_hash"), "doc_id", "left_semi"))
+    lacks = tried.select(F.col("a").alias("c"), F.col("b").alias("p"), (F.col("nb") - F.col("i")).alias("lacks"))
+    lacks = lacks.union(tried.select(F.col("b").alias("c"), F.col("a").alias("p"), (F.col("na") - F.col("i")).alias("lacks")))
+    lacks = main.join(lacks, ["c", "p"]).select("c", F.col("p").alias("pivot"), "lacks")
+    big = comp.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") >= BIG).select(F.col("component").alias("g"), F.lit(True).alias("big"))
+    about = own.join(lacks, "c", "left").join(alone, "c", "left")
+    about = about.select("c", F.coalesce("pivot", "c").alias("pivot"), F.coalesce("lacks", F.lit(0)).alias("lacks"), F.coalesce("alone", F.lit(0)).alias("alone"))
+    held = held.join(big, "g", "left").withColumn("kind", F.when(F.col("big"), F.col("g")))
+    held = materialize(held.join(about, "c").withColumn("cell", F.xxhash64("kind", "pivot", "n", "lacks", "alone")), "held")
+    cells = materialize(held.groupBy("k", "cell").agg(*[F.first(x).alias(x) for x in ("kind", "pivot", "n", "lacks", "alone")]), "cells")
+    other = cells.select("k", *[F.col(x).alias(f"p_{x}") for x in ("cell", "kind", "pivot", "n", "lacks", "alone")])
+    differ = f"alone + p_alone + case when pivot = p_pivot then abs(lacks - p_lacks) else 0 end"
+    near = cells.join(other, "k").where("cell <= p_cell and not coalesce(kind = p_kind, false)")
+    near = near.where(f"({differ}) * {100 + percent} <= {100 - percent} * (n + p_n)").where(ratio.replace("pn", "p_n"))
+    near = near.select("k", "cell", "p_cell")
+    some = near.join(held.select("k", "cell", "c", "g"), ["k", "cell"])
+    rest = some.join(held.select("k", F.col("cell").alias("p_cell"), F.col("c").alias("p"), F.col("g").alias("pg")), ["k", "p_cell"]).where("g <> pg")
+    rest = rest.select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = materialize(_common(_alike(rest, sigs, similarity, n_hash), sets), "links").where(linked).select("a", "b")
     comp = materialize(components(links.union(more)), "components")
     named = whole.select("s1", "s2", "c").join(comp.withColumnRenamed("node", "c"), "c", "left")
     named = named.select("s1", "s2", F.coalesce("component", "c").alias("component_id"))
@@ -193,6 +217,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """(c, alone): how many of a set's shingles no other of the sets has."""
+
+    def spell(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(1)]
+                own = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(sets))], ["c", "h"])
+
+    spelt = sets.select("doc_id", "set").mapInArrow(spell, "c long, h long")
+    single = spelt.groupBy("h").agg(F.min("c").alias("c"), F.count("*").alias("m")).where("m = 1")
+    return single.groupBy("c").agg(F.count("*").alias("alone"))
+
+
 def _repeats(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
 
