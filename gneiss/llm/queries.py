@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import bpe, fm, licenses, mixing, neardup, ppm, quality, sharding, topk
+from gneiss.llm import bpe, fm, licenses, mixing, neardup, ppm, quality, repeats, sharding, topk
 
-_MODULES = (sharding, quality, licenses, topk, mixing, fm, bpe, neardup, ppm)
+_MODULES = (sharding, quality, licenses, topk, mixing, fm, bpe, neardup, ppm, repeats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
