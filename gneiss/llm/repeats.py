@@ -327,7 +327,8 @@ def _one_each(df: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per row; with
-    ``with_text`` also cls and kept, the bytes left (null where nothing goes).
+    ``with_text`` also cls and kept, the text left (null where nothing goes; bytes
+    of a character that a cut splits are left out).
 
     Every byte goes that a ``least``-byte string covers which also starts
     anywhere else in the table, the same text included; strings overlap and are
@@ -358,11 +359,11 @@ def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -
                     kept.append(data[at:a])
                     at = b
                 kept = b"".join([*kept, data[at:]])
-                for k, v in (("cls", cls), ("n_removed", len(data) - len(kept)), ("n_spans", len(runs)), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept if with_text else None)):
+                for k, v in (("cls", cls), ("n_removed", len(data) - len(kept)), ("n_spans", len(runs)), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept.decode("utf-8", "ignore") if with_text else None)):
                     out[k].append(v)
-            yield _batch(pa, {k: pa.array(v, {"kept_sha256": pa.string(), "kept": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
+            yield _batch(pa, {k: pa.array(v, {"kept_sha256": pa.string(), "kept": pa.string()}.get(k, pa.int64())) for k, v in out.items()})
 
-    done = read.mapInArrow(cut, "cls long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = read.mapInArrow(cut, "cls long, n_removed long, n_spans long, kept_sha256 string, kept string")
     whole = copies.where("copies > 1").select("cls", F.lit(True).alias("copied"))
     out = brief.join(whole, "cls", "left").join(done, "cls", "left")
     gone = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= least)
@@ -373,7 +374,7 @@ def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         "cls",
-        F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
     )
     return out if with_text else out.drop("cls", "kept")
 
