@@ -1,0 +1 @@
+"""No streaming operator is part of the gateway: its queries are bounded."""
