@@ -255,8 +255,11 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFr
             outer = hashed.groupBy("outer", "from").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("outer", "from")
             both = hashed.join(outer, ["outer", "from"], "left_semi")
             spans.append(both.select("cls", "at", F.col("to").alias("back"), (F.lit(least) - F.col("from")).alias("ahead")))
-            rest = hashed.join(outer, ["outer", "from"], "left_anti").join(inner, ["inner", "from"], "left_semi")
-            hot = rest.select("cls", "at", F.explode(F.sequence("from", "to")).alias("from")).withColumn("to", F.col("from"))
+            rest = hashed.join(outer, ["outer", "from"], "left_anti").join(inner, ["inner", "from"], "left_semi").select("cls", "at", "from", "to", "inner")
+            # What is decided may still be what an undecided range repeats: one of a kind.
+            peers = both.groupBy("inner", "outer", "from").agg(F.min(F.struct("cls", "at", "to")).alias("s"))
+            peers = peers.join(rest.select("inner", "from").distinct(), ["inner", "from"], "left_semi").select("s.cls", "s.at", "from", "s.to")
+            hot = rest.drop("inner").union(peers).select("cls", "at", F.explode(F.sequence("from", "to")).alias("from")).withColumn("to", F.col("from"))
     every = spans[0]
     for more in spans[1:]:
         every = every.union(more)
