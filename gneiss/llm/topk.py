@@ -91,7 +91,8 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 5, scale: int = 256, b
     non-finite component take no part; an empty vector scores 0 with any other
     empty one; vectors meet only those of their own length. Ties go to the
     smaller vec_id; repeated rows count once and the query's own id is no
-    candidate. An empty table gives no rows.
+    candidate. Scores must fit 64 bits. An empty table
+    gives no rows.
     """
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("double"))
     sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
