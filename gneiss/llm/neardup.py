@@ -9,11 +9,13 @@ Texts of equal shingle sets are one class from the start. Within a table's
 bucket the members meet two pivots first: the one that meets most others in all
 tables (the original of a group of copies, as a rule) and one by hash. What a
 verified link has joined needs no further test. Of the pairs that still lie in
-different components, those are tested that a bound allows: two sets differ at
-least in the shingles that only one document has, and in as many of a common
-pivot's shingles as the numbers that they lack of it differ by. The bound is
-taken between cells of members with equal numbers, so that a large group of
-copies isn't paired out. A pair is tested by its minhashes and then on the full
+different components, those are tested that a bound allows. Two sets with a
+common pivot that share no shingle beside the pivot's differ in all of their
+others and in as many of the pivot's as the numbers that they lack of it differ
+by; those that do share one meet on it. Sets with different pivots differ at
+least in the shingles that only one document has. The bound is taken between
+cells of members with equal numbers, so that a large group of copies isn't
+paired out. A pair is tested by its minhashes and then on the full
 sets.
 """
 
@@ -171,13 +173,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     weighed = materialize(buckets.join(weight, "c").select("k", "c", "n", "weight"), "weighed")
     ranks = {"first": F.struct(-F.col("weight"), "c", "n"), "second": F.struct(F.xxhash64("c"), "c", "n")}
     picks = weighed.groupBy("k").agg(*[F.min(order).alias(name) for name, order in ranks.items()])
-    picks = materialize(weighed.join(picks, "k").select("k", "c", "n", *[F.col(f"{r}.{f}").alias(f"{r}_{f}") for r in ranks for f in ("c", "n")]), "picks")
+    picks = weighed.join(picks, "k").select("k", "c", "n", *[F.col(f"{r}.{f}").alias(f"{r}_{f}") for r in ranks for f in ("c", "n")], F.expr("-first.col1").alias("heavy"))
+    picks = materialize(picks, "picks")
     tries = []
     for r in ranks:
-        pairs = picks.select("c", "n", F.col(f"{r}_c").alias("p"), F.col(f"{r}_n").alias("pn")).where(ratio).where("c <> p")
-        tries.append(pairs.groupBy("c", "p").agg(F.count("*").alias("m")).groupBy("c").agg(F.max_by("p", F.struct("m", "p")).alias("p")))
-    main = materialize(tries[0], "main-pivots")
-    tried = main.union(tries[1]).select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct()
+        pairs = picks.select("c", "n", F.col(f"{r}_c").alias("p"), F.col(f"{r}_n").alias("pn"), "heavy").where(ratio).where("c <> p")
+        pairs = pairs.groupBy("c", "p").agg(F.count("*").alias("m"), F.max("heavy").alias("heavy"))
+        tries.append(pairs.groupBy("c").agg(F.max_by("p", F.struct("m", "p")).alias("p"), F.max_by("p", F.struct("heavy", "p")).alias("main")))
+    tries = [materialize(tries[0], "pivots"), tries[1]]
+    main = tries[0].select("c", F.col("main").alias("p"))
+    tried = main.union(tries[0].select("c", "p")).union(tries[1].select("c", "p"))
+    tried = tried.select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct()
     tried = materialize(_common(_alike(tried, sigs, similarity, n_hash), sets), "tried")
     linked = F.expr(f"100 * i >= {percent} * (na + nb - i)")
     links = tried.where(linked).select("a", "b")
@@ -190,22 +196,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # Pivots are counted among them: what is in a pivot too is then not alone.
     counted = own.union(own.join(main, "c").select("p")).distinct().toDF("doc_id")
     alone = _alone(sets.join(counted.hint("shuffle_hash"), "doc_id", "left_semi"))
-    lacks = tried.select(F.col("a").alias("c"), F.col("b").alias("p"), (F.col("nb") - F.col("i")).alias("lacks"))
-    lacks = lacks.union(tried.select(F.col("b").alias("c"), F.col("a").alias("p"), (F.col("na") - F.col("i")).alias("lacks")))
-    lacks = main.join(lacks, ["c", "p"]).select("c", F.col("p").alias("pivot"), "lacks")
+    lacks = tried.selectExpr("a AS c", "b AS p", "nb - i AS lacks", "na - i AS others").union(tried.selectExpr("b", "a", "na - i", "nb - i"))
+    lacks = own.join(main, "c").join(lacks, ["c", "p"]).select("c", F.col("p").alias("pivot"), "lacks", "others")
+    lacks = materialize(lacks, "lacks")
     big = comp.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") >= BIG).select(F.col("component").alias("g"), F.lit(True).alias("big"))
     about = own.join(lacks, "c", "left").join(alone, "c", "left")
-    about = about.select("c", F.coalesce("pivot", "c").alias("pivot"), F.coalesce("lacks", F.lit(0)).alias("lacks"), F.coalesce("alone", F.lit(0)).alias("alone"))
+    about = about.select("c", F.coalesce("pivot", "c").alias("pivot"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("lacks", "others", "alone")])
     held = held.join(big, "g", "left").withColumn("kind", F.when(F.col("big"), F.col("g")))
-    held = materialize(held.join(about, "c").withColumn("cell", F.xxhash64("kind", "pivot", "n", "lacks", "alone")), "held")
-    cells = materialize(held.groupBy("k", "cell").agg(*[F.first(x).alias(x) for x in ("kind", "pivot", "n", "lacks", "alone")]), "cells")
-    other = cells.select("k", *[F.col(x).alias(f"p_{x}") for x in ("cell", "kind", "pivot", "n", "lacks", "alone")])
-    differ = f"alone + p_alone + case when pivot = p_pivot then abs(lacks - p_lacks) else 0 end"
+    held = materialize(held.join(about, "c").withColumn("cell", F.xxhash64("kind", "pivot", "n", "lacks", "others", "alone")), "held")
+    cells = materialize(held.groupBy("k", "cell").agg(*[F.first(x).alias(x) for x in ("kind", "pivot", "n", "lacks", "others", "alone")]), "cells")
+    other = cells.select("k", *[F.col(x).alias(f"p_{x}") for x in ("cell", "kind", "pivot", "n", "lacks", "others", "alone")])
+    differ = "case when pivot = p_pivot then others + p_others + abs(lacks - p_lacks) else alone + p_alone end"
     near = cells.join(other, "k").where("cell <= p_cell and not coalesce(kind = p_kind, false)")
     near = near.where(f"({differ}) * {100 + percent} <= {100 - percent} * (n + p_n)").where(ratio.replace("pn", "p_n"))
     near = near.select("k", "cell", "p_cell")
     some = near.join(held.select("k", "cell", "c", "g"), ["k", "cell"])
     rest = some.join(held.select("k", F.col("cell").alias("p_cell"), F.col("c").alias("p"), F.col("g").alias("pg")), ["k", "p_cell"]).where("g <> pg")
+    rest = rest.select("c", "p")
+    # Members with a common pivot that share a shingle which it has not.
+    known = held.select("c", "n", "g").distinct()
+    beside = _beside(lacks.select("c", F.col("pivot").alias("p")), sets)
+    beside = beside.join(beside.groupBy("p", "h").agg(F.count("*").alias("m")).where("m > 1").select("p", "h"), ["p", "h"])
+    beside = materialize(beside.join(known, "c"), "beside")
+    peers = beside.select("p", "h", F.col("c").alias("q"), F.col("n").alias("pn"), F.col("g").alias("pg"))
+    rest = rest.union(beside.join(peers, ["p", "h"]).where("c > q and g <> pg").where(ratio).select("c", "q"))
     rest = rest.select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = materialize(_common(_alike(rest, sigs, similarity, n_hash), sets), "links").where(linked).select("a", "b")
     comp = materialize(components(links.union(more)), "components")
@@ -217,6 +231,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(c, p, h): the shingles of c that its pivot p has not."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = [np.setdiff1d(*(np.frombuffer(v.as_buffer(), np.int64) for v in both), assume_unique=True) for both in zip(part.column(2), part.column(3))]
+                size = [len(x) for x in found]
+                c, p = (np.repeat(part.column(k).to_numpy(), size) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(p), pa.array(np.concatenate(found))], ["c", "p", "h"])
+
+    joined = pairs.join(sets.toDF("c", "xc"), "c").join(sets.toDF("p", "xp"), "p").select("c", "p", "xc", "xp")
+    return joined.mapInArrow(run, "c long, p long, h long")
+
+
 def _alone(sets: DataFrame) -> DataFrame:
     """(c, alone): how many of a set's shingles no other of the sets has."""
 
