@@ -32,9 +32,10 @@ def read_ranks(data: bytes) -> list[bytes]:
 
 
 class Transducer:
-    """Encodes byte strings; keeps at most ``most`` determinised transitions."""
+    """Encodes byte strings; keeps at most ``most`` determinised transitions.
+    Vocabularies have less than 2^20 tokens."""
 
-    def __init__(self, tokens: list[bytes], most: int = 600_000):
+    def __init__(self, tokens: list[bytes], most: int = 900_000):
         self.tokens, self.most = tokens, most
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.next: list[dict[int, int]] = [{}]
@@ -50,7 +51,7 @@ class Transducer:
                 at = to
             self.ends[at] = i
         self.parts: dict[int, tuple[int, int]] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by (left << 20) | right
         self._forget()
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -70,9 +71,6 @@ class Transducer:
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border, from the last merge backwards."""
-        got = self.apart.get((left, right))
-        if got is not None:
-            return got
         a, b, before = left, right, len(self.tokens)
         while True:
             crossing = self.ids.get(self.tokens[a] + self.tokens[b])
@@ -90,28 +88,40 @@ class Transducer:
                 before, b = b + 1, pb[0]
         if len(self.apart) > self.most:
             self.apart.clear()
-        self.apart[left, right] = ok
+        self.apart[(left << 20) | right] = ok
         return ok
 
     def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        """Next state and what it emits."""
-        now = []
+        """Next state and what it emits. Every prefix has one encoding, so at
+        most one hypothesis can finish a token at a byte."""
+        now, finished, children, ends, apart = [], None, self.next, self.ends, self.apart
         for last, node, held in state:
-            to = self.next[node].get(byte)
+            to = children[node].get(byte)
             if to is None:
                 continue
-            if self.next[to]:
+            if children[to]:
                 now.append((last, to, held))
-            token = self.ends[to]
-            if token >= 0 and (last < 0 or self.stay_apart(last, token)):
-                now.append((token, 0, (*held, token)))
-        shared = 0
+            token = ends[to]
+            if token >= 0 and finished is None:
+                if last < 0:
+                    ok = True
+                else:
+                    ok = apart.get((last << 20) | token)
+                    if ok is None:
+                        ok = self.stay_apart(last, token)
+                if ok:
+                    finished = (token, 0, (*held, token))
+        if finished is not None:
+            now.append(finished)
         first = now[0][2]
+        if not first:
+            return tuple(now), first
+        shared = 0
         for k in range(min(len(h) for _, _, h in now)):
             if any(h[k] != first[k] for _, _, h in now):
                 break
             shared += 1
-        return tuple((last, node, held[shared:]) for last, node, held in now), first[:shared]
+        return tuple((last, node, held[shared:]) for last, node, held in now) if shared else tuple(now), first[:shared]
 
     def _forget(self) -> None:
         """Starts the determinised machine anew; state 0 is the initial one."""
@@ -179,7 +189,7 @@ class StreamDecoder:
     def __init__(self, tokens: list[bytes]):
         self.tokens, self.state, self.waiting = tokens, START, b""
         self.moves: dict[tuple, tuple | None] = {}
-        self.clean = [self._walk(START, t) == START for t in tokens]
+        self.split = frozenset(i for i, t in enumerate(tokens) if self._walk(START, t) != START)
 
     @staticmethod
     def _walk(state, data: bytes):
@@ -193,7 +203,9 @@ class StreamDecoder:
     def feed(self, ids) -> bytes:
         """The whole characters that are ready, as UTF-8."""
         data = b"".join(map(self.tokens.__getitem__, ids))
-        if not self.waiting and all(map(self.clean.__getitem__, ids)):
+        if not self.waiting and data.isascii():  # no byte leaves the start state
+            return data
+        if not self.waiting and self.split.isdisjoint(ids):
             return data
         state, broken = self.state, False
         for i in ids:
@@ -224,26 +236,32 @@ class StreamDecoder:
 
 
 class _Pieces(dict):
-    """Ids of the text between two spaces, led by ``before``."""
+    """Ids of the text between two spaces, led by ``before``. When ``most`` are
+    held, they become the old ones; what is asked for again comes back."""
 
     def __init__(self, coder: Coder, before: str, most: int):
         super().__init__()
-        self.coder, self.before, self.most = coder, before, most
+        self.coder, self.before, self.most, self.old = coder, before, most, {}
 
     def __missing__(self, piece: str):
-        ids = tuple(chain.from_iterable(self.coder.matches(self.before + piece)))
-        if len(piece) <= 64:
-            if len(self) > self.most:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = tuple(chain.from_iterable(self.coder.matches(self.before + piece)))
+            if len(piece) > 64:
+                return ids
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
 class Coder:
     """Texts to ids and back. ``pattern`` cuts a text; each match is encoded on
-    its own. Memory is bounded by ``most`` remembered pieces of either kind."""
+    its own. Memory is bounded by twice ``most`` remembered pieces of either
+    kind."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, most: int = 250_000):
+    def __init__(self, tokens: list[bytes], pattern: str, most: int = 500_000):
         import re
 
         import regex
@@ -252,18 +270,21 @@ class Coder:
         self.fst = Transducer(tokens)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.most = most
-        self.spaced, self.first = _Pieces(self, " ", most), _Pieces(self, "", most)
+        self.spaced, self.first = _Pieces(self, " ", most), _Pieces(self, "", most // 8)
         self.blurred = re.compile(r" [\s\x85\xa0]| \Z").search
 
     def matches(self, text: str):
         for m in self.find(text):
             ids = self.known.get(m)
             if ids is None:
-                ids = self.fst.encode(m.encode())
+                ids = self.old.get(m)
+                if ids is None:
+                    ids = self.fst.encode(m.encode())
                 if len(m) <= 64:
-                    if len(self.known) > self.most:
-                        self.known.clear()
+                    if len(self.known) >= self.most:
+                        self.old, self.known = self.known, {}
                     self.known[m] = ids
             yield ids
 
