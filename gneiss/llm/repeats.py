@@ -150,45 +150,58 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFr
 
         for part, data, off in pieces(batches, "data"):
             row, at = places(data, off, least, key)
+            if not len(row):
+                continue
             raw = data.tobytes()
-            h = [xxhash.xxh3_64_intdigest(raw[p : p + key]) for p in (off[row] + at).tolist()]
-            yield _batch(pa, {"cls": part.column(0).take(pa.array(row)), "rid": part.column(2).take(pa.array(row)), "at": pa.array(at.astype(np.int32)), "h": pa.array(np.array(h, _U).view(np.int64))})
-
-    sampled = docs.mapInArrow(sample, "cls long, rid long, at int, h long")
-    spot = F.struct("cls", "at")
+            h = np.array([xxhash.xxh3_64_intdigest(raw[p : p + key]) for p in (off[row] + at).tolist()], _U)
+            # Of a text's equal places (it may be one word again and again) the ends.
+            order = np.lexsort((at, h, row))
+            row, at, h = row[order], at[order], h[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
+            last = np.append(new[1:], len(row)) - 1
+            texts = pa.array(row[new])
+            yield _batch(pa, {"cls": part.column(0).take(texts), "rid": part.column(2).take(texts), "at": pa.array(at[new].astype(np.int32)), "last": pa.array(at[last].astype(np.int32)), "h": pa.array(h[new].view(np.int64))})
+
+    sampled = docs.mapInArrow(sample, "cls long, rid long, at int, last int, h long")
+    spot, final = F.struct("cls", "at"), F.struct("cls", F.col("last").alias("at"))
     sampled = materialize(sampled, "places")
-    again = sampled.groupBy("h").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo <> hi").select("h")
-    found = sampled.join(again, "h", "left_semi").groupBy("cls").agg(F.array_sort(F.collect_set("at")).alias("ats"), F.min("rid").alias("rid"))
-    # One copy of each text that holds such a place, with its places.
-    one = docs.join(found.select("rid", "ats").hint("shuffle_hash"), "rid")
+    again = sampled.groupBy("h").agg(F.min(spot).alias("lo"), F.max(final).alias("hi")).where("lo <> hi").select("h")
+    found = sampled.join(again, "h", "left_semi").groupBy("cls").agg(F.collect_set("h").alias("hs"), F.min("rid").alias("rid"))
+    # One copy of each text that holds such a place.
+    one = docs.join(found.select("rid", "hs").hint("shuffle_hash"), "rid")
     one = materialize(_one_each(one), "repeat-texts")
 
     def around(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = {k: [] for k in ("cls", "at", "h", "ctx")}
-            for cls, data, ats in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                data = data.as_buffer().to_pybytes()
-                for p in ats:
-                    lo = max(0, p - side)
-                    out["cls"].append(cls)
-                    out["at"].append(p)
-                    out["h"].append(xxhash.xxh3_64_intdigest(data[p : p + key]))
-                    out["ctx"].append(xxhash.xxh3_64_intdigest(data[lo : p + least], p - lo))
+            out = {k: [] for k in ("cls", "at", "last", "h", "ctx", "spans")}
+            for cls, data, hs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                data, held = data.as_buffer().to_pybytes(), {}
+                hs = set(hs.values.to_numpy().view(_U).tolist())
+                for p in places(np.frombuffer(data, np.uint8), np.array([0, len(data)]), least, key)[1].tolist():
+                    h = xxhash.xxh3_64_intdigest(data[p : p + key])
+                    if h in hs:
+                        lo = max(0, p - side)
+                        held.setdefault((h, xxhash.xxh3_64_intdigest(data[lo : p + least], p - lo)), []).append(p)
+                for (h, ctx), ats in held.items():
+                    spans = _covered([max(0, p - side) for p in ats], [min(len(data), p + least) for p in ats])
+                    for k, v in (("cls", cls), ("at", ats[0]), ("last", ats[-1]), ("h", h), ("ctx", ctx), ("spans", spans)):
+                        out[k].append(v)
                 if len(out["cls"]) > 50_000:
-                    yield _batch(pa, _longs(pa, out))
+                    yield _around(pa, out)
                     out = {k: [] for k in out}
             if out["cls"]:
-                yield _batch(pa, _longs(pa, out))
+                yield _around(pa, out)
 
-    around_all = materialize(one.select("cls", "data", "ats").mapInArrow(around, "cls long, at int, h long, ctx long"), "around")
-    members = around_all.groupBy("h", "ctx").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
+    kind = "array<struct<start:int,end:int>>"
+    around_all = materialize(one.select("cls", "data", "hs").mapInArrow(around, f"cls long, at int, last int, h long, ctx long, spans {kind}"), "around")
+    members = around_all.groupBy("h", "ctx").agg(F.min(spot).alias("lo"), F.max(final).alias("hi"))
     members = materialize(members.select("h", "ctx", F.col("lo.cls").alias("cls"), F.col("lo.at").alias("at"), (F.col("lo") != F.col("hi")).alias("twice")), "members")
     groups = members.groupBy("h").agg(F.count("*").alias("m"), F.min("twice").alias("all"))
     # Equal surroundings: the whole of them is covered in every occurrence.
     doubled = members.where("twice").select("h", "ctx")
-    sure = around_all.join(doubled, ["h", "ctx"], "left_semi").select("cls", "at", F.lit(side).alias("back"), F.lit(least).alias("ahead"))
+    sure = around_all.join(doubled, ["h", "ctx"], "left_semi").select("cls", F.explode("spans").alias("s")).select("cls", "s.start", "s.end")
     # Groups with a member that stands alone and others to meet.
     open_ = members.join(groups.where("m > 1 and not all"), "h").select("h", "cls", "at", (F.col("m") > MEMBERS).alias("hot"))
     open_ = materialize(open_, "open")
@@ -242,7 +255,7 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFr
             yield _batch(pa, _longs(pa, out))
 
     solved = cold.repartition("h").sortWithinPartitions("h").mapInArrow(solve, "cls long, at int, back int, ahead int")
-    spans = [sure, solved]
+    spans = [solved]
     hot = open_.where("hot").select("cls", "at", F.explode(F.sequence(F.lit(0), F.lit(side), F.lit(16))).alias("from"))
     hot = hot.select("cls", "at", "from", F.least(F.col("from") + 15, F.lit(side)).alias("to"))
     for last in (False, True):
@@ -264,7 +277,7 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFr
     for more in spans[1:]:
         every = every.union(more)
     # An end beyond the text's is cut by the caller, who has it.
-    every = every.select("cls", F.greatest(F.col("at") - F.col("back"), F.lit(0)).alias("start"), (F.col("at") + F.col("ahead")).alias("end"))
+    every = every.select("cls", F.greatest(F.col("at") - F.col("back"), F.lit(0)).alias("start"), (F.col("at") + F.col("ahead")).alias("end")).union(sure)
     return every, one.select("cls", "data")
 
 
@@ -306,6 +319,12 @@ def _longs(pa, out: dict) -> dict:
     return {k: pa.array(np.array(v, _U).view(np.int64) if k in _UNSIGNED else np.array(v, np.int64 if k in _LONG else np.int32)) for k, v in out.items()}
 
 
+def _around(pa, out: dict):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    spans = pa.array([[{"start": a, "end": b} for a, b in v] for v in out["spans"]], kind)
+    return _batch(pa, _longs(pa, {k: v for k, v in out.items() if k != "spans"}) | {"spans": spans})
+
+
 def _typed(pa, out: dict) -> dict:
     kinds = {"h": pa.int64(), "cls": pa.int64(), "at": pa.int32(), "before": pa.binary(), "after": pa.binary()}
     return {k: pa.array(v, kinds[k]) for k, v in out.items()}
@@ -325,7 +344,7 @@ def _one_each(df: DataFrame) -> DataFrame:
                 seen.add(cls)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.select("cls", "data", "ats").mapInArrow(run, "cls long, data binary, ats array<int>")
+    return df.select("cls", "data", "hs").mapInArrow(run, "cls long, data binary, hs array<long>")
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -> DataFrame:
