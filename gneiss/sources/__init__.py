@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.functions.ident import quote_ident, quote_literal, validate_ident
@@ -16,8 +18,12 @@ def register_views(spark: SparkSession, folder: str, names: tuple[str, ...] = TA
 
 
 def register_tables(spark: SparkSession, database: str, folder: str, names: tuple[str, ...]) -> None:
-    """External catalog tables over the same files, in a database of their own."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote_ident(validate_ident(database))}")
+    """External catalog tables over the same files, in a database of their own.
+
+    A new database gets a folder that no earlier session has left files in.
+    """
+    home = f"{spark.conf.get('spark.sql.warehouse.dir')}/{database}-{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote_ident(validate_ident(database))} LOCATION {quote_literal(home)}")
     for name in names:
         at = f"{quote_ident(database)}.{quote_ident(validate_ident(name))}"
         spark.sql(f"DROP TABLE IF EXISTS {at}")
