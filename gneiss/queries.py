@@ -234,12 +234,13 @@ def _explain_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gateway = _demo(spark, sf_dir)
-    gateway.write_query("DROP TABLE IF EXISTS gneiss_demo.copied")
-    gateway.write_query("CREATE TABLE gneiss_demo.copied (k INT, name STRING) USING parquet")
-    gateway.write_query("INSERT INTO gneiss_demo.copied SELECT r_regionkey, r_name FROM gneiss_demo.region")
-    gateway.write_query("INSERT INTO gneiss_demo.copied VALUES (100, 'extra')")
-    return gateway.frame("SELECT k, name FROM gneiss_demo.copied")[0]
+    sources.register_tables(spark, "gneiss_scratch", sf_dir, ("region",))
+    gateway = Gateway(spark, GatewayConfig(query_timeout=0, read_only=False))
+    gateway.write_query("DROP TABLE IF EXISTS gneiss_scratch.copied")
+    gateway.write_query("CREATE TABLE gneiss_scratch.copied (k INT, name STRING) USING parquet")
+    gateway.write_query("INSERT INTO gneiss_scratch.copied SELECT r_regionkey, r_name FROM gneiss_scratch.region")
+    gateway.write_query("INSERT INTO gneiss_scratch.copied VALUES (100, 'extra')")
+    return gateway.frame("SELECT k, name FROM gneiss_scratch.copied")[0]
 
 
 def _create_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
