@@ -10,7 +10,8 @@ excluded are equally likely. Byte 0xFF, which UTF-8 never uses, stands before
 and after each text, so the scores are probabilities of whole texts.
 
 The trie is pretrained and then fixed, so the code length of a byte depends on
-its gram alone; scoring is a table lookup in numpy.
+its gram alone: it is computed once for every distinct gram of the texts, and
+scoring is a table lookup in numpy, or a join for the rarer grams.
 """
 
 from __future__ import annotations
@@ -145,20 +146,10 @@ class Trie:
         out[open_] -= np.log10(rest) if rest else 0
         return out
 
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        codes, cut = grams(data, off)
-        if not len(codes):
-            return np.empty(0)
-        value = self.seen(codes)
-        miss = np.flatnonzero(np.isnan(value))
-        if len(miss):
-            kinds, inverse = np.unique(codes[miss], return_inverse=True)
-            value[miss] = self.spell(kinds)[inverse]
-        return np.add.reduceat(value, cut[:-1])
-
 
 def count(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
-    """(kind, key, n) over all texts: 0 words by hash, 1 grams, 2 texts (key 0)."""
+    """(kind, key, n) over the texts that ``learn`` marks: 0 words by hash, 1 grams,
+    2 texts (key 0). Grams of other texts only are there too, with n = 0."""
 
     def run(batches):
         import pyarrow as pa
@@ -181,10 +172,15 @@ def count(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
             held[kind] = []
 
         for part, data, off in pieces(batches, "text", 4 << 20):
-            texts += part.num_rows
-            for kind, keys in ((0, words(LOWER[data], off)[0]), (1, grams(data, off)[0])):
+            learn = part.column(1).to_numpy(zero_copy_only=False)
+            texts += int(learn.sum())
+            word, _, _, row = words(LOWER[data], off)
+            gram, cut = grams(data, off)
+            taught = np.repeat(learn, np.diff(cut))
+            for kind, keys, weight in ((0, word[learn[row]], 1), (1, gram[taught], 1), (1, gram[~taught], 0)):
                 if len(keys):
-                    held[kind].append(np.unique(keys, return_counts=True))
+                    keys, n = np.unique(keys, return_counts=True)
+                    held[kind].append((keys, n * weight))
                 if len(held[kind]) > 8:
                     merged(kind)
                     if len(held[kind][0][0]) > flush:
@@ -196,7 +192,7 @@ def count(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
         if texts:
             yield pa.RecordBatch.from_arrays([pa.array([2], pa.int8()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], ["kind", "key", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "kind byte, key long, n long")
+    counted = docs.select("text", "learn").mapInArrow(run, "kind byte, key long, n long")
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -211,46 +207,86 @@ def _threshold(rows: list, most: int) -> int:
     return 1
 
 
-def fit(counts: DataFrame, most_nodes: int = 1_600_000) -> Trie:
-    """The trie of the counted grams. All counts are made from all texts; of
-    each context length at most ``most_nodes`` grams, the most frequent, go into
-    the trie, which bounds what reaches the driver and is broadcast."""
-    mask = F.array(*[F.struct(F.lit(m).alias("m"), F.lit((1 << (8 * (m + 1))) - 1).alias("mask")) for m in range(ORDER + 1)])
-    by = counts.where("kind = 1").select("n", "key", F.explode(mask).alias("o")).select(F.col("o.m").alias("m"), F.col("key").bitwiseAND(F.col("o.mask")).alias("key"), "n")
-    by = materialize(by.groupBy("m", "key").agg(F.sum("n").alias("n")), "grams")
-    shape = by.groupBy("m", F.least("n", F.lit(5000)).alias("n")).agg(F.count("*").alias("keys")).collect()
-    limits = []
-    for m in range(ORDER + 1):
-        own = _threshold([r for r in shape if r.m == m], most_nodes)
-        limits.append(max([own, *limits]))
-    keep = None
-    for m, least in enumerate(limits):
-        rule = (F.col("m") == m) & (F.col("n") >= least)
-        keep = rule if keep is None else keep | rule
-    got = by.where(keep).toArrow()
-    m, key, n = (got.column(c).to_numpy() for c in ("m", "key", "n"))
-    keys, sums = [], []
-    for k in range(ORDER + 1):
-        order = np.argsort(key[m == k])
-        keys.append(key[m == k][order].view(_U))
-        sums.append(2 * n[m == k][order].astype(float) - 1)
-    return Trie(keys, sums)
+def _level(keys: np.ndarray, n: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams of context length m, and their counts, from longer ones."""
+    kinds, inverse = np.unique(keys & _U((1 << (8 * (m + 1))) - 1), return_inverse=True)
+    return kinds, np.bincount(inverse, n, len(kinds))
+
 
+def fit(counts: DataFrame, chunk: int = 500_000) -> DataFrame:
+    """(key, n, value): the log10 probability of the last byte of every counted
+    gram, by the trie of all grams with n > 0.
+
+    All contexts of a gram but the two shortest end in the same two bytes, so the
+    trie falls into parts by these bytes, which are built and asked one after
+    another; contexts of no or one byte, at most 65,792 grams, go to every task.
+    """
+    spark = counts.sparkSession
+    known = counts.where("kind = 1").select("key", "n")
+    short = known.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    two = short.column("key").to_numpy().view(_U), short.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast([_level(*two, m) for m in (0, 1)])
 
-def score(docs: DataFrame, learn: F.Column, most_words: int = 400_000) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        def answers(parts):
+            key, n = (np.concatenate(x) for x in zip(*parts))
+            key = key.view(_U)
+            some = n > 0
+            levels = sent.value + [_level(key[some], n[some], m) for m in range(2, ORDER + 1)]
+            trie = Trie([k for k, _ in levels], [2 * c.astype(float) - 1 for _, c in levels])
+            value = trie.seen(key)
+            miss = np.flatnonzero(np.isnan(value))
+            if len(miss):
+                value[miss] = trie.spell(key[miss])
+            for at in range(0, len(key), 100_000):
+                to = at + 100_000
+                yield pa.RecordBatch.from_arrays([pa.array(key[at:to].view(np.int64)), pa.array(n[at:to]), pa.array(value[at:to])], ["key", "n", "value"])
+
+        parts, size = [], 0
+        for batch in batches:
+            near, key, n = (batch.column(i).to_numpy() for i in range(3))
+            if not len(near):
+                continue
+            # Rows up to the last change of the two bytes complete their part.
+            cut = 0
+            if size + len(near) > chunk:
+                edge = np.flatnonzero(near[1:] != near[:-1]) + 1
+                cut = edge[-1] if len(edge) else 0
+                if cut or (parts and last != near[0]):
+                    yield from answers(parts + [(key[:cut], n[:cut])])
+                    parts, size = [], 0
+            parts.append((key[cut:], n[cut:]))
+            size += len(near) - cut
+            last = near[-1]
+        if parts:
+            yield from answers(parts)
+
+    near = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("near")
+    parted = known.select(near, "key", "n").repartition("near").sortWithinPartitions("near")
+    return parted.mapInArrow(run, "key long, n long, value double")
+
+
+def score(docs: DataFrame, learn: F.Column, most_words: int = 400_000, most_grams: int = 1_600_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one
     row per row; the model learns from the rows that ``learn`` admits.
 
     The base is a smoothed unigram model of words and one end per text, exact
     for every word: the ``most_words`` most frequent ones are broadcast, the
-    others' occurrences are joined to their counts. Null and empty texts consist
+    others' occurrences are joined to their counts. So it is with the trie's
+    grams, of which the ``most_grams`` most frequent are broadcast. Null and empty texts consist
     of their end. Repeated rows count each, in training too. With no training
     text every byte has probability 1/256 and the base is 0.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     spark = docs.sparkSession
-    counts = materialize(count(docs.where("learn")), "ppm-counts")
-    trie = fit(counts)
+    counts = materialize(count(docs), "ppm-counts")
+    spelt = materialize(fit(counts), "ppm-grams")
+    shape = spelt.groupBy(F.least(F.col("n") + 1, F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("keys")).collect()
+    least = _threshold(shape, most_grams) - 1
+    often = spelt.where(F.col("n") >= least).select("key", "value").toArrow()
+    often = often.column("key").to_numpy().view(_U), often.column("value").to_numpy()
     texts = next((r.n for r in counts.where("kind = 2").collect()), 0)
     vocabulary = counts.where("kind = 0")
     size = vocabulary.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
@@ -259,7 +295,7 @@ def score(docs: DataFrame, learn: F.Column, most_words: int = 400_000) -> DataFr
     frequent = vocabulary.where(F.col("n") >= _threshold(shape, most_words)).select("key", "n").toArrow()
     kept = frequent.column("key").to_numpy().view(_U), frequent.column("n").to_numpy()
     end = float(np.log10(texts + 0.1))
-    sent = spark.sparkContext.broadcast((trie.keys, trie.counts, *kept))
+    sent = spark.sparkContext.broadcast((*often, *kept))
     mark = id(sent)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -268,9 +304,9 @@ def score(docs: DataFrame, learn: F.Column, most_words: int = 400_000) -> DataFr
 
         if mark not in _LOADED:
             _LOADED.clear()
-            keys, sums, word, n = sent.value
-            _LOADED[mark] = Trie(keys, sums), Table(word, np.log10(n + 0.1))
-        model, known = _LOADED[mark]
+            gram, value, word, n = sent.value
+            _LOADED[mark] = Table(gram, value), Table(word, np.log10(n + 0.1))
+        spell, known = _LOADED[mark]
         uid = TaskContext.get().partitionId() << 36
         for part, data, off in pieces(batches, "text"):
             n = len(off) - 1
@@ -278,31 +314,38 @@ def score(docs: DataFrame, learn: F.Column, most_words: int = 400_000) -> DataFr
             value = known(h)
             rare = np.flatnonzero(np.isnan(value))
             value[rare] = 0
+            codes, cut = grams(data, off)
+            length = spell(codes)
+            far = np.flatnonzero(np.isnan(length))
+            length[far] = 0
             ids = np.arange(n) + uid
             uid += n
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(ids), pa.nulls(n, pa.int64()), pa.array(np.bincount(row, minlength=n) + 1), pa.array(np.bincount(row, minlength=n) - np.bincount(row[rare], minlength=n) + (1 if texts else 0)), pa.array(np.bincount(row, value, n) + end), pa.array(model.score(data, off))],
+                [part.column(0), part.column(2), pa.array(ids), pa.nulls(n, pa.int8()), pa.nulls(n, pa.int64()), pa.array(np.bincount(row, minlength=n) + 1), pa.array(np.bincount(row, minlength=n) - np.bincount(row[rare], minlength=n) + (1 if texts else 0)), pa.array(np.bincount(row, value, n) + end), pa.array(np.add.reduceat(length, cut[:-1]))],
                 _FIELDS,
             )
-            # The rare words: distinct ones of each row, with how often they stand there.
-            order = np.lexsort((h[rare], row[rare]))
-            r, w = row[rare][order], h[rare][order]
-            if len(r):
-                first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])]))
-                times = np.diff(np.concatenate([first, [len(r)]]))
-                k = len(first)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, part.column(0).type), pa.nulls(k, pa.bool_()), pa.array(ids[r[first]]), pa.array(w[first].view(np.int64)), pa.array(times), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], _FIELDS)
-
-    made = materialize(docs.mapInArrow(run, f"doc_id {kind}, learn boolean, uid long, w long, n long, known long, head double, score double"), "ppm-scores")
-    rare = made.where("w is not null").select("uid", "w", "n").join(vocabulary.select(F.col("key").alias("w"), F.col("n").alias("c")), "w", "left")
-    rare = rare.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("tail"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"))
+            # The rare words and grams: distinct ones of each row, with how often they stand there.
+            for kind, r, w in ((0, row[rare], h[rare]), (1, np.searchsorted(cut, far, "right") - 1, codes[far])):
+                order = np.lexsort((w, r))
+                r, w = r[order], w[order]
+                if len(r):
+                    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])]))
+                    times = np.diff(np.concatenate([first, [len(r)]]))
+                    k = len(first)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, part.column(0).type), pa.nulls(k, pa.bool_()), pa.array(ids[r[first]]), pa.array(np.full(k, kind, np.int8)), pa.array(w[first].view(np.int64)), pa.array(times), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], _FIELDS)
+
+    made = materialize(docs.mapInArrow(run, f"doc_id {kind}, learn boolean, uid long, kind byte, w long, n long, known long, head double, score double"), "ppm-scores")
+    sought = vocabulary.select("kind", F.col("key").alias("w"), F.log10(F.col("n") + 0.1).alias("value")).union(spelt.where(F.col("n") < least).select(F.lit(1).cast("byte"), "key", "value"))
+    rare = made.where("w is not null").select("uid", "kind", "w", "n").join(sought, ["kind", "w"], "left")
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
+    rare = rare.groupBy("uid").agg(of(0, F.col("n") * F.coalesce("value", F.lit(-1.0))).alias("tail"), of(0, F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("more"), of(1, F.col("n") * F.col("value")).alias("spelt"))
     scale = float(np.log10(total + 0.1 * (distinct + 1)))
     out = made.where("w is null").join(rare, "uid", "left")
     base = F.col("head") + F.coalesce("tail", F.lit(0.0)) - F.col("n") * F.lit(scale)
-    return out.select("doc_id", (~F.col("learn")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("spelt", F.lit(0.0))).alias("score"))
 
 
-_FIELDS = ["doc_id", "learn", "uid", "w", "n", "known", "head", "score"]
+_FIELDS = ["doc_id", "learn", "uid", "kind", "w", "n", "known", "head", "score"]
 _LOADED: dict = {}
 
 

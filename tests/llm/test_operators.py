@@ -187,6 +187,19 @@ def test_ppm_and_its_base(spark, odd):
         assert np.allclose(out.score, brute_ppm(train, texts))
 
 
+@pytest.mark.parametrize("most_grams", [0, 1, 40])
+def test_ppm_scores_by_all_grams(spark, odd, most_grams):
+    out = pdf(ppm.score(odd, F.col("doc_id") % 3 != 0, most_grams=most_grams))
+    data = odd.orderBy("doc_id").collect()
+    assert np.allclose(out.score, brute_ppm([r.text for r in data if r.doc_id % 3], [r.text for r in data]))
+
+
+def test_ppm_fits_part_by_part(spark, odd):
+    counts = ppm.count(odd.select("text", (F.col("doc_id") % 3 != 0).alias("learn"))).cache()
+    whole, parts = ({r.key: r.value for r in ppm.fit(counts, chunk).collect()} for chunk in (500_000, 1))
+    assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-9 for k in whole)
+
+
 def test_ppm_without_training(odd, empty):
     assert ppm.score(empty, F.lit(True)).count() == 0
     out = pdf(ppm.score(odd, F.lit(False)))
