@@ -1,9 +1,11 @@
 """Licence recognition by sentence rules, in DataFrame functions alone.
 
-Each text is cut into sentences, the sentences are normalised (letters, digits
-and inner dots, one space between words, lower case), looked up among known
-licence sentences, and the sequence of identifiers that comes out is matched
-against ordered rules; a rule that a longer matching rule contains gives way.
+Each text is cut into sentences, on one line or wrapped over several, the
+sentences are normalised (letters, digits and inner dots, one space between
+words, lower case), looked up among known licence sentences, and the sequence of
+identifiers that comes out is matched against ordered rules; a rule that a
+longer matching rule contains gives way. The oracle SQL knows one-line sentences
+of ``SENTENCES`` only and is for tables that hold no others.
 """
 
 from __future__ import annotations
@@ -50,6 +52,36 @@ RULES = [
     ("cc-by-sa-4.0", "copyleft", (17,)),
     ("proprietary", "proprietary", (18,)),
 ]
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation {}version {} of the license{}"
+_LATER = " or at your option any later version"
+#: The published wordings that differ from ``SENTENCES``, and the identifiers they
+#: stand for; * is a name of up to twelve words.
+VARIANTS = {
+    "licensed under the apache license version 2.0 the license": (1,),
+    "the asf licenses this file to you under the apache license version 2.0 the license": (1,),
+    **{f"you may obtain a copy of the license at {http} www.apache.org licenses license 2.0": (7,) for http in ("http", "https")},
+    # On one line nothing ends the sentence after the address.
+    **{f"you may obtain a copy of the license at {http} www.apache.org licenses license 2.0 {SENTENCES[8]}": (7, 8) for http in ("http", "https")},
+    SENTENCES[9] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": (9,),
+    SENTENCES[10].replace("permission notice", "permission notice including the next paragraph"): (10,),
+    **{f"{SENTENCES[11]} including but not limited to the warranties of merchantability fitness for a particular purpose and {non}": (11,) for non in ("noninfringement", "non infringement")},
+    SENTENCES[15].replace("the copyright holder", "*"): (15,),
+    SENTENCES[15].replace("the copyright holder", "*").replace("its contributors", "contributors"): (15,),
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": (15,),
+    **{_GNU.format("", either, 3, later): (3,) for either in ("either ", "") for later in (_LATER, "")},
+    **{_GNU.format("", either, 2, later): (19,) for either in ("either ", "") for later in (_LATER, "")},
+    **{_GNU.format("lesser ", either, v, later): (20,) for either in ("either ", "") for v in (2.1, 3) for later in (_LATER, "")},
+    **{_GNU.format("affero ", either, 3, later): (21,) for either in ("either ", "") for later in (_LATER, "")},
+}
+#: Further sequences: of the published notices, "all rights reserved" is a part.
+MORE_RULES = [
+    ("mit-text", "permissive", (18, 9, 10, 11)),
+    ("bsd-2-clause", "permissive", (18, 12, 13, 14)),
+    ("bsd-3-clause", "permissive", (18, 12, 13, 14, 15)),
+    ("gpl-2.0", "copyleft", (19,)),
+    ("lgpl", "copyleft", (20,)),
+    ("agpl-3.0", "copyleft", (21,)),
+]
 _CUT, _NOISE, _EDGE = r"[.!?;:]+[ \t\r]+|[.!?;:]*\n+|[.!?;:]+$", r"[^A-Za-z0-9.\x01]+", r" ?\x01 ?"
 
 
@@ -57,39 +89,62 @@ def _key(ids: tuple[int, ...]) -> str:
     return "," + ",".join(map(str, ids)) + ","
 
 
-def _covered() -> list[tuple[str, str, str, list[str]]]:
+def _covered(rules=RULES) -> list[tuple[str, str, str, list[str]]]:
     """Name, class, key, and keys of the longer rules that contain the rule."""
-    return [(name, kind, _key(ids), [_key(o) for _, _, o in RULES if len(o) > len(ids) and _key(ids) in _key(o)]) for name, kind, ids in RULES]
+    return [(name, kind, _key(ids), [_key(o) for _, _, o in rules if len(o) > len(ids) and _key(ids) in _key(o)]) for name, kind, ids in rules]
+
+
+# Line ends (\x02) end a sentence as \x01 does, or stand between two of its words.
+_HARD, _KEPT = r"[.!?;:]+[ \t\r]+|[.!?;:]+\n+|[.!?;:]+$", r"[^A-Za-z0-9.\x01\x02]+"
+_GAP, _ANY = r"[ \x02]+", r"(?:[^ \x01\x02]+[ \x02]+){1,12}?"
+
+
+def _wording(sentence: str) -> str:
+    return _GAP.join(w.replace(".", "[.]") for w in sentence.split(" ")).replace("*" + _GAP, _ANY)
+
+
+def _known() -> str:
+    """The pattern of a known sentence between sentence ends, after a list number or not."""
+    # The longest first: a wording may begin with another.
+    every = sorted({*SENTENCES.values(), *VARIANTS}, key=len, reverse=True)
+    return rf"(?:^|[\x01\x02]) ?(?:[0-9] )?({'|'.join(map(_wording, every))})(?= ?(?:[\x01\x02]|$))"
 
 
 def recognise(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses, license_class, one row per row.
 
-    n_sentences counts sentences that keep a letter or digit; sentence_ids are
-    the recognised ones in text order, comma-separated; licenses the matching
-    rules' names in the order of ``RULES``, and license_class their classes,
+    n_sentences counts sentences that keep a letter or digit, where every line
+    ends one; sentence_ids are the recognised ones in text order, comma-separated,
+    on one line or wrapped over several; licenses the matching rules' names in
+    the order of ``RULES`` and ``MORE_RULES``, and license_class their classes,
     sorted and distinct. Nothing recognised, a null or an empty text: empty
     strings. Repeated sentences and rows count each; words of any length and
     texts of any length are read whole.
     """
-    marked = F.regexp_replace(F.coalesce("text", F.lit("")), F.lit(_CUT), F.lit("\x01"))
-    plain = F.lower(F.regexp_replace(marked, F.lit(_NOISE), F.lit(" ")))
-    parts = F.transform(F.split(plain, _EDGE), lambda s: F.trim(s))
-    known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s, str(k))])
-    rows = docs.select("doc_id", parts.alias("parts"))
-    rows = rows.select("doc_id", F.size(F.filter("parts", lambda s: s.rlike("[a-z0-9]"))).cast("long").alias("n_sentences"), F.filter("parts", lambda s: s.isin(*SENTENCES.values())).alias("hits"))
+    text = F.translate(F.coalesce("text", F.lit("")), "\x02", " ")
+    marked = F.regexp_replace(F.regexp_replace(text, F.lit(_HARD), F.lit("\x01")), F.lit(r"\n+"), F.lit("\x02"))
+    plain = F.lower(F.regexp_replace(marked, F.lit(_KEPT), F.lit(" ")))
+    ids = {**{s: (k,) for k, s in SENTENCES.items()}, **VARIANTS}
+    known = F.create_map(*[F.lit(x) for s, k in ids.items() for x in (s, ",".join(map(str, k)))])
+
+    def wording(s):
+        s = F.regexp_replace(s, F.lit(_GAP), F.lit(" "))
+        return F.regexp_replace(s, F.lit("^(neither the name of ).*( nor the names of )"), F.lit("$1*$2"))
+
+    rows = docs.select("doc_id", plain.alias("plain"))
+    rows = rows.select("doc_id", F.size(F.filter(F.split("plain", r"[\x01\x02]"), lambda s: s.rlike("[a-z0-9]"))).cast("long").alias("n_sentences"), F.transform(F.regexp_extract_all("plain", F.lit(_known()), 1), wording).alias("hits"))
     rows = rows.withColumn("sentence_ids", F.array_join(F.transform("hits", lambda s: F.element_at(known, s)), ","))
     seq = F.concat(F.lit(","), "sentence_ids", F.lit(","))
-    names, kinds = [], []
-    for name, kind, key, longer in _covered():
+    names, kinds = {}, []
+    for name, kind, key, longer in _covered(RULES + MORE_RULES):
         # A shorter rule stands if it also occurs outside the longer ones.
         rest = seq
         for o in longer:
             rest = F.replace(rest, F.lit(o), F.lit(",0,"))
         hit = F.contains(rest, F.lit(key))
-        names.append(F.when(hit, F.lit(name)))
+        names[name] = names[name] | hit if name in names else hit
         kinds.append(F.when(hit, F.lit(kind)))
-    return rows.select("doc_id", "n_sentences", "sentence_ids", F.array_join(F.array_compact(F.array(*names)), ",").alias("licenses"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*kinds)))), ",").alias("license_class"))
+    return rows.select("doc_id", "n_sentences", "sentence_ids", F.array_join(F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in names.items()])), ",").alias("licenses"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*kinds)))), ",").alias("license_class"))
 
 
 def op5_sentence_rules(spark, sf_dir: str) -> DataFrame:

@@ -261,6 +261,67 @@ def test_licences(spark, empty):
     assert licenses.recognise(empty).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+BSD_2 = """Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_3 = BSD_2 + """
+3. Neither the name of the University of
+   California nor the names of its contributors may be used to endorse or
+   promote products derived from this software without specific prior written
+   permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+@pytest.mark.parametrize("notice,name,kind", [(APACHE, "apache-2.0-notice", "permissive"), (MIT, "mit-text", "permissive"), (BSD_2, "bsd-2-clause", "permissive"), (BSD_3, "bsd-3-clause", "permissive"), (GPL, "gpl-3.0", "copyleft"), (GPL.replace("version 3", "version 2").replace(":", ";"), "gpl-2.0", "copyleft"), (GPL.replace("General", "Affero General"), "agpl-3.0", "copyleft"), (GPL.replace("General", "Lesser General"), "lgpl", "copyleft")])
+def test_published_notices(spark, notice, name, kind):
+    comment = "".join(f" * {x}\r\n" for x in notice.split("\n"))
+    texts = [notice, " ".join(notice.split()), comment, "Some title\n" + notice + "\nMore text", notice.replace(" ", "\n")]
+    out = pdf(licenses.recognise(frame(spark, texts, repeat=False)))
+    assert list(out.licenses) == [name] * len(texts) and set(out.license_class) == {kind}
+
+
+def test_licences_need_whole_sentences(spark):
+    texts = ["They may be licensed under the MIT License.", "Licensed under the MIT License of old.", "Released under.\nThe MIT License."]
+    assert set(pdf(licenses.recognise(frame(spark, texts, repeat=False))).licenses) == {""}
+
+
 def test_licences_stay_native(spark):
     plan = licenses.recognise(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
