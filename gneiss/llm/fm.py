@@ -2,7 +2,8 @@
 
 Features: hashed words weighted by their root frequency and scaled to length 1,
 and statistics of the text's structure as bins whose edges are quantiles of the
-training sample. Two features interact by the product of their low-rank
+training sample, and hashed values of the metadata columns that the caller names.
+Two features interact by the product of their low-rank
 vectors; the sum over all pairs is taken in linear time as half of (the square
 of the sum minus the sum of the squares).
 
@@ -91,6 +92,16 @@ def word_features(row: np.ndarray, h: np.ndarray, n: int, buckets: int) -> tuple
     return r, (key % _U(buckets)).astype(np.int64), x / np.sqrt(np.bincount(r, x * x, n))[r]
 
 
+def metadata_features(metadata: tuple[str, ...], buckets: int) -> F.Column:
+    """Buckets of the values of the named columns; a null is a value too."""
+    return F.array(*[F.pmod(F.xxhash64(F.lit(c), F.col(f"`{c}`").cast("string")), F.lit(buckets)) for c in metadata]).cast("array<long>")
+
+
+def _met(part, k: int) -> np.ndarray:
+    """Rows by k buckets from a batch's column ``met``."""
+    return part.column(part.schema.get_field_index("met")).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(part.num_rows, k)
+
+
 @dataclass
 class Model:
     buckets: int
@@ -98,14 +109,17 @@ class Model:
     bias: float
     w: np.ndarray
     v: np.ndarray
+    metadata: tuple[str, ...] = ()
 
-    def features(self, stats: np.ndarray, row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def features(self, stats: np.ndarray, row: np.ndarray, h: np.ndarray, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(stats)
         r, f, x = word_features(row, h, n, self.buckets)
         bins = np.column_stack([np.searchsorted(self.edges[k], stats[:, k], "right") + self.buckets + k * BINS for k in range(STATS)])
-        r = np.concatenate([r, np.repeat(np.arange(n), STATS)])
+        if met is not None:
+            bins = np.column_stack([bins, met])
+        r = np.concatenate([r, np.repeat(np.arange(n), bins.shape[1])])
         order = np.argsort(r, kind="stable")
-        return r[order], np.concatenate([f, bins.ravel()])[order], np.concatenate([x, np.full(n * STATS, 0.5)])[order]
+        return r[order], np.concatenate([f, bins.ravel()])[order], np.concatenate([x, np.full(bins.size, 0.5)])[order]
 
     def logits(self, r: np.ndarray, f: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
         at = np.searchsorted(r, np.arange(n))  # every row has its bins
@@ -144,14 +158,16 @@ def fit(f: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, model: Model, e
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: F.Column, sample: int = 8_000, buckets: int = 1 << 14, rank: int = 8, seed: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: F.Column, sample: int = 8_000, buckets: int = 1 << 14, rank: int = 8, seed: int = 5, metadata: tuple[str, ...] = ()) -> Model:
     """Fits ``quality`` on at most ``sample`` of the labelled ids that ``learn``
     admits. Ids with a null or with two different labels are left out; with no
-    label of one kind the model answers by the share of the other."""
+    label of one kind the model answers by the share of the other. ``metadata``
+    names columns of docs whose values are features, as they stand: numbers should
+    be binned by the caller."""
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
     known = known.where("y = z and doc_id is not null").where(learn).select("doc_id", F.col("y").cast("double").alias("y"))
     ids = known.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).collect()
-    model = Model(buckets, np.zeros((STATS, BINS - 1)), 0.0, np.zeros(buckets + STATS * BINS), np.random.default_rng(seed).normal(0, 0.05, (buckets + STATS * BINS, rank)))
+    model = Model(buckets, np.zeros((STATS, BINS - 1)), 0.0, np.zeros(buckets + STATS * BINS), np.random.default_rng(seed).normal(0, 0.05, (buckets + STATS * BINS, rank)), tuple(metadata))
     y = {r.doc_id: r.y for r in ids}
     if not y:
         return model
@@ -165,13 +181,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, sample: int = 8_0
             n = len(off) - 1
             r, f, x = word_features(row, h, n, buckets)
             cut = np.searchsorted(r, np.arange(n + 1))
+            met = _met(part, len(metadata))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(list(stats), pa.list_(pa.float64())), pa.array([f[a:b].astype(np.int32) for a, b in zip(cut, cut[1:])], pa.list_(pa.int32())), pa.array([x[a:b].astype(np.float32) for a, b in zip(cut, cut[1:])], pa.list_(pa.float32()))],
+                [part.column(0), pa.array(list(stats), pa.list_(pa.float64())), pa.array([np.concatenate([f[a:b], m]).astype(np.int32) for a, b, m in zip(cut, cut[1:], met)], pa.list_(pa.int32())), pa.array([np.concatenate([x[a:b], np.full(len(metadata), 0.5)]).astype(np.float32) for a, b in zip(cut, cut[1:])], pa.list_(pa.float32()))],
                 ["doc_id", "stats", "f", "x"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(gather, f"doc_id {kind}, stats array<double>, f array<int>, x array<float>").toArrow()
+    got = docs.select("doc_id", "text", metadata_features(metadata, buckets).alias("met")).join(chosen, "doc_id").mapInArrow(gather, f"doc_id {kind}, stats array<double>, f array<int>, x array<float>").toArrow()
     if not got.num_rows:
         return model
     ids = got.column("doc_id").to_pylist()
@@ -193,9 +210,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, sample: int = 8_0
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score (0 to 1), one row per row; null and empty texts are
-    scored by their structure alone."""
+    """doc_id and score (0 to 1), one row per row, by text and the metadata columns
+    that the model was trained with; null and empty texts are
+    scored by their structure and metadata alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    k = len(model.metadata)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -203,14 +222,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
         for part, data, off in pieces(batches, "text", 1 << 19):
             stats, row, h = structure(data, off)
-            z = sent.value.logits(*sent.value.features(stats, row, h), len(off) - 1)
+            z = sent.value.logits(*sent.value.features(stats, row, h, _met(part, k)), len(off) - 1)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text", metadata_features(model.metadata, model.buckets).alias("met")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def op8_factorisation_machine(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Language, source and id may not be used; the length is, by powers of two.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(F.log2(F.greatest("n_chars", F.lit(0)) + 1)).alias("length"))
     fold = label_bucket("doc_id") % 3
-    model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), fold != 1)
+    model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), fold != 1, metadata=("length",))
     return predict(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -421,6 +421,16 @@ def test_classifier_on_odd_input(spark, odd, empty):
     assert {r.score for r in fm.predict(odd, fm.train(odd, none, F.lit(True))).collect()} != set()
 
 
+def test_factorisation_machine_learns_from_metadata(spark):
+    docs = spark.createDataFrame([(i, "the same text", ["a", "b", None][i % 3], "z") for i in range(300)], "doc_id long, text string, `odd name.x` string, met string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 2).cast("int").alias("quality"))
+    model = fm.train(docs, labels, F.col("doc_id") < 200, metadata=("odd name.x", "met"))
+    out = pdf(fm.predict(docs, model))
+    assert ((out.score > 0.5) == (out.doc_id % 3 == 2)).all()
+    without = pdf(fm.predict(docs, fm.train(docs, labels, F.col("doc_id") < 200)))
+    assert without.score.nunique() == 1
+
+
 # 9. BPE.
 
 
