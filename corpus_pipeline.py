@@ -36,15 +36,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group: the one with the smallest doc_id, once.
 
     Documents are linked at a similarity of 0.8 on five-word shingles. Repeated
-    rows of a document become one; rows without doc_id stay.
+    rows of a document become one. Rows without doc_id, or with one that other
+    texts have too, form groups by text like all others.
     """
-    kept = neardup.near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null")
+    unclear = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if unclear:
+        return _near_duplicates_by_row(docs)
+    kept = neardup.near_duplicates(docs, size=5, percent=80).where("kept")
     key = _own(docs, "kept_id")
-    kept = kept.select(F.col("doc_id").alias(key)).distinct()
-    out = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col(key), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = out.dropDuplicates(["doc_id"]) if repeated else out
-    return out.union(docs.where("doc_id is null")).select(docs.columns)
+    kept = kept.select(F.col("doc_id").alias(key))
+    return docs.join(kept, F.col("doc_id").cast("long") == F.col(key), "left_semi").select(docs.columns)
+
+
+def _near_duplicates_by_row(docs: DataFrame) -> DataFrame:
+    """The same where doc_id does not name one text: by a key of id and text."""
+    key = _own(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = neardup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), size=5, percent=80)
+    found = found.select(F.col("doc_id").alias("k"), F.coalesce("component_id", "doc_id").alias("component")).distinct()
+    named = found.join(keyed.select(F.col(key).alias("k"), "doc_id").distinct(), "k")
+    # The smallest id of a group stays; a row without id only where no other is there.
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first"))
+    kept = kept.select(F.col("first.k").alias(_own(keyed, "kept_key")))
+    out = keyed.join(kept, F.col(key) == F.col(kept.columns[0]), "left_semi")
+    return out.dropDuplicates([key]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -568,6 +568,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(zip(whole.doc_id, whole.ids_sha256)) == sorted(zip(seen["encode"].doc_id, seen["encode"].ids_sha256))
 
 
+def test_pipeline_without_clear_ids(spark):
+    r = random.Random(8)
+    a, b, c, d, e = (text(90, r) for _ in range(5))
+    near = a.split()
+    near[40] = "changed"
+    data = [(None, a), (None, a), (None, " ".join(near)), (None, b), (7, b), (3, c), (3, d), (3, d), (9, e), (9, e), (2, e), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 2, 3, 4, 5, "k", "v") for i, t in data], SCHEMA).repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and len(got) == 6
+    assert sorted(x for x in got if x[0]) == sorted([(7, b), (3, c), (3, d), (2, e)])
+    texts = [t for i, t in got if i is None]
+    assert None in texts and (a in texts) + (" ".join(near) in texts) == 1
+    cut = {r.text for r in corpus_pipeline.repeated_passages(spark, corpus_pipeline.materialize(out, "near"), SF).collect()}
+    assert {b, c, d, e} <= cut
+
+
 def test_pipeline_of_nothing(spark, empty, tmp_path):
     now = empty
     for _, stage in corpus_pipeline.STAGES:
