@@ -2,23 +2,26 @@
 
 All positions of a corpus need not be sorted to find every string of ``least``
 bytes that occurs twice. Each such string holds a sampled place (the smallest of
-the hashes of its ``KEY``-byte strings), and equal strings hold it at the same
-offset. So only suffixes at sampled places are kept,
-dealt by their first ``KEY`` bytes, and of those only the ones whose first ``KEY``
-bytes occur again.
-
-A group of suffixes with equal first bytes is an enhanced suffix array once it
-is sorted: its common-prefix intervals are found by a stack scan, and within each
-the texts to the left are sorted from their end and scanned the same way. An
-interval of either kind that more than one branch meets in is a maximal repeat
-with all its occurrences; those of ``least`` bytes and more mark what they cover.
-
+the hashes of its ``key``-byte strings), and equal strings hold it at the same
+offset. So only suffixes at sampled places are kept, grouped by their first
+``key`` bytes, and of those only the ones whose first ``key`` bytes occur again.
 Suffixes with equal surroundings within ``least`` bytes are one member of a
-group, so that common passages and copies don't make it grow. Where the
-surroundings differ a group may still have many members: with more than
-``MEMBERS`` it is not gathered, but its strings of ``least`` bytes are counted by
-hash, in ranges first and one by one where a range is undecided. That is exact
-too, and only sums are shuffled.
+group, so that common passages and copies don't make it grow.
+
+A group is an enhanced suffix array once it is sorted: a stack scan finds its
+common-prefix intervals, and within each the texts to the left, sorted from
+their end, tell how far its members extend to the left together. An interval
+that members of different left extensions and different branches meet in is a
+maximal repeat with all its occurrences; those of ``least`` bytes and more mark
+what they cover.
+
+A group with more than ``MEMBERS`` different surroundings is split by content
+until each part fits: of its strings of ``least`` bytes, those that begin up to
+so many bytes before the place share their middle, which is the key of a part,
+and the others form the other half. Members that are alone in a part leave; of
+members that are equal in all bytes a part looks at one stays, as their strings
+repeat anyway. Parts are scanned as groups are. Only keys are counted in the
+splitting, so that a group of any size is never gathered.
 """
 
 from __future__ import annotations
@@ -33,9 +36,16 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.common import materialize, mix, pieces, powers, prefix_sums, table
 
-MEMBERS = 200
+MEMBERS = 1000
 _U = np.uint64
 _SPAN = 1 << 19
+#: A text by two 64-bit fingerprints with different seeds.
+TEXT = ("c1", "c2")
+
+
+def fingerprint(data) -> tuple[F.Column, F.Column]:
+    """The columns ``TEXT`` of a binary column."""
+    return F.xxhash64(data).alias("c1"), F.xxhash64(F.lit("second"), data).alias("c2")
 
 
 def _runs(width: int, values: np.ndarray, least: bool) -> np.ndarray:
@@ -52,9 +62,10 @@ def _runs(width: int, values: np.ndarray, least: bool) -> np.ndarray:
     return pick(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def places(data: np.ndarray, off: np.ndarray, least: int, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and position of the sampled places of each text of a buffer."""
-    rows, at = [], []
+def places(data: np.ndarray, off: np.ndarray, least: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, position and hash of the key bytes of the sampled places of each
+    text of a buffer, by text and position."""
+    at, keys = [], []
     width = least - key + 1
     step = _SPAN
     for lo in range(0, max(len(data) - least, 0) + 1, step):
@@ -71,15 +82,17 @@ def places(data: np.ndarray, off: np.ndarray, least: int, key: int) -> tuple[np.
             low[max(0, edge - least + 1) : edge] = 0  # windows over two texts
         padded = np.zeros(len(low) + 2 * (width - 1), low.dtype)
         padded[width - 1 : width - 1 + len(low)] = low
-        at.append(np.flatnonzero((_runs(width, padded, False) == h) & (h > 0)) + lo)
+        found = np.flatnonzero((_runs(width, padded, False) == h) & (h > 0))
+        at.append(found + lo)
+        keys.append(h[found])
     if not at:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    spots = np.unique(np.concatenate(at))
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U)
+    spots, first = np.unique(np.concatenate(at), return_index=True)
     row = np.searchsorted(off, spots, "right") - 1
-    return row, spots - off[row]
+    return row, spots - off[row], np.concatenate(keys)[first]
 
 
-def intervals(common: list[int], top: int = 0) -> list[tuple[int, int, int]]:
+def intervals(common: list[int]) -> list[tuple[int, int, int]]:
     """(length, first, last) of the common-prefix intervals of a sorted array;
     common[i] is the common prefix of its entries i and i + 1."""
     out, stack = [], []
@@ -94,16 +107,23 @@ def intervals(common: list[int], top: int = 0) -> list[tuple[int, int, int]]:
 
 
 def _shared(a: bytes, b: bytes) -> int:
+    if a == b:
+        return len(a)
     n = min(len(a), len(b))
     x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
     return n - (x.bit_length() + 7) // 8
 
 
+def _sorted(texts: list[bytes]) -> tuple[list[int], list[int]]:
+    """Order of the texts, and what neighbours share."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    return order, [_shared(texts[a], texts[b]) for a, b in zip(order, order[1:])]
+
+
 def maximal_repeats(before: list[bytes], after: list[bytes], least: int):
     """(length before, length after, members) of the maximal repeats of ``least``
     bytes or more around the members' places. ``before`` is reversed."""
-    order = sorted(range(len(after)), key=after.__getitem__)
-    right = [_shared(after[a], after[b]) for a, b in zip(order, order[1:])]
+    order, right = _sorted(after)
     for length, lo, hi in intervals(right):
         own = order[lo : hi + 1]
         branch, at = {own[0]: 0}, 0
@@ -118,6 +138,40 @@ def maximal_repeats(before: list[bytes], after: list[bytes], least: int):
                 yield back, length, own[a : b + 1]
 
 
+def reaches(before: list[bytes], after: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far the repeats of ``least`` bytes or more around each member's place
+    reach to the left and to the right; -1 and 0 where there is none.
+
+    In each interval a member extends furthest to the left with a neighbour in
+    the order of the texts before; what an interval's order holds between two of
+    them is the least of the whole order there.
+    """
+    m = len(after)
+    back, ahead = np.full(m, -1, np.int64), np.zeros(m, np.int64)
+    if m == 2:
+        left, right = _shared(*before), _shared(*after)
+        if left + right >= least:
+            back[:], ahead[:] = left, right
+        return back, ahead
+    order, right = _sorted(after)
+    by_left, shared = _sorted(before)
+    rank = np.empty(m, np.int64)
+    rank[by_left] = np.arange(m)
+    rank, shared = rank[order], np.array(shared, np.int64)
+    far_back, far_ahead = back.copy(), ahead.copy()  # by rank
+    for length, lo, hi in intervals(right):
+        own = np.sort(rank[lo : hi + 1])
+        between = np.minimum.reduceat(shared[: own[-1]], own[:-1])
+        best = np.maximum(np.append(between, -1), np.append(-1, between))
+        ok = best + length >= least
+        if ok.any():
+            own, best = own[ok], best[ok]
+            far_back[own] = np.maximum(far_back[own], best)
+            far_ahead[own] = np.maximum(far_ahead[own], length)
+    back[by_left], ahead[by_left] = far_back, far_ahead
+    return back, ahead
+
+
 def _covered(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(zip(starts, ends)):
@@ -128,252 +182,252 @@ def _covered(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _batch(pa, columns: dict):
-    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+class _Rows:
+    """Collects columns and gives them out as batches of bounded size."""
+
+    def __init__(self, kinds: dict[str, str], rows: int = 20_000):
+        import pyarrow as pa
+
+        self.pa, self.rows = pa, rows
+        self.kinds = {k: {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}.get(v, v) for k, v in kinds.items()}
+        self.held = {k: [] for k in kinds}
+
+    def add(self, *values) -> None:
+        for held, v in zip(self.held.values(), values):
+            held.append(v)
+
+    def full(self) -> bool:
+        return len(next(iter(self.held.values()))) >= self.rows
+
+    def batch(self):
+        arrays = [self.pa.array(v, self.kinds[k]) for k, v in self.held.items()]
+        self.held = {k: [] for k in self.held}
+        return self.pa.RecordBatch.from_arrays(arrays, list(self.held))
+
+    def rest(self):
+        if next(iter(self.held.values())):
+            yield self.batch()
+
+
+def _schema(kinds: dict[str, str]) -> str:
+    return ", ".join(f"{k} {v}" for k, v in kinds.items())
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _spot(c1: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for a place in a text; within a group of equal keys it tells
+    places apart."""
+    return mix(c1.view(_U) + mix(at.astype(_U) + _U(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+def _contexts(least: int, key: int, wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """The surroundings of wanted places (c1, c2, h, at, m), at most ``least``
+    bytes on either side of the key's first byte."""
+    side = least - key
+    kinds = {"h": "long", "c1": "long", "c2": "long", "at": "int", "m": "long", "before": "binary", "after": "binary"}
+
+    def run(batches):
+        out = _Rows(kinds)
+        for batch in batches:
+            for c1, c2, data, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                data = data.as_buffer().to_pybytes()
+                for s in spots:
+                    p = s["at"]
+                    out.add(s["h"], c1, c2, p, s["m"], data[max(0, p - side) : p][::-1], data[p : p + least])
+                    if out.full():
+                        yield out.batch()
+        yield from out.rest()
+
+    spots = wanted.groupBy(*TEXT).agg(F.collect_list(F.struct("h", "at", "m")).alias("spots"))
+    return texts.select(*TEXT, "data").join(spots.hint("shuffle_hash"), list(TEXT)).select(*TEXT, "data", "spots").mapInArrow(run, _schema(kinds))
+
+
+def _halves(least: int):
+    """The halves of a row's range of offsets: of each the key of its part, the
+    middle that all its strings share, and a hash of all bytes they cover (of
+    the place itself where they leave the text)."""
+    kinds = {"id": "long", "of": "int", "c1": "long", "c2": "long", "at": "int", "from": "int", "to": "int", "part": "long", "whole": "long"}
+
+    def run(batches):
+        out = _Rows(kinds)
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for part, i, c1, c2, at, lo, hi, before, after in zip(*(batch.column(k).to_pylist() for k in range(9))):
+                text, p = before[::-1] + after, len(before)
+                mid = (lo + hi) // 2
+                for a, b in ((lo, mid), (mid + 1, hi)):
+                    if p < a or len(after) < least - b:
+                        continue
+                    seed = (part ^ (a * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
+                    inner = digest(text[p - a : p + least - b], seed)
+                    outer = digest(text[p - b : p + least - a], seed) if p >= b and len(after) >= least - a else i ^ 0x5851F42D4C957F2D
+                    out.add(i, lo, c1, c2, at, a, b, _signed(inner), _signed(outer & 0xFFFFFFFFFFFFFFFF))
+                    if out.full():
+                        yield out.batch()
+        yield from out.rest()
+
+    return run, _schema(kinds)
+
+
+def _split(hot: DataFrame, least: int, side: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Rows of parts that fit (part, c1, c2, at, before, after), and the spans
+    (c1, c2, start, end) that were decided on the way."""
+    run, schema = _halves(least)
+    whole = ["part", "id", *TEXT, "at", "from", "to", "before", "after"]
+    id_ = F.xxhash64(*TEXT, "at")
+    live = hot.select(F.col("h").alias("part"), id_.alias("id"), *TEXT, "at", F.lit(0).alias("from"), F.lit(side).alias("to"), "before", "after")
+    fit, decided = [], []
+    for _ in range(side.bit_length() + 1):
+        kids = materialize(live.select(whole).mapInArrow(run, schema), "halves")
+        same = kids.groupBy("part", "whole").agg(F.count("*").alias("n"), F.min("id").alias("one"))
+        parts = same.groupBy("part").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+        # Equal in all that the half looks at: every string of it repeats.
+        twice = same.where("n > 1").select("part", "whole")
+        decided.append(kids.join(twice, ["part", "whole"], "left_semi").select(*TEXT, F.greatest(F.col("at") - F.col("to"), F.lit(0)).alias("start"), (F.col("at") + least - F.col("from")).alias("end")))
+        ones = kids.join(same.select("part", "whole", F.col("one").alias("id")), ["part", "whole", "id"], "left_semi")
+        ones = ones.join(parts.select("part", "m"), "part").select("id", F.col("of").alias("from"), F.col("from").alias("a"), F.col("to").alias("b"), F.col("part").alias("p"), "m")
+        now = live.select("id", *TEXT, "at", "from", "before", "after").join(ones, ["id", "from"])
+        now = materialize(now.select(F.col("p").alias("part"), "id", *TEXT, "at", F.col("a").alias("from"), F.col("b").alias("to"), "before", "after", "m"), "split")
+        fit.append(now.where(F.col("m") <= MEMBERS).select("part", *TEXT, "at", "before", "after"))
+        live = now.where(F.col("m") > MEMBERS)
+        if not live.select(F.lit(1)).limit(1).count():
+            break
+    return fit, decided
 
 
 def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFrame]:
-    """cls, start, end: bytes of each distinct text that a string of ``least``
+    """c1, c2, start, end: bytes of each distinct text that a string of ``least``
     bytes covers which also starts elsewhere, in it or in another distinct text.
 
-    docs: cls (fingerprint), rid (fingerprint of row and text) and data (binary),
+    docs: c1, c2 (``fingerprint``), rid (a hash of the row) and data (binary),
     any number of rows to a text. Spans may touch or overlap. Copies of a whole
     text are left to the caller: they repeat all of it. Also returns the texts
-    that hold a candidate place, one row each: cls, data.
+    that hold a candidate place, one row each: c1, c2, data.
     """
-    key = max(1, min(100, least // 3))
+    key = max(1, min(200, least // 2))
     side = least - key
-    docs = docs.where(F.octet_length("data") >= least).select("cls", "data", "rid")
+    docs = docs.where(F.octet_length("data") >= least).select(*TEXT, "rid", "data")
 
     def sample(batches):
         import pyarrow as pa
 
         for part, data, off in pieces(batches, "data"):
-            row, at = places(data, off, least, key)
+            row, at, h = places(data, off, least, key)
             if not len(row):
                 continue
-            raw = data.tobytes()
-            h = np.array([xxhash.xxh3_64_intdigest(raw[p : p + key]) for p in (off[row] + at).tolist()], _U)
-            # Of a text's equal places (it may be one word again and again) the ends.
-            order = np.lexsort((at, h, row))
-            row, at, h = row[order], at[order], h[order]
+            own = np.asarray(part.column(0).to_numpy())[row]
+            spot = _spot(own, at)
+            # Of a text's equal places (it may be one word again and again) the least and the last.
+            order = np.lexsort((spot, h, row))
+            row, spot, h = row[order], spot[order], h[order]
             new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
             last = np.append(new[1:], len(row)) - 1
             texts = pa.array(row[new])
-            yield _batch(pa, {"cls": part.column(0).take(texts), "rid": part.column(2).take(texts), "at": pa.array(at[new].astype(np.int32)), "last": pa.array(at[last].astype(np.int32)), "h": pa.array(h[new].view(np.int64))})
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(texts) for k in range(3)), pa.array(spot[new]), pa.array(spot[last]), pa.array(h[new].view(np.int64))], ["c1", "c2", "rid", "lo", "hi", "h"])
 
-    sampled = docs.mapInArrow(sample, "cls long, rid long, at int, last int, h long")
-    spot, final = F.struct("cls", "at"), F.struct("cls", F.col("last").alias("at"))
-    sampled = materialize(sampled, "places")
-    again = sampled.groupBy("h").agg(F.min(spot).alias("lo"), F.max(final).alias("hi")).where("lo <> hi").select("h")
-    found = sampled.join(again, "h", "left_semi").groupBy("cls").agg(F.collect_set("h").alias("hs"), F.min("rid").alias("rid"))
+    sampled = materialize(docs.mapInArrow(sample, "c1 long, c2 long, rid long, lo long, hi long, h long"), "places")
+    again = sampled.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h")
+    found = sampled.join(again, "h", "left_semi").groupBy(*TEXT).agg(F.collect_set("h").alias("hs"), F.min("rid").alias("rid"))
     # One copy of each text that holds such a place.
-    one = docs.join(found.select("rid", "hs").hint("shuffle_hash"), "rid")
-    one = materialize(_one_each(one), "repeat-texts")
+    one = docs.join(found.hint("shuffle_hash"), [*TEXT, "rid"]).dropDuplicates([*TEXT, "rid"])
+    one = materialize(one.select(*TEXT, "data", "hs"), "repeat-texts")
+    pairs = "array<struct<start:int,end:int>>"
 
     def around(batches):
         import pyarrow as pa
 
+        kinds = {"c1": "long", "c2": "long", "at": "int", "lo": "long", "hi": "long", "h": "long", "ctx": "long", "spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
+        out = _Rows(kinds)
         for batch in batches:
-            out = {k: [] for k in ("cls", "at", "last", "h", "ctx", "spans")}
-            for cls, data, hs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for c1, c2, data, hs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 data, held = data.as_buffer().to_pybytes(), {}
-                hs = set(hs.values.to_numpy().view(_U).tolist())
-                for p in places(np.frombuffer(data, np.uint8), np.array([0, len(data)]), least, key)[1].tolist():
-                    h = xxhash.xxh3_64_intdigest(data[p : p + key])
-                    if h in hs:
-                        lo = max(0, p - side)
-                        held.setdefault((h, xxhash.xxh3_64_intdigest(data[lo : p + least], p - lo)), []).append(p)
-                for (h, ctx), ats in held.items():
+                _, at, h = places(np.frombuffer(data, np.uint8), np.array([0, len(data)]), least, key)
+                take = np.isin(h.view(np.int64), hs.values.to_numpy())
+                at, h = at[take], h[take].view(np.int64)
+                for p, k in zip(at.tolist(), h.tolist()):
+                    lo = max(0, p - side)
+                    held.setdefault((k, xxhash.xxh3_64_intdigest(data[lo : p + least], p - lo)), []).append(p)
+                for (k, ctx), ats in held.items():
+                    spots = _spot(np.full(len(ats), c1, np.int64), np.array(ats))
                     spans = _covered([max(0, p - side) for p in ats], [min(len(data), p + least) for p in ats])
-                    for k, v in (("cls", cls), ("at", ats[0]), ("last", ats[-1]), ("h", h), ("ctx", ctx), ("spans", spans)):
-                        out[k].append(v)
-                if len(out["cls"]) > 50_000:
-                    yield _around(pa, out)
-                    out = {k: [] for k in out}
-            if out["cls"]:
-                yield _around(pa, out)
-
-    kind = "array<struct<start:int,end:int>>"
-    around_all = materialize(one.select("cls", "data", "hs").mapInArrow(around, f"cls long, at int, last int, h long, ctx long, spans {kind}"), "around")
-    members = around_all.groupBy("h", "ctx").agg(F.min(spot).alias("lo"), F.max(final).alias("hi"))
-    members = materialize(members.select("h", "ctx", F.col("lo.cls").alias("cls"), F.col("lo.at").alias("at"), (F.col("lo") != F.col("hi")).alias("twice")), "members")
+                    out.add(c1, c2, ats[0], int(spots.min()), int(spots.max()), k, _signed(ctx), [{"start": a, "end": b} for a, b in spans])
+                    if out.full():
+                        yield out.batch()
+        yield from out.rest()
+
+    around_all = materialize(one.mapInArrow(around, f"c1 long, c2 long, at int, lo long, hi long, h long, ctx long, spans {pairs}"), "around")
+    members = around_all.groupBy("h", "ctx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(F.first(c).alias(c) for c in (*TEXT, "at")))
+    members = materialize(members.select("h", "ctx", *TEXT, "at", (F.col("lo") != F.col("hi")).alias("twice")), "members")
     groups = members.groupBy("h").agg(F.count("*").alias("m"), F.min("twice").alias("all"))
     # Equal surroundings: the whole of them is covered in every occurrence.
     doubled = members.where("twice").select("h", "ctx")
-    sure = around_all.join(doubled, ["h", "ctx"], "left_semi").select("cls", F.explode("spans").alias("s")).select("cls", "s.start", "s.end")
+    sure = around_all.join(doubled, ["h", "ctx"], "left_semi").select(*TEXT, F.explode("spans").alias("s")).select(*TEXT, "s.start", "s.end")
     # Groups with a member that stands alone and others to meet.
-    open_ = members.join(groups.where("m > 1 and not all"), "h").select("h", "cls", "at", (F.col("m") > MEMBERS).alias("hot"))
-    open_ = materialize(open_, "open")
-
-    def cut(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = {k: [] for k in ("h", "cls", "at", "before", "after")}
-            for cls, data, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                data = data.as_buffer().to_pybytes()
-                for s in spots:
-                    p = s["at"]
-                    for k, v in (("h", s["h"]), ("cls", cls), ("at", p), ("before", data[max(0, p - side) : p][::-1]), ("after", data[p : p + least])):
-                        out[k].append(v)
-                if len(out["h"]) > 20_000:
-                    yield _batch(pa, _typed(pa, out))
-                    out = {k: [] for k in out}
-            if out["h"]:
-                yield _batch(pa, _typed(pa, out))
-
-    def with_text(spots: DataFrame) -> DataFrame:
-        return one.select("cls", "data").join(spots.hint("shuffle_hash"), "cls")
-
-    cold = with_text(open_.where("not hot").groupBy("cls").agg(F.collect_list(F.struct("h", "at")).alias("spots"))).select("cls", "data", "spots")
-    cold = cold.mapInArrow(cut, "h long, cls long, at int, before binary, after binary")
+    open_ = members.join(groups.where("m > 1 and not all"), "h").select("h", *TEXT, "at", "m")
+    contexts = materialize(_contexts(least, key, open_, one), "contexts")
+    fit, decided = [contexts.where(F.col("m") <= MEMBERS).select(F.col("h").alias("part"), *TEXT, "at", "before", "after")], []
+    hot = contexts.where(F.col("m") > MEMBERS)
+    if hot.select(F.lit(1)).limit(1).count():
+        more, decided = _split(hot, least, side)
+        fit += more
 
     def solve(batches):
-        import pyarrow as pa
+        kinds = {"c1": "long", "c2": "long", "start": "int", "end": "int"}
 
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in range(5)))
+                yield from zip(*(batch.column(c).to_pylist() for c in range(6)))
 
-        out = {k: [] for k in ("cls", "at", "back", "ahead")}
+        out = _Rows(kinds)
         for _, group in groupby(rows(), key=lambda r: r[0]):
-            group = list(group)  # MEMBERS rows at most
-            best: dict[int, dict[int, int]] = {}
-            for back, ahead, own in maximal_repeats([r[3] for r in group], [r[4] for r in group], least):
-                for m in own:
-                    reach = best.setdefault(m, {})
-                    reach[ahead] = max(back, reach.get(ahead, 0))
-            for m, reach in best.items():
-                for ahead, back in reach.items():
-                    for k, v in (("cls", group[m][1]), ("at", group[m][2]), ("back", back), ("ahead", ahead)):
-                        out[k].append(v)
-            if len(out["cls"]) > 50_000:
-                yield _batch(pa, _longs(pa, out))
-                out = {k: [] for k in out}
-        if out["cls"]:
-            yield _batch(pa, _longs(pa, out))
-
-    solved = cold.repartition("h").sortWithinPartitions("h").mapInArrow(solve, "cls long, at int, back int, ahead int")
-    spans = [solved]
-    hot = open_.where("hot").select("cls", "at", F.explode(F.sequence(F.lit(0), F.lit(side), F.lit(16))).alias("from"))
-    hot = hot.select("cls", "at", "from", F.least(F.col("from") + 15, F.lit(side)).alias("to"))
-    for last in (False, True):
-        hashed = with_text(hot.groupBy("cls").agg(F.collect_list(F.struct("at", "from", "to")).alias("spots"))).select("cls", "data", "spots")
-        hashed = materialize(hashed.mapInArrow(_ranges(least), "cls long, at int, from int, to int, inner long, outer long"), "ranges")
-        inner = hashed.groupBy("inner", "from").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("inner", "from")
-        if last:
-            spans.append(hashed.join(inner, ["inner", "from"], "left_semi").select("cls", "at", F.col("from").alias("back"), (F.lit(least) - F.col("from")).alias("ahead")))
-        else:
-            outer = hashed.groupBy("outer", "from").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("outer", "from")
-            both = hashed.join(outer, ["outer", "from"], "left_semi")
-            spans.append(both.select("cls", "at", F.col("to").alias("back"), (F.lit(least) - F.col("from")).alias("ahead")))
-            rest = hashed.join(outer, ["outer", "from"], "left_anti").join(inner, ["inner", "from"], "left_semi").select("cls", "at", "from", "to", "inner")
-            # What is decided may still be what an undecided range repeats: one of a kind.
-            peers = both.groupBy("inner", "outer", "from").agg(F.min(F.struct("cls", "at", "to")).alias("s"))
-            peers = peers.join(rest.select("inner", "from").distinct(), ["inner", "from"], "left_semi").select("s.cls", "s.at", "from", "s.to")
-            hot = rest.drop("inner").union(peers).select("cls", "at", F.explode(F.sequence("from", "to")).alias("from")).withColumn("to", F.col("from"))
-    every = spans[0]
-    for more in spans[1:]:
-        every = every.union(more)
-    # An end beyond the text's is cut by the caller, who has it.
-    every = every.select("cls", F.greatest(F.col("at") - F.col("back"), F.lit(0)).alias("start"), (F.col("at") + F.col("ahead")).alias("end")).union(sure)
-    return every, one.select("cls", "data")
-
-
-def _ranges(least: int):
-    """Hashes that decide a range of offsets at a place: of what all its strings
-    share (if that occurs once, none of them repeats) and of what they cover
-    together (if that occurs twice, all do). Offsets whose string leaves the text
-    are cut off first."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = {k: [] for k in ("cls", "at", "from", "to", "inner", "outer")}
-            for cls, data, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                data = data.as_buffer().to_pybytes()
-                for s in spots:
-                    p, lo, hi = s["at"], s["from"], s["to"]
-                    inner = data[max(0, p - lo) : p + least - hi]
-                    if p < lo or p + least - hi > len(data):
-                        continue
-                    outer = data[max(0, p - hi) : p + least - lo]
-                    for k, v in (("cls", cls), ("at", p), ("from", lo), ("to", hi), ("inner", xxhash.xxh3_64_intdigest(inner, lo)), ("outer", xxhash.xxh3_64_intdigest(outer, min(p, hi)))):
-                        out[k].append(v)
-                if len(out["cls"]) > 50_000:
-                    yield _batch(pa, _longs(pa, out))
-                    out = {k: [] for k in out}
-            if out["cls"]:
-                yield _batch(pa, _longs(pa, out))
-
-    return run
-
-
-_UNSIGNED = {"h", "ctx", "inner", "outer"}
-_LONG = {"cls"}
-
-
-def _longs(pa, out: dict) -> dict:
-    return {k: pa.array(np.array(v, _U).view(np.int64) if k in _UNSIGNED else np.array(v, np.int64 if k in _LONG else np.int32)) for k, v in out.items()}
-
-
-def _around(pa, out: dict):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    spans = pa.array([[{"start": a, "end": b} for a, b in v] for v in out["spans"]], kind)
-    return _batch(pa, _longs(pa, {k: v for k, v in out.items() if k != "spans"}) | {"spans": spans})
-
-
-def _typed(pa, out: dict) -> dict:
-    kinds = {"h": pa.int64(), "cls": pa.int64(), "at": pa.int32(), "before": pa.binary(), "after": pa.binary()}
-    return {k: pa.array(v, kinds[k]) for k, v in out.items()}
-
-
-def _one_each(df: DataFrame) -> DataFrame:
-    """One row of each cls in a partition; repeated rows of a table meet there."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        seen = set()
-        for batch in batches:
-            keep = []
-            for cls in batch.column(0).to_pylist():
-                keep.append(cls not in seen)
-                seen.add(cls)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return df.select("cls", "data", "hs").mapInArrow(run, "cls long, data binary, hs array<long>")
+            _, c1, c2, at, before, after = zip(*group)  # MEMBERS rows at most
+            for k, (back, ahead) in enumerate(zip(*(x.tolist() for x in reaches(before, after, least)))):
+                if back >= 0:
+                    out.add(c1[k], c2[k], at[k] - back, at[k] + ahead)
+            if out.full():
+                yield out.batch()
+        yield from out.rest()
+
+    parts = fit[0]
+    for more in fit[1:]:
+        parts = parts.union(more)
+    spans = parts.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "c1 long, c2 long, start int, end int")
+    for more in (*decided, sure):
+        spans = spans.union(more)
+    return spans, one.select(*TEXT, "data")
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per row; with
-    ``with_text`` also cls and kept, the text left (null where nothing goes; bytes
-    of a character that a cut splits are left out).
+    ``with_text`` also c1 and c2 (``fingerprint`` of the text) and kept, the text
+    left (null where nothing goes; bytes of a character that a cut splits are
+    left out).
 
     Every byte goes that a ``least``-byte string covers which also starts
     anywhere else in the table, the same text included; strings overlap and are
     judged on the input. Null and short texts lose nothing; a repeated row is
-    another place. Texts are UTF-8 bytes of any length.
+    another place. Texts are UTF-8 bytes of any length. An empty table gives no
+    rows.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = docs.select("doc_id", text.alias("data")).withColumn("cls", F.xxhash64("data")).withColumn("rid", F.xxhash64("doc_id", "cls"))
+    base = docs.select("doc_id", text.alias("data")).select("doc_id", "data", *fingerprint("data"), F.xxhash64("doc_id").alias("rid"))
     spans, texts = repeated_spans(base, least)
-    merged = materialize(spans.groupBy("cls").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
-    copies = base.groupBy("cls").agg(F.count("*").alias("copies"))
-    brief = base.select("doc_id", "cls", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha"))
-    alone = copies.where("copies = 1").select("cls")
+    merged = materialize(spans.groupBy(*TEXT).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    n_bytes = F.octet_length("data").cast("long")
+    long = base.where(n_bytes >= least)
+    copied = materialize(long.groupBy(*TEXT).agg(F.count("*").alias("n")).where("n > 1").select(*TEXT), "copied")
     # Copied texts go whole; of the others those with spans are read again.
-    touched = merged.join(alone, "cls", "left_semi")
-    read = texts.join(touched.hint("shuffle_hash"), "cls").select("cls", "data", "spans")
+    touched = merged.join(copied, list(TEXT), "left_anti")
+    read = texts.join(touched.hint("shuffle_hash"), list(TEXT)).select(*TEXT, "data", "spans")
+    kinds = {"c1": "long", "c2": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "string"}
 
     def cut(batches):
-        import pyarrow as pa
-
+        out = _Rows(kinds, 2000)
         for batch in batches:
-            out = {k: [] for k in ("cls", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for cls, data, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for c1, c2, data, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 data = data.as_buffer().to_pybytes()
                 runs = _covered([s["start"] for s in spans], [min(s["end"], len(data)) for s in spans])
                 kept, at = [], 0
@@ -381,24 +435,18 @@ def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -
                     kept.append(data[at:a])
                     at = b
                 kept = b"".join([*kept, data[at:]])
-                for k, v in (("cls", cls), ("n_removed", len(data) - len(kept)), ("n_spans", len(runs)), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept.decode("utf-8", "ignore") if with_text else None)):
-                    out[k].append(v)
-            yield _batch(pa, {k: pa.array(v, {"kept_sha256": pa.string(), "kept": pa.string()}.get(k, pa.int64())) for k, v in out.items()})
-
-    done = read.mapInArrow(cut, "cls long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    whole = copies.where("copies > 1").select("cls", F.lit(True).alias("copied"))
-    out = brief.join(whole, "cls", "left").join(done, "cls", "left")
-    gone = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= least)
-    out = out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        "cls",
-        F.when(gone, F.lit("")).otherwise(F.col("kept")).alias("kept"),
-    )
-    return out if with_text else out.drop("cls", "kept")
+                out.add(c1, c2, len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None)
+                if out.full():
+                    yield out.batch()
+            yield from out.rest()
+
+    done = read.mapInArrow(cut, _schema(kinds)).withColumn("copied", F.lit(False))
+    whole = copied.select(*TEXT, F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept"), F.lit(True).alias("copied"))
+    brief = base.select("doc_id", *TEXT, n_bytes.alias("n_bytes"), F.sha2("data", 256).alias("sha"))
+    out = brief.join(done.union(whole), list(TEXT), "left")
+    removed = F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    out = out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *TEXT, "kept")
+    return out if with_text else out.drop(*TEXT, "kept")
 
 
 def op2_interval_tree(spark, sf_dir: str) -> DataFrame:

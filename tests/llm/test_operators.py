@@ -111,7 +111,7 @@ def brute_repeats(texts, least):
     return out
 
 
-@pytest.mark.parametrize("members", [1, 3, 200])  # few members: groups are counted by hash
+@pytest.mark.parametrize("members", [1, 3, 1000])  # few members: groups are split into parts
 def test_repeats(spark, odd, members, monkeypatch):
     monkeypatch.setattr(repeats, "MEMBERS", members)
     texts = [r.text for r in odd.orderBy("doc_id").collect()]
