@@ -69,10 +69,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     is, follows the text. Texts that nothing is cut from stay as they are.
     """
     found = repeats.remove_repeats(docs, REPEAT_BYTES, with_text=True).where("n_removed > 0")
-    cls, kept = _own(docs, "repeat_class"), _own(docs, "repeat_text")
-    found = found.select(F.col("cls").alias(cls), F.col("kept").alias(kept)).distinct()
-    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    out = docs.withColumn(cls, own).join(found, cls, "left")
+    kept = _own(docs, "repeat_text")
+    keys = [_own(docs, f"repeat_{c}") for c in repeats.TEXT]
+    found = found.select(*[F.col(c).alias(k) for c, k in zip(repeats.TEXT, keys)], F.col("kept").alias(kept)).dropDuplicates(keys)
+    own = repeats.fingerprint(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    out = docs.withColumns(dict(zip(keys, own))).join(found, keys, "left")
     text = F.coalesce(F.col(kept), F.col("text"))
     columns = []
     for c in docs.columns:
