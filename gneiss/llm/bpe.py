@@ -35,7 +35,7 @@ class Transducer:
     """Encodes byte strings; keeps at most ``most`` determinised transitions.
     Vocabularies have less than 2^20 tokens."""
 
-    def __init__(self, tokens: list[bytes], most: int = 900_000):
+    def __init__(self, tokens: list[bytes], most: int = 300_000):
         self.tokens, self.most = tokens, most
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.next: list[dict[int, int]] = [{}]
@@ -130,15 +130,22 @@ class Transducer:
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.made = 0
 
-    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        state, emitted = self.step(self.states[at], byte)
-        to = self.numbers.get(state)
-        if to is None:
-            to = self.numbers[state] = len(self.states)
+    def _number(self, state: tuple) -> int:
+        at = self.numbers.get(state)
+        if at is None:
+            at = self.numbers[state] = len(self.states)
             self.states.append(state)
             self.moves.append({})
+        return at
+
+    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        state = self.states[at]
+        if self.made >= self.most:  # in the midst of a piece too, however long it is
+            self._forget()
+            at = self._number(state)
+        state, emitted = self.step(state, byte)
         self.made += 1
-        move = self.moves[at][byte] = to, emitted
+        move = self.moves[at][byte] = self._number(state), emitted
         return move
 
     def encode(self, data: bytes) -> tuple[int, ...]:
@@ -147,13 +154,12 @@ class Transducer:
         whole = self.ids.get(data)
         if whole is not None:
             return (whole,)
-        if self.made > self.most:
-            self._forget()
         at, out, moves = 0, [], self.moves
         for b in data:
             move = moves[at].get(b)
             if move is None:
                 move = self._move(at, b)
+                moves = self.moves
             at, emitted = move
             if emitted:
                 out += emitted
@@ -256,12 +262,17 @@ class _Pieces(dict):
         return ids
 
 
+#: Fixed value: the pattern whose matches begin at a space between two non-spaces.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Coder:
     """Texts to ids and back. ``pattern`` cuts a text; each match is encoded on
-    its own. Memory is bounded by twice ``most`` remembered pieces of either
-    kind."""
+    its own. With the pattern ``SPACED`` texts are cut at such spaces first. Memory
+    is bounded by twice ``most`` remembered pieces, of up to 64 characters, of
+    either kind."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, most: int = 500_000):
+    def __init__(self, tokens: list[bytes], pattern: str, most: int = 120_000):
         import re
 
         import regex
@@ -273,7 +284,7 @@ class Coder:
         self.old: dict[str, tuple[int, ...]] = {}
         self.most = most
         self.spaced, self.first = _Pieces(self, " ", most), _Pieces(self, "", most // 8)
-        self.blurred = re.compile(r" [\s\x85\xa0]| \Z").search
+        self.blurred = re.compile(r" [\s\x85\xa0]| \Z" if pattern == SPACED else "").search
 
     def matches(self, text: str):
         for m in self.find(text):
@@ -289,8 +300,7 @@ class Coder:
             yield ids
 
     def encode(self, text: str) -> list[int]:
-        # A match begins at a space between two non-spaces and never runs over
-        # it, so such texts can be cut there first.
+        # No match runs over a space between two non-spaces.
         if not text:
             return []
         if self.blurred(text):
@@ -304,6 +314,17 @@ class Coder:
 _CODERS: dict[str, tuple] = {}
 
 
+def coder_of(ranks: bytes, pattern: str) -> tuple[Coder, StreamDecoder, list[str]]:
+    """The worker's coder, decoder and decimal ids. Tasks find it by import, so
+    that what one has compiled serves the next; one coder is kept."""
+    mark = hashlib.sha256(ranks + pattern.encode()).hexdigest()
+    if mark not in _CODERS:
+        tokens = read_ranks(ranks)
+        _CODERS.clear()
+        _CODERS[mark] = Coder(tokens, pattern), StreamDecoder(tokens), [str(i) for i in range(len(tokens))]
+    return _CODERS[mark]
+
+
 def tokenize(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array
     of int), one row per row.
@@ -320,11 +341,7 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tru
     def run(batches):
         import pyarrow as pa
 
-        mark = hashlib.sha256(sent.value + pattern.encode()).hexdigest()
-        if mark not in _CODERS:  # workers live on: what one task compiled serves the next
-            tokens = read_ranks(sent.value)
-            _CODERS[mark] = Coder(tokens, pattern), StreamDecoder(tokens), [str(i) for i in range(len(tokens))]
-        coder, decoder, names = _CODERS[mark]
+        coder, decoder, names = coder_of(sent.value, pattern)
         for batch in batches:
             doc, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
             for at in range(0, batch.num_rows, 500):

@@ -454,6 +454,42 @@ def test_bpe_equals_the_library(coder):
         assert own.encode(t) == library.encode_ordinary(t)
 
 
+def test_bpe_in_little_memory_and_by_other_patterns(coder):
+    import regex
+    import tiktoken
+
+    tokens, _, library = coder
+    own = bpe.Coder(tokens, bpe.SPACED, most=3)
+    own.fst.most = 20
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdeé 中😀") for _ in range(r.randint(200, 400))) for _ in range(20)] + ["x" * 3000, "ab" * 2000]
+    for t in texts:
+        assert own.encode(t) == library.encode_ordinary(t) and own.fst.made <= 20
+    other = r"\S+\s?|\s+"
+    library = tiktoken.Encoding("other", pat_str=other, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    own = bpe.Coder(tokens, other)
+    assert regex.findall(other, texts[0]) and all(own.encode(t) == library.encode_ordinary(t) for t in texts)
+
+
+def test_coders_outlive_tasks(spark):
+    import public_tokenizers as P
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    assert bpe.coder_of(ranks, P.PATTERN) is bpe.coder_of(ranks, P.PATTERN) and P.PATTERN == bpe.SPACED
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(4)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._CODERS)])], ["n"])
+
+    for _ in range(2):
+        bpe.tokenize(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    assert max(r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()) == 1
+
+
 def test_streaming_decode(coder):
     tokens, own, _ = coder
     decoder, t = bpe.StreamDecoder(tokens), "naïve 中文 😀 ß" * 20
