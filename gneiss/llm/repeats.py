@@ -329,7 +329,8 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFr
             yield pa.RecordBatch.from_arrays([*(part.column(k).take(texts) for k in range(3)), pa.array(spot[new]), pa.array(spot[last]), pa.array(h[new].view(np.int64))], ["c1", "c2", "rid", "lo", "hi", "h"])
 
     sampled = materialize(docs.mapInArrow(sample, "c1 long, c2 long, rid long, lo long, hi long, h long"), "places")
-    again = sampled.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h")
+    # Written on its own, so that a join with a common key can be split.
+    again = materialize(sampled.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h"), "again")
     found = sampled.join(again, "h", "left_semi").groupBy(*TEXT).agg(F.collect_set("h").alias("hs"), F.min("rid").alias("rid"))
     # One copy of each text that holds such a place.
     one = docs.join(found.hint("shuffle_hash"), [*TEXT, "rid"]).dropDuplicates([*TEXT, "rid"])
@@ -362,11 +363,12 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFr
     members = around_all.groupBy("h", "ctx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(F.first(c).alias(c) for c in (*TEXT, "at")))
     members = materialize(members.select("h", "ctx", *TEXT, "at", (F.col("lo") != F.col("hi")).alias("twice")), "members")
     groups = members.groupBy("h").agg(F.count("*").alias("m"), F.min("twice").alias("all"))
+    groups = materialize(groups.where("m > 1 and not all").select("h", "m"), "groups")
     # Equal surroundings: the whole of them is covered in every occurrence.
     doubled = members.where("twice").select("h", "ctx")
     sure = around_all.join(doubled, ["h", "ctx"], "left_semi").select(*TEXT, F.explode("spans").alias("s")).select(*TEXT, "s.start", "s.end")
     # Groups with a member that stands alone and others to meet.
-    open_ = members.join(groups.where("m > 1 and not all"), "h").select("h", *TEXT, "at", "m")
+    open_ = members.join(groups, "h").select("h", *TEXT, "at", "m")
     contexts = materialize(_contexts(least, key, open_, one), "contexts")
     fit, decided = [contexts.where(F.col("m") <= MEMBERS).select(F.col("h").alias("part"), *TEXT, "at", "before", "after")], []
     hot = contexts.where(F.col("m") > MEMBERS)
