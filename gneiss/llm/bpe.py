@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import threading
+import time
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -35,7 +37,7 @@ class Transducer:
     """Encodes byte strings; keeps at most ``most`` determinised transitions.
     Vocabularies have less than 2^20 tokens."""
 
-    def __init__(self, tokens: list[bytes], most: int = 300_000):
+    def __init__(self, tokens: list[bytes], most: int = 600_000):
         self.tokens, self.most = tokens, most
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.next: list[dict[int, int]] = [{}]
@@ -241,18 +243,35 @@ class StreamDecoder:
         return left
 
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Pieces(dict):
     """Ids of the text between two spaces, led by ``before``. When ``most`` are
-    held, they become the old ones; what is asked for again comes back."""
+    held, they become the old ones; what is asked for again comes back. Letters
+    with marks after them are two matches, and a line end between two other
+    characters is one of its own; what else there is the pattern cuts."""
 
     def __init__(self, coder: Coder, before: str, most: int):
         super().__init__()
         self.coder, self.before, self.most, self.old = coder, before, most, {}
 
+    def _make(self, piece: str) -> tuple[int, ...]:
+        coder = self.coder
+        if max(piece, default="\u0250") < "\u0250":  # letters that no version of Unicode disputes
+            word = piece.rstrip(_MARKS)
+            if word.isalpha():
+                ids = coder.fst.encode((self.before + word).encode())
+                return ids if len(word) == len(piece) else (*ids, *coder.match(piece[len(word) :]))
+        line, end, rest = piece.partition("\n")
+        if line and rest and not line[-1].isspace() and not rest[0].isspace():
+            return (*self[line], *coder.match(end), *coder.first[rest])
+        return tuple(chain.from_iterable(map(coder.match, coder.find(self.before + piece))))
+
     def __missing__(self, piece: str):
         ids = self.old.get(piece)
         if ids is None:
-            ids = tuple(chain.from_iterable(self.coder.matches(self.before + piece)))
+            ids = self._make(piece)
             if len(piece) > 64:
                 return ids
         if len(self) >= self.most:
@@ -272,7 +291,7 @@ class Coder:
     is bounded by twice ``most`` remembered pieces, of up to 64 characters, of
     either kind."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, most: int = 120_000):
+    def __init__(self, tokens: list[bytes], pattern: str, most: int = 300_000):
         import re
 
         import regex
@@ -286,25 +305,24 @@ class Coder:
         self.spaced, self.first = _Pieces(self, " ", most), _Pieces(self, "", most // 8)
         self.blurred = re.compile(r" [\s\x85\xa0]| \Z" if pattern == SPACED else "").search
 
-    def matches(self, text: str):
-        for m in self.find(text):
-            ids = self.known.get(m)
+    def match(self, m: str) -> tuple[int, ...]:
+        ids = self.known.get(m)
+        if ids is None:
+            ids = self.old.get(m)
             if ids is None:
-                ids = self.old.get(m)
-                if ids is None:
-                    ids = self.fst.encode(m.encode())
-                if len(m) <= 64:
-                    if len(self.known) >= self.most:
-                        self.old, self.known = self.known, {}
-                    self.known[m] = ids
-            yield ids
+                ids = self.fst.encode(m.encode())
+            if len(m) <= 64:
+                if len(self.known) >= self.most:
+                    self.old, self.known = self.known, {}
+                self.known[m] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         # No match runs over a space between two non-spaces.
         if not text:
             return []
         if self.blurred(text):
-            return list(chain.from_iterable(self.matches(text)))
+            return list(chain.from_iterable(map(self.match, self.find(text))))
         pieces = text.split(" ")
         out = list(self.first[pieces[0]])
         out.extend(chain.from_iterable(map(self.spaced.__getitem__, pieces[1:])))
@@ -312,17 +330,30 @@ class Coder:
 
 
 _CODERS: dict[str, tuple] = {}
+_USED = [0.0]
+#: Seconds without a task after which a worker gives its coder's memory back.
+IDLE = 10.0
 
 
 def coder_of(ranks: bytes, pattern: str) -> tuple[Coder, StreamDecoder, list[str]]:
     """The worker's coder, decoder and decimal ids. Tasks find it by import, so
-    that what one has compiled serves the next; one coder is kept."""
+    that what one has compiled serves the next; one coder is kept, until no task
+    has asked for it for ``IDLE`` seconds."""
     mark = hashlib.sha256(ranks + pattern.encode()).hexdigest()
-    if mark not in _CODERS:
+    _USED[0] = time.monotonic()
+    found = _CODERS.get(mark)
+    if found is None:
         tokens = read_ranks(ranks)
         _CODERS.clear()
-        _CODERS[mark] = Coder(tokens, pattern), StreamDecoder(tokens), [str(i) for i in range(len(tokens))]
-    return _CODERS[mark]
+        found = _CODERS[mark] = Coder(tokens, pattern), StreamDecoder(tokens), [str(i) for i in range(len(tokens))]
+        threading.Thread(target=_forget_idle, args=(mark,), daemon=True).start()
+    return found
+
+
+def _forget_idle(mark: str) -> None:
+    while (left := _USED[0] + IDLE - time.monotonic()) > 0:
+        time.sleep(left)
+    _CODERS.pop(mark, None)
 
 
 def tokenize(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True) -> DataFrame:
@@ -341,8 +372,8 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tru
     def run(batches):
         import pyarrow as pa
 
-        coder, decoder, names = coder_of(sent.value, pattern)
         for batch in batches:
+            coder, decoder, names = coder_of(sent.value, pattern)
             doc, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
             for at in range(0, batch.num_rows, 500):
                 part = texts.slice(at, 500)
