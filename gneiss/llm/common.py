@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests in one process) a temporary folder
-    is made and set.
+    Where the session has none, a temporary folder is made and set if Spark runs
+    in this one process, as in tests; on a cluster that is an error, as no folder
+    of one machine would do.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = at.get() if at.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gneiss-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -47,27 +51,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str = "part") -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and rereads it."""
+    """Cuts lineage: writes df as a table in the shared folder and rereads it.
+    ``release`` deletes the table; what is left goes when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gneiss/{label}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(drop_scratch)
+    _SCRATCH[path] = None
     df.write.parquet(path)
-    _SCRATCH.setdefault(id(spark.sparkContext), (spark, []))[1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _SCRATCH[path] = spark.sparkContext._jsc.hadoopConfiguration()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gneiss_path = path
+    return out
+
+
+_SCRATCH: dict = {}
+
+
+def _delete(path: str) -> None:
+    conf, gateway = _SCRATCH.pop(path, None), SparkContext._gateway
+    if conf is not None and gateway is not None:
+        at = gateway.jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
 
+def release(*frames: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for these frames. For tables that all
+    readers have been written from: those need no file of them, even where an
+    executor is lost."""
+    for frame in frames:
+        _delete(frame._gneiss_path)
 
-_SCRATCH: dict[int, tuple[SparkSession, list[str]]] = {}
 
+def scratch() -> set[str]:
+    """The tables that are there now."""
+    return set(_SCRATCH)
 
-def drop_scratch() -> None:
-    """Deletes the scratch tables of this process; frames built on them end too."""
-    for spark, paths in _SCRATCH.values():
-        for path in paths:
-            jvm = spark.sparkContext._jvm
-            if jvm is None:
-                continue
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        paths.clear()
+
+def drop_scratch(since: set[str] = frozenset(), keep: DataFrame | None = None) -> None:
+    """Deletes the tables made after ``since`` was taken, but that of ``keep``;
+    frames built on them end too. Without arguments: all of this process."""
+    for path in [p for p in _SCRATCH if p not in since and p != getattr(keep, "_gneiss_path", None)]:
+        _delete(path)
 
 
 def spread(df: DataFrame, column: str = "text") -> DataFrame:
@@ -80,6 +105,16 @@ def label_bucket(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
+#: SQL that holds the table of CRC-32 as the only column, crc, of c.
+CRC_TABLE = "c as (select [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) for i in range(256)] as crc)"
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the CRC-32 of a string's UTF-8 bytes, where c is in scope."""
+    byte = "16 * instr('123456789ABCDEF', p[1]) + instr('123456789ABCDEF', p[2])"
+    return f"xor(list_reduce(list_prepend(4294967295, [{byte} for p in regexp_extract_all(hex({text}), '..')]), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
 # Arrow batches as numpy buffers.
 
 
@@ -210,7 +245,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        now = materialize(small.where("b <> m").select("b", "m").union(small.select("a", "m")).toDF("a", "b").distinct(), "edges")
+        before, now = now, materialize(small.where("b <> m").select("b", "m").union(small.select("a", "m")).toDF("a", "b").distinct(), "edges")
+        release(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             return now.toDF("node", "component").union(now.select(F.col("b").alias("node"), F.col("b")).distinct()).distinct()

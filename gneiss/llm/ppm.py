@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import LOWER, label_bucket, materialize, pieces, table, words
+from gneiss.llm.common import CRC_TABLE, LOWER, WORD, crc_sql, label_bucket, materialize, pieces, table, words
 
 ORDER = 5
 _U = np.uint64
@@ -351,3 +351,23 @@ _LOADED: dict = {}
 
 def op3_ppm_score(spark, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), label_bucket("doc_id") % 10 != 0)
+
+
+def base3_ppm_score(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3_ppm_score: all but the model's own score."""
+    return op3_ppm_score(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 3))
+
+
+ORACLE = {
+    "base3_ppm_score": f"""
+with {CRC_TABLE},
+x as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as ws,
+  coalesce({crc_sql('doc_id::varchar')} % 10 = 0, true) as held_out from documents, c),
+y as (select row_number() over () as rid, doc_id, held_out, list_append(ws, chr(10)) as tokens from x),
+t as (select rid, held_out, unnest(tokens) as token from y),
+k as (select token, count(*) as n from t where not held_out group by token),
+z as (select sum(n)::bigint as total, count(*) as distinct_ from k),
+s as (select rid, count(*) as n_tokens, count(n) as n_known, sum(log10((coalesce(n, 0) + 0.1::double) / (total + 0.1::double * (distinct_ + 1)))) as score
+  from t left join k using (token), z group by rid)
+select doc_id, held_out, n_tokens, n_known, (select total from z) as train_tokens, round(score, 3) as base_score from y join s using (rid)"""
+}

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import mix, pieces, table, windows, words
+from gneiss.llm.common import WORD, mix, pieces, table, windows, words
 
 #: Most of a text's word characters that repeated windows of n words may cover.
 WINDOW_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -155,3 +155,31 @@ def keep(docs: DataFrame) -> DataFrame:
 def op4_repetition_coverage(spark, sf_dir: str) -> DataFrame:
     out = score(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *FIELDS, "base_failed", "kept")
+
+
+def _sql() -> str:
+    """The rules by their definitions, over words as rows."""
+    lengths = sorted(WINDOW_LIMITS)
+    spans = ", ".join(f"case when i + {n - 1} <= n_words then array_to_string(ws[i : i + {n - 1}], ' ') end as s{n}" for n in lengths)
+    flags = ", ".join(f"s{n} is not null and row_number() over (partition by rid, s{n} order by i) > 1 as later{n}" for n in lengths)
+    marks = ", ".join(f"bool_or(later{n}) over (partition by rid order by i rows {n - 1} preceding) as in{n}" for n in lengths)
+    covers = ", ".join(f"coalesce(sum(c) filter (in{n}), 0) / greatest(sum(c), 1) as cover{n}" for n in lengths)
+    over = " or ".join(f"coalesce(cover{n}, 0) > {limit}" for n, limit in WINDOW_LIMITS.items())
+    return f"""
+with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+d as (select *, regexp_extract_all(text, '{WORD}') as ws, [x for x in string_split(text, chr(10)) if regexp_matches(x, '{WORD}')] as lines from t),
+b as (select rid, doc_id, ws, len(ws) as n_words, coalesce(list_sum([length(x) for x in ws]), 0)::bigint as word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+  coalesce(list_sum([strlen(x) for x in lines]), 0)::double as line_bytes, coalesce(list_sum([strlen(x) for x in list_distinct(lines)]), 0)::double as once_bytes from d),
+w as (select rid, n_words, ws, unnest(range(1, n_words + 1)) as i from b),
+s as (select rid, i, length(ws[i]) as c, {spans} from w),
+f as (select *, {flags}, s8 is not null and count(*) over (partition by rid, s8) > 1 as twice from s),
+m as (select rid, c, {marks}, bool_or(twice) over (partition by rid order by i rows 7 preceding) as again from f),
+k as (select rid, count(*) filter (again) as n_repeat_words, {covers} from m group by rid),
+a as (select b.*, k.* exclude (rid, n_repeat_words), coalesce(n_repeat_words, 0) as n_repeat_words,
+  n_words < 20 or 100 * coalesce(n_repeat_words, 0) > 30 * n_words as base_failed from b left join k using (rid))
+select doc_id, n_words::bigint as n_words, word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+  not (base_failed or {over} or line_bytes - once_bytes > {LINE_CHAR_LIMIT} * line_bytes or n_dup_lines > {LINE_LIMIT} * n_lines) as kept from a"""
+
+
+ORACLE = {"op4_repetition_coverage": _sql()}

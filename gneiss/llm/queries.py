@@ -12,7 +12,8 @@ _MODULES = (sharding, quality, licenses, topk, mixing, fm, bpe, neardup, ppm, re
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(m, name) for m in _MODULES for name in dir(m) if name.startswith("op") and name[2].isdigit()}
+    found = {name: getattr(m, name) for m in _MODULES for name in dir(m) if name.startswith("op") and name[2].isdigit()}
+    return found | {"base3_ppm_score": ppm.base3_ppm_score}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialize, mix, pieces, powers, prefix_sums, table
+from gneiss.llm.common import materialize, mix, pieces, powers, prefix_sums, release, table
 
 MEMBERS = 1000
 _U = np.uint64
@@ -335,6 +335,7 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFr
     # One copy of each text that holds such a place.
     one = docs.join(found.hint("shuffle_hash"), [*TEXT, "rid"]).dropDuplicates([*TEXT, "rid"])
     one = materialize(one.select(*TEXT, "data", "hs"), "repeat-texts")
+    release(sampled, again)
     pairs = "array<struct<start:int,end:int>>"
 
     def around(batches):
@@ -370,6 +371,7 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFr
     # Groups with a member that stands alone and others to meet.
     open_ = members.join(groups, "h").select("h", *TEXT, "at", "m")
     contexts = materialize(_contexts(least, key, open_, one), "contexts")
+    release(groups)
     fit, decided = [contexts.where(F.col("m") <= MEMBERS).select(F.col("h").alias("part"), *TEXT, "at", "before", "after")], []
     hot = contexts.where(F.col("m") > MEMBERS)
     if hot.select(F.lit(1)).limit(1).count():
@@ -453,3 +455,19 @@ def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -
 
 def op2_interval_tree(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), 400)
+
+
+ORACLE = {
+    # By definition: all strings of 400 bytes, in pieces of 800 places each.
+    "op2_interval_tree": """
+with t as (select row_number() over () as rid, doc_id, hex(coalesce(text, '')) as hx from documents),
+p as (select rid, b, substr(hx, 2 * b + 1, 2398) as piece from (select rid, hx, unnest(range(0, length(hx) // 2, 800)) as b from t)),
+w as (select rid, b + j as place, hash(substr(piece, 2 * j + 1, 800)) as h from (select *, unnest(range(0, least(800, length(piece) // 2 - 399))) as j from p)),
+g as (select rid, place, count(*) over (partition by h) > 1 as again from w),
+y as (select rid, b + j as place, substr(piece, 2 * j + 1, 2) as x from (select *, unnest(range(0, least(800, length(piece) // 2))) as j from p)),
+z as (select rid, place, x, bool_or(coalesce(again, false)) over (partition by rid order by place rows 399 preceding) as gone from y left join g using (rid, place)),
+v as (select *, lag(gone, 1, false) over (partition by rid order by place) as before from z),
+k as (select rid, count(*) as n_bytes, count_if(gone) as n_removed, count_if(gone and not before) as n_spans, string_agg(x, '' order by place) filter (not gone) as kept from v group by rid)
+select doc_id, coalesce(n_bytes, 0)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept, ''))) as kept_sha256 from t left join k using (rid)"""
+}
