@@ -1,6 +1,6 @@
 """Shards of near-equal bytes by sampled splitters.
 
-Records are ordered by (text fingerprint, doc_id): equal texts lie side by side
+Records are ordered by fingerprints of text and doc_id: equal texts lie side by side
 and stay in one shard unless a shard's edge has to cut a group that is too
 heavy to move. The order is never sorted as a whole: a sample weighted by size
 gives quantile splitters of fine ranges, the bytes of each range are summed
@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import materialize, table
+from gneiss.llm.common import CRC_TABLE, crc_sql, materialize, release, table
 
 
 def shard_by_bytes(
     docs: DataFrame,
     shards: int = 24,
     ranges_per_shard: int = 8,
+    rows_per_range: int = 1_000_000,
     sample_per_range: int = 40,
     snap: float = 0.01,
     seed: int = 7,
@@ -36,8 +37,10 @@ def shard_by_bytes(
     a shard's bytes. Rows with equal key and text share their place up to
     ``size``; repeated rows count each. An empty table gives no rows.
 
-    ``shards * ranges_per_shard`` ranges and their sums reach the driver, never
-    rows; their number depends on the parameters alone.
+    There are ``ranges_per_shard`` ranges for each shard, and more where they would
+    hold over ``rows_per_range`` rows, the most that a task sorts. Ranges, their
+    sums and the sampled keys reach the driver: 25,000 ranges for 25 thousand
+    million rows. Texts of any length are hashed whole.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = materialize(
@@ -45,15 +48,15 @@ def shard_by_bytes(
             "doc_id",
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            F.xxhash64(text).alias("h"),
-            F.xxhash64("doc_id").alias("t"),
+            _number(text).alias("h"),
+            _number(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias("t"),
         ),
         "shard-rows",
     )
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
     if not n:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).where("false")
-    ranges = shards * ranges_per_shard
+    ranges = max(shards * ranges_per_shard, -(-n // rows_per_range))
     # Poisson sample: a record is drawn with probability in proportion to its size.
     want = ranges * sample_per_range
     drawn = rows.where(F.rand(seed) * total < F.col("size") * want).select("h", "t").orderBy(F.rand(seed + 1)).limit(4 * want).collect()
@@ -108,6 +111,11 @@ def shard_by_bytes(
     return run.join(back, ["shard", "g"]).select("doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("shift")).alias("slot"))
 
 
+def _number(data) -> F.Column:
+    """The first 60 bits of the md5."""
+    return F.conv(F.substring(F.md5(data), 1, 15), 16, 10).cast("long")
+
+
 def _in_range(rows: DataFrame, cuts: list[tuple[int, int]], before: list[int] | None = None) -> DataFrame:
     """g: how many cuts lie at or before the row's key; base: before[g]."""
     cut_h, cut_t = (np.array([c[i] for c in cuts], np.int64) for i in (0, 1))
@@ -132,3 +140,21 @@ def _in_range(rows: DataFrame, cuts: list[tuple[int, int]], before: list[int] |
 def op1_sampled_splitters(spark, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+ORACLE = {
+    # The law by definition: one sort, and the edges from its running sums.
+    "op1_sampled_splitters": f"""
+with {CRC_TABLE},
+x as (select doc_id, coalesce(text, '') as text from documents),
+d as (select doc_id, octet_length(encode(text)) + 8 as size, substr(md5(text), 1, 15) as h, substr(md5(coalesce(doc_id::varchar, 'null')), 1, 15) as t,
+  {crc_sql('text')} as crc from x, c),
+r as (select *, sum(size) over (order by h, t, size rows unbounded preceding) as upto, row_number() over (order by h, t, size) as place from d),
+g as (select h, min(upto - size) as lo, max(upto) as hi from r group by h),
+e as (select s, (select sum(size)::double from d) * s / 24 as edge, (select sum(size)::double from d) / 24 as step from range(1, 24) as y(s)),
+n as (select s, edge, step, case when abs(lo - edge) <= abs(hi - edge) then lo else hi end as near from e left join g on lo < edge and edge < hi),
+k as (select list(case when abs(near - edge) <= 0.01 * step then near::double else edge end) as cuts from n),
+p as (select *, len([u for u in cuts if u <= upto - size / 2::double])::int as shard from r, k)
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'bytes' as law, shard,
+  (row_number() over (partition by shard order by place) - 1)::bigint as slot, null::int as grown_shard from p"""
+}
