@@ -341,8 +341,35 @@ def test_top_k(spark):
         if q % 10 == 0:
             best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q and len(v[c]) == len(v[q]))[:5]
             want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
-    assert [(a, b, c) for a, b, c, _ in out.itertuples(index=False)] == [w[:3] for w in want]
-    assert all(abs(g - w[3]) <= abs(w[3]) * 1e-15 for g, w in zip(out.score, want))
+    assert [tuple(r) for r in out.itertuples(index=False)] == want
+
+
+def test_top_k_beyond_exact_doubles(spark):
+    step, far = 2.0**-8, 2.0**22
+    data = [(0, [far, step])] + [(i, [far, step * (4 - i)]) for i in (1, 2, 3)] + [(4, [2.0**24, 1.0]), (5, [2.0**53, 1.0]), (50, [2.0**-8] * 2)]
+    data += [(i, [2.0**-4 * r, 1.0]) for i, r in zip(range(60, 80), np.random.default_rng(2).integers(-9, 9, 20).tolist())]
+    out = pdf(topk.top_k(spark.createDataFrame(data[:5] + data[6:], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, block=8), ["query_id", "rank"])
+    v = {i: [math.floor(256 * x) for x in e] for i, e in data if i != 5}
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:5]
+        want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
+    assert [tuple(r) for r in out.itertuples(index=False)] == want
+    q, x = np.array([[2.0**61, 3.0]]), np.array([[2.0, 5.0], [2.0, 7.0]])
+    assert topk.best(q, np.array([9]), np.array([-np.inf]), x, np.array([1, 2]), 2)[2].tolist() == [2**62 + 21, 2**62 + 15]
+
+
+def test_top_k_prunes(spark):
+    r = np.random.default_rng(0)
+    centres = r.normal(size=(40, 64))
+    x = np.floor(256 * (centres[r.integers(0, 40, 4000)] + 0.1 * r.normal(size=(4000, 64))))
+    q, ids, count = x[:100], np.arange(4000), []
+    low = np.sort(q @ x[:1000].T, axis=1)[:, -6].astype(float)
+    at, found, score = topk.best(q, ids[:100], low, x, ids, 5, count=count)
+    whole = q @ x.T
+    whole[np.arange(100), np.arange(100)] = -np.inf
+    assert sorted(score[at == 7].tolist()) == np.sort(whole[7])[-5:].tolist()
+    assert sum(c for _, c in count) < 0.5 * sum(n for n, _ in count)
 
 
 def test_top_k_bound_holds():
@@ -375,8 +402,8 @@ def test_flow_spreads_before_it_deepens():
 
 def test_mix(spark, odd, empty):
     docs = frame(spark, odd_texts() + [text(R.randint(1, 80)) for _ in range(800)])
-    out = pdf(mixing.mix(docs, rows_per_bin=50), "id")
-    again = pdf(mixing.mix(docs.repartition(7), rows_per_bin=50), "id")
+    out = pdf(mixing.mix(docs, rows_at_edge=50), "id")
+    again = pdf(mixing.mix(docs.repartition(7), rows_at_edge=50), "id")
     assert out.drop(columns="pattern").equals(again.drop(columns="pattern"))
     out["source"] = [p[0] for p in out.pattern]
     assert (out.taken <= 3 * out["size"]).all() and len(out) == docs.count()
@@ -390,6 +417,45 @@ def test_mix_of_overlapping_sources(spark):
     both = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
     out = pdf(mixing.mix(docs, sources=both), "id")
     assert out.taken.sum() == pytest.approx(out["size"].sum(), rel=0.05)
+    assert all(len(s) * n == t for s, n, t in zip(out.serves, out["size"], out.taken))
+    served = collections.Counter(s for x in out.serves for s in x)
+    want = {p[0]: t for p, t in zip(out.pattern, out.target)}
+    assert set(served) == {"a", "b"} and served["a"] * 20 == pytest.approx(want["a"], rel=0.25)
+
+
+def test_flow_is_the_cheapest_and_quick():
+    r = random.Random(7)
+    for _ in range(30):  # against all whole-word flows, by dynamic programming over patterns
+        n_s = r.randint(1, 3)
+        member = [sorted(r.sample(range(n_s), r.randint(1, n_s))) for _ in range(r.randint(1, 4))]
+        supply, quota = [r.randint(0, 4) for _ in member], [r.randint(0, 6) for _ in range(n_s)]
+        sent = mixing.min_cost_flow(supply, quota, member, 3)
+        cost = lambda p, n: sum(max(0, min(n - supply[p] * e, supply[p])) * e for e in range(3))
+        best = {tuple(quota): (0, 0)}
+        for p, own in enumerate(member):
+            after = {}
+            for left, (words, spent) in best.items():
+                splits = [()]
+                for s in own:
+                    splits = [x + (k,) for x in splits for k in range(left[s] + 1)]
+                for x in splits:
+                    if sum(x) <= 3 * supply[p]:
+                        to = tuple(v - dict(zip(own, x)).get(s, 0) for s, v in enumerate(left))
+                        got = (words - sum(x), spent + cost(p, sum(x)))
+                        after[to] = min(after.get(to, got), got)
+            best = after
+        through = [sum(x.values()) for x in sent]
+        assert (-sum(through), sum(cost(p, n) for p, n in enumerate(through))) == min(best.values())
+    many = [sorted(r.sample(range(40), r.randint(1, 4))) for _ in range(20_000)]
+    sent = mixing.min_cost_flow([r.randint(1, 1000) for _ in many], [500_000] * 40, many, 3)
+    assert sum(sum(x.values()) for x in sent) == 40 * 500_000
+
+
+def test_mix_sums_digits_until_few_rows_are_left(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 7), "s") for i in range(3000)], "doc_id long, text string, source string")
+    docs = docs.union(docs.select(F.col("doc_id") + 5000, "text", F.lit("t")))
+    a, b = (pdf(mixing.mix(docs, rows_at_edge=n), "id") for n in (10_000, 3))
+    assert (a.taken == b.taken).all()
 
 
 # 8. Quality classifier.
