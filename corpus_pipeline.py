@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import bpe, mixing, neardup, quality, repeats
-from gneiss.llm.common import materialize, table
+from gneiss.llm.common import drop_scratch, materialize, scratch, table
 
 #: Shortest repeated string that is cut out, in bytes: less than 50 words take.
 REPEAT_BYTES = 200
@@ -119,9 +119,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, there = table(spark, sf_dir, "documents"), scratch()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)
+            drop_scratch(there, keep=docs)
     return docs

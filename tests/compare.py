@@ -1,6 +1,7 @@
 """Spark rows against DuckDB rows, whatever their order."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -14,4 +15,4 @@ def oracle(sql, folder):
 
 def rows(frame):
     names = sorted(frame.columns)
-    return names, sorted(tuple("null" if v is None or v != v else str(v) for v in r) for r in frame[names].astype(object).values.tolist())
+    return names, sorted(tuple("null" if v is None or v is pd.NA or v != v else str(v) for v in r) for r in frame[names].astype(object).values.tolist())
