@@ -5,23 +5,22 @@ neighbours would stay apart when merged on its own. So the merges compile to a
 nondeterministic transducer: a hypothesis is the last finished token and a place
 in the trie of tokens; reading a byte walks the trie, and a token may be
 finished there if it can follow the last one. Sets of hypotheses are
-determinised as texts need them, with the tokens that all hypotheses share
-emitted at once and the rest held back; no token needs more lookahead than the
-longest token has bytes.
+determinised as texts need them. A transition tells the token that is finished at
+its byte; each hypothesis is a chain of such tokens, and the tokens that all chains
+share are emitted. No token needs more lookahead than the longest token has bytes,
+so that a piece of any length takes bounded memory beside its ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import threading
-import time
 from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import table
+from gneiss.llm.common import kept, table
 
 
 def read_ranks(data: bytes) -> list[bytes]:
@@ -33,6 +32,11 @@ def read_ranks(data: bytes) -> list[bytes]:
     return out
 
 
+#: Bytes after which the settled tokens of a long piece are emitted; several times
+#: the longest token, so that there are always some.
+LOOKAHEAD = 4096
+
+
 class Transducer:
     """Encodes byte strings; keeps at most ``most`` determinised transitions.
     Vocabularies have less than 2^20 tokens."""
@@ -40,8 +44,10 @@ class Transducer:
     def __init__(self, tokens: list[bytes], most: int = 600_000):
         self.tokens, self.most = tokens, most
         self.ids = {t: i for i, t in enumerate(tokens)}
+        self.sizes = list(map(len, tokens))
         self.next: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
+        self.depth: list[int] = [0]
         for i, token in enumerate(tokens):
             at = 0
             for b in token:
@@ -50,6 +56,7 @@ class Transducer:
                     to = self.next[at][b] = len(self.next)
                     self.next.append({})
                     self.ends.append(-1)
+                    self.depth.append(self.depth[at] + 1)
                 at = to
             self.ends[at] = i
         self.parts: dict[int, tuple[int, int]] = {}
@@ -93,82 +100,103 @@ class Transducer:
         self.apart[(left << 20) | right] = ok
         return ok
 
-    def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
-        """Next state and what it emits. Every prefix has one encoding, so at
-        most one hypothesis can finish a token at a byte."""
-        now, finished, children, ends, apart = [], None, self.next, self.ends, self.apart
-        for last, node, held in state:
+    def step(self, state: tuple, byte: int) -> tuple[tuple, int]:
+        """Next state, and the token that is finished at this byte, or -1: every
+        prefix has one encoding at most, so there is one such token at most."""
+        now, finished, children, ends, apart = [], -1, self.next, self.ends, self.apart
+        for hypothesis in state:
+            last, node = hypothesis
             to = children[node].get(byte)
             if to is None:
                 continue
             if children[to]:
-                now.append((last, to, held))
-            token = ends[to]
-            if token >= 0 and finished is None:
-                if last < 0:
-                    ok = True
-                else:
-                    ok = apart.get((last << 20) | token)
-                    if ok is None:
-                        ok = self.stay_apart(last, token)
-                if ok:
-                    finished = (token, 0, (*held, token))
-        if finished is not None:
-            now.append(finished)
-        first = now[0][2]
-        if not first:
-            return tuple(now), first
-        shared = 0
-        for k in range(min(len(h) for _, _, h in now)):
-            if any(h[k] != first[k] for _, _, h in now):
-                break
-            shared += 1
-        return tuple((last, node, held[shared:]) for last, node, held in now) if shared else tuple(now), first[:shared]
+                now.append((last, to))
+            if finished < 0:
+                token = ends[to]
+                if token >= 0:
+                    if last < 0:
+                        finished = token
+                    else:
+                        ok = apart.get((last << 20) | token)
+                        if ok is None:
+                            ok = self.stay_apart(last, token)
+                        if ok:
+                            finished = token
+        if finished >= 0:
+            now.append((finished, 0))
+        return tuple(now), finished
 
     def _forget(self) -> None:
-        """Starts the determinised machine anew; state 0 is the initial one."""
-        self.states: list[tuple] = [((-1, 0, ()),)]
+        """Starts the determinised machine anew; state 0 is the initial one. Moves
+        are numbers by state * 256 + byte: the next state, 24 bits, and over those
+        the finished token + 1."""
+        self.states: list[tuple] = [((-1, 0),)]
         self.numbers = {self.states[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.made = 0
+        self.moves: dict[int, int] = {}
 
     def _number(self, state: tuple) -> int:
         at = self.numbers.get(state)
         if at is None:
             at = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
         return at
 
-    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, at: int, byte: int) -> int:
         state = self.states[at]
-        if self.made >= self.most:  # in the midst of a piece too, however long it is
+        if len(self.moves) >= self.most:  # in the midst of a piece too, however long it is
             self._forget()
             at = self._number(state)
-        state, emitted = self.step(state, byte)
-        self.made += 1
-        move = self.moves[at][byte] = self._number(state), emitted
+        state, finished = self.step(state, byte)
+        if not state:
+            raise ValueError("bytes that no tokens cover")
+        move = self.moves[at << 8 | byte] = self._number(state) | (finished + 1) << 24
         return move
 
+    def _path(self, finished: list[int], place: int) -> list[int]:
+        """The tokens that end at a place, the last first."""
+        out, size = [], self.sizes
+        while place:
+            token = finished[place - 1]
+            out.append(token)
+            place -= size[token]
+        return out
+
+    def _settled(self, finished: list[int], state: tuple) -> list[int]:
+        """The tokens that all hypotheses share, the first first. Each hypothesis
+        began where its last token ended, as many bytes ago as its node is deep."""
+        paths = [self._path(finished, len(finished) - self.depth[node])[::-1] for _, node in state]
+        out = []
+        for tokens in zip(*paths):
+            if tokens.count(tokens[0]) < len(tokens):
+                break
+            out.append(tokens[0])
+        return out
+
     def encode(self, data: bytes) -> tuple[int, ...]:
         if not data:
             return ()
         whole = self.ids.get(data)
         if whole is not None:
             return (whole,)
-        at, out, moves = 0, [], self.moves
-        for b in data:
-            move = moves[at].get(b)
-            if move is None:
-                move = self._move(at, b)
-                moves = self.moves
-            at, emitted = move
-            if emitted:
-                out += emitted
-        for _, node, held in self.states[at]:
-            if node == 0:
-                return (*out, *held)
-        raise ValueError("bytes that no tokens cover")
+        move, moves, finished, out = 0, self.moves, [], []
+        for lo in range(0, len(data), LOOKAHEAD):
+            for b in data[lo : lo + LOOKAHEAD] if lo or len(data) > LOOKAHEAD else data:
+                at = (move & 0xFFFFFF) << 8 | b
+                if at in moves:
+                    move = moves[at]
+                else:
+                    move = self._move(at >> 8, b)
+                    moves = self.moves
+                finished.append((move >> 24) - 1)
+            if lo + LOOKAHEAD < len(data):
+                tokens = self._settled(finished, self.states[move & 0xFFFFFF])
+                out += tokens
+                del finished[: sum(map(self.sizes.__getitem__, tokens))]
+        if finished[-1] < 0:
+            raise ValueError("bytes that no tokens cover")
+        path = self._path(finished, len(finished))
+        path.reverse()
+        return (*out, *path) if out else tuple(path)
 
 
 def utf8_step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
@@ -329,31 +357,15 @@ class Coder:
         return out
 
 
-_CODERS: dict[str, tuple] = {}
-_USED = [0.0]
-#: Seconds without a task after which a worker gives its coder's memory back.
-IDLE = 10.0
-
-
 def coder_of(ranks: bytes, pattern: str) -> tuple[Coder, StreamDecoder, list[str]]:
-    """The worker's coder, decoder and decimal ids. Tasks find it by import, so
-    that what one has compiled serves the next; one coder is kept, until no task
-    has asked for it for ``IDLE`` seconds."""
-    mark = hashlib.sha256(ranks + pattern.encode()).hexdigest()
-    _USED[0] = time.monotonic()
-    found = _CODERS.get(mark)
-    if found is None:
-        tokens = read_ranks(ranks)
-        _CODERS.clear()
-        found = _CODERS[mark] = Coder(tokens, pattern), StreamDecoder(tokens), [str(i) for i in range(len(tokens))]
-        threading.Thread(target=_forget_idle, args=(mark,), daemon=True).start()
-    return found
+    """The worker's coder, decoder and decimal ids: what one task has compiled
+    serves the next."""
 
+    def make():
+        tokens = read_ranks(ranks)
+        return Coder(tokens, pattern), StreamDecoder(tokens), [str(i) for i in range(len(tokens))]
 
-def _forget_idle(mark: str) -> None:
-    while (left := _USED[0] + IDLE - time.monotonic()) > 0:
-        time.sleep(left)
-    _CODERS.pop(mark, None)
+    return kept(hashlib.sha256(ranks + pattern.encode()).hexdigest(), make)
 
 
 def tokenize(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = True) -> DataFrame:

@@ -14,6 +14,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -57,19 +59,20 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/gneiss/{label}-{uuid.uuid4().hex}"
     if not _SCRATCH:
         atexit.register(drop_scratch)
-    _SCRATCH[path] = None
+    _SCRATCH[path] = spark.sparkContext._jsc.hadoopConfiguration(), threading.get_ident()
     df.write.parquet(path)
-    _SCRATCH[path] = spark.sparkContext._jsc.hadoopConfiguration()
     out = spark.read.schema(df.schema).parquet(path)
     out._gneiss_path = path
     return out
 
 
-_SCRATCH: dict = {}
+#: Configuration of the file system and maker's thread, by path.
+_SCRATCH: dict[str, tuple] = {}
 
 
 def _delete(path: str) -> None:
-    conf, gateway = _SCRATCH.pop(path, None), SparkContext._gateway
+    conf, _ = _SCRATCH.pop(path, (None, None))
+    gateway = SparkContext._gateway
     if conf is not None and gateway is not None:
         at = gateway.jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
@@ -84,14 +87,21 @@ def release(*frames: DataFrame) -> None:
 
 
 def scratch() -> set[str]:
-    """The tables that are there now."""
-    return set(_SCRATCH)
+    """The tables of this thread that are there now."""
+    return {p for p, (_, maker) in _SCRATCH.items() if maker == threading.get_ident()}
 
 
-def drop_scratch(since: set[str] = frozenset(), keep: DataFrame | None = None) -> None:
-    """Deletes the tables made after ``since`` was taken, but that of ``keep``;
-    frames built on them end too. Without arguments: all of this process."""
-    for path in [p for p in _SCRATCH if p not in since and p != getattr(keep, "_gneiss_path", None)]:
+def drop_since(there: set[str], *keep: DataFrame) -> None:
+    """Deletes the tables that this thread has made since ``there`` was taken, but
+    those of the frames to keep."""
+    kept = {frame._gneiss_path for frame in keep}
+    for path in scratch() - there - kept:
+        _delete(path)
+
+
+def drop_scratch() -> None:
+    """Deletes all tables of this process; frames built on them end too."""
+    for path in list(_SCRATCH):
         _delete(path)
 
 
@@ -137,18 +147,46 @@ def buffer_of(array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches: Iterator, column: str, most: int = 1 << 20) -> Iterator[tuple]:
     """(slice of the batch, bytes, offsets) of at most ``most`` bytes of text, or
-    one row: bounds the memory of what is computed from it."""
+    one row, and of at most 2^15 rows: bounds the memory of what is computed from
+    it, and the numbers of its rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, off = buffer_of(batch.column(batch.schema.get_field_index(column)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+            to = min(max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1), at + (1 << 15))
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
 
 
+# What a worker makes once for many tasks.
+
+_KEPT: dict[str, list] = {}
+IDLE = 10.0
+
+
+def kept(mark: str, make):
+    """What ``make`` gives, made once in a worker for all tasks that ask by the
+    same mark. One thing is kept, until no task has asked for it for ``IDLE``
+    seconds: its memory is then the next stage's. Functions that Spark pickles
+    must reach this one by import, as their own globals are copied."""
+    found = _KEPT.get(mark)
+    if found is None:
+        _KEPT.clear()
+        found = _KEPT[mark] = [0.0, make()]
+        threading.Thread(target=_forget_idle, args=(mark, found), daemon=True).start()
+    found[0] = time.monotonic()
+    return found[1]
+
+
+def _forget_idle(mark: str, found: list) -> None:
+    while (left := found[0] + IDLE - time.monotonic()) > 0:
+        time.sleep(left)
+    if _KEPT.get(mark) is found:
+        del _KEPT[mark]
+
+
 # Hashing. Polynomials modulo 2^64 over a random byte table, then mixed: any
 # substring's value comes from two prefix sums.
 
@@ -191,6 +229,21 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def spans(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings from first to last, which are in order."""
+    out = np.empty(len(first), _U)
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(last, first[at] + _SPAN, "right")))
+        lo, hi = first[at], last[to - 1]
+        sums = prefix_sums(data[lo:hi])
+        _, down = powers(hi - lo)
+        s, e = first[at:to] - lo, last[at:to] - lo
+        out[at:to] = (sums[e] - sums[s]) * down[s]
+        at = to
+    return mix(out ^ ((last - first).astype(_U) << _U(40)))
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start, end and row of each word; rows are the spans of off."""
     if not len(data):
@@ -205,17 +258,8 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     end[:-1] &= ~inside[1:] | edge[1:-1]
     first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
     row = np.searchsorted(off, first, "right") - 1
-    out = np.empty(len(first), _U)
-    at = 0
-    while at < len(first):
-        to = max(at + 1, int(np.searchsorted(last, first[at] + _SPAN, "right")))
-        lo, hi = first[at], last[to - 1]
-        sums = prefix_sums(data[lo:hi])
-        _, down = powers(hi - lo)
-        s, e = first[at:to] - lo, last[at:to] - lo
-        out[at:to] = (sums[e] - sums[s]) * down[s]
-        at = to
-    return mix(out ^ ((last - first).astype(_U) << _U(40))), first, last, row
+    out = spans(data, first, last)
+    return out, first, last, row
 
 
 def windows(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
