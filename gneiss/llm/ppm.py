@@ -16,6 +16,7 @@ scoring is a table lookup in numpy, or a join for the rarer grams.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import CRC_TABLE, LOWER, WORD, crc_sql, label_bucket, materialize, pieces, table, words
+from gneiss.llm.common import CRC_TABLE, LOWER, WORD, crc_sql, kept, label_bucket, materialize, pieces, table, words
 
 ORDER = 5
 _U = np.uint64
@@ -196,15 +197,21 @@ def count(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _threshold(rows: list, most: int) -> int:
-    """The least count that at most ``most`` keys reach, from (count, keys)."""
-    total, least = 0, None
-    for r in sorted(rows, key=lambda r: -r.n):
+#: Sixteenths of a power of two that a count reaches.
+_STEP = "floor(log2(n + 1) * 16)"
+
+
+def _frequent(counts: DataFrame, most: int) -> int:
+    """The least sixteenth power of two (``_STEP``) such that at most ``most`` keys
+    have as many or more; there are some hundred sixteenths, whatever the counts."""
+    rows = counts.groupBy(F.expr(_STEP).alias("step")).agg(F.count("*").alias("keys")).collect()
+    total, least = 0, max((r.step for r in rows), default=0) + 1
+    for r in sorted(rows, key=lambda r: -r.step):
         total += r.keys
         if total > most:
-            return least or r.n + 1
-        least = r.n
-    return 1
+            break
+        least = r.step
+    return least
 
 
 def _level(keys: np.ndarray, n: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,15 +224,17 @@ def fit(counts: DataFrame, chunk: int = 500_000) -> DataFrame:
     """(key, n, value): the log10 probability of the last byte of every counted
     gram, by the trie of all grams with n > 0.
 
-    All contexts of a gram but the two shortest end in the same two bytes, so the
-    trie falls into parts by these bytes, which are built and asked one after
-    another; contexts of no or one byte, at most 65,792 grams, go to every task.
+    All contexts of a gram but the three shortest end in the same three bytes, so
+    the trie falls into parts by these bytes, which are built and asked one after
+    another; a part has at most 2^24 grams (two more bytes and the next). Contexts
+    of up to two bytes go to every task: 2^24 grams and few more if all bytes
+    occurred, some hundred thousand in text.
     """
     spark = counts.sparkSession
     known = counts.where("kind = 1").select("key", "n")
-    short = known.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    two = short.column("key").to_numpy().view(_U), short.column("n").to_numpy()
-    sent = spark.sparkContext.broadcast([_level(*two, m) for m in (0, 1)])
+    short = known.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    three = short.column("key").to_numpy().view(_U), short.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast([_level(*three, m) for m in (0, 1, 2)])
 
     def run(batches):
         import pyarrow as pa
@@ -234,7 +243,7 @@ def fit(counts: DataFrame, chunk: int = 500_000) -> DataFrame:
             key, n = (np.concatenate(x) for x in zip(*parts))
             key = key.view(_U)
             some = n > 0
-            levels = sent.value + [_level(key[some], n[some], m) for m in range(2, ORDER + 1)]
+            levels = sent.value + [_level(key[some], n[some], m) for m in range(3, ORDER + 1)]
             trie = Trie([k for k, _ in levels], [2 * c.astype(float) - 1 for _, c in levels])
             value = trie.seen(key)
             miss = np.flatnonzero(np.isnan(value))
@@ -249,7 +258,7 @@ def fit(counts: DataFrame, chunk: int = 500_000) -> DataFrame:
             near, key, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(near):
                 continue
-            # Rows up to the last change of the two bytes complete their part.
+            # Rows up to the last change of the three bytes complete their part.
             cut = 0
             if size + len(near) > chunk:
                 edge = np.flatnonzero(near[1:] != near[:-1]) + 1
@@ -263,7 +272,7 @@ def fit(counts: DataFrame, chunk: int = 500_000) -> DataFrame:
         if parts:
             yield from answers(parts)
 
-    near = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("near")
+    near = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF)).alias("near")
     parted = known.select(near, "key", "n").repartition("near").sortWithinPartitions("near")
     return parted.mapInArrow(run, "key long, n long, value double")
 
@@ -275,38 +284,34 @@ def score(docs: DataFrame, learn: F.Column, most_words: int = 400_000, most_gram
     The base is a smoothed unigram model of words and one end per text, exact
     for every word: the ``most_words`` most frequent ones are broadcast, the
     others' occurrences are joined to their counts. So it is with the trie's
-    grams, of which the ``most_grams`` most frequent are broadcast. Null and empty texts consist
+    grams, of which the ``most_grams`` most frequent are broadcast. Both bounds hold
+    whatever the counts are. Null and empty texts consist
     of their end. Repeated rows count each, in training too. With no training
-    text every byte has probability 1/256 and the base is 0.
+    text every byte has probability 1/256 and the base is 0. Texts of any length
+    are scored whole; an empty table gives no rows.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     spark = docs.sparkSession
     counts = materialize(count(docs), "ppm-counts")
     spelt = materialize(fit(counts), "ppm-grams")
-    shape = spelt.groupBy(F.least(F.col("n") + 1, F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("keys")).collect()
-    least = _threshold(shape, most_grams) - 1
-    often = spelt.where(F.col("n") >= least).select("key", "value").toArrow()
+    least = _frequent(spelt, most_grams)
+    often = spelt.where(f"{_STEP} >= {least}").select("key", "value").toArrow()
     often = often.column("key").to_numpy().view(_U), often.column("value").to_numpy()
     texts = next((r.n for r in counts.where("kind = 2").collect()), 0)
     vocabulary = counts.where("kind = 0")
     size = vocabulary.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     total, distinct = (size.n or 0) + texts, size.v + (1 if texts else 0)
-    shape = vocabulary.groupBy(F.least("n", F.lit(5000)).alias("n")).agg(F.count("*").alias("keys")).collect()
-    frequent = vocabulary.where(F.col("n") >= _threshold(shape, most_words)).select("key", "n").toArrow()
-    kept = frequent.column("key").to_numpy().view(_U), frequent.column("n").to_numpy()
+    frequent = vocabulary.where(f"{_STEP} >= {_frequent(vocabulary, most_words)}").select("key", "n").toArrow()
+    words_ = frequent.column("key").to_numpy().view(_U), frequent.column("n").to_numpy()
     end = float(np.log10(texts + 0.1))
-    sent = spark.sparkContext.broadcast((*often, *kept))
-    mark = id(sent)
+    sent = spark.sparkContext.broadcast((*often, *words_))
+    mark = uuid.uuid4().hex
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        if mark not in _LOADED:
-            _LOADED.clear()
-            gram, value, word, n = sent.value
-            _LOADED[mark] = Table(gram, value), Table(word, np.log10(n + 0.1))
-        spell, known = _LOADED[mark]
+        spell, known = kept(mark, lambda: _tables(*sent.value))
         uid = TaskContext.get().partitionId() << 36
         for part, data, off in pieces(batches, "text"):
             n = len(off) - 1
@@ -335,7 +340,7 @@ def score(docs: DataFrame, learn: F.Column, most_words: int = 400_000, most_gram
                     yield pa.RecordBatch.from_arrays([pa.nulls(k, part.column(0).type), pa.nulls(k, pa.bool_()), pa.array(ids[r[first]]), pa.array(np.full(k, kind, np.int8)), pa.array(w[first].view(np.int64)), pa.array(times), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], _FIELDS)
 
     made = materialize(docs.mapInArrow(run, f"doc_id {kind}, learn boolean, uid long, kind byte, w long, n long, known long, head double, score double"), "ppm-scores")
-    sought = vocabulary.select("kind", F.col("key").alias("w"), F.log10(F.col("n") + 0.1).alias("value")).union(spelt.where(F.col("n") < least).select(F.lit(1).cast("byte"), "key", "value"))
+    sought = vocabulary.select("kind", F.col("key").alias("w"), F.log10(F.col("n") + 0.1).alias("value")).union(spelt.where(f"{_STEP} < {least}").select(F.lit(1).cast("byte"), "key", "value"))
     rare = made.where("w is not null").select("uid", "kind", "w", "n").join(sought, ["kind", "w"], "left")
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
     rare = rare.groupBy("uid").agg(of(0, F.col("n") * F.coalesce("value", F.lit(-1.0))).alias("tail"), of(0, F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("more"), of(1, F.col("n") * F.col("value")).alias("spelt"))
@@ -345,8 +350,11 @@ def score(docs: DataFrame, learn: F.Column, most_words: int = 400_000, most_gram
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("spelt", F.lit(0.0))).alias("score"))
 
 
+def _tables(gram: np.ndarray, value: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[Table, Table]:
+    return Table(gram, value), Table(word, np.log10(n + 0.1))
+
+
 _FIELDS = ["doc_id", "learn", "uid", "kind", "w", "n", "known", "head", "score"]
-_LOADED: dict = {}
 
 
 def op3_ppm_score(spark, sf_dir: str) -> DataFrame:
