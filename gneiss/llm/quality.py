@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import WORD, mix, pieces, table, windows, words
+from gneiss.llm.common import IS_SPACE, WORD, mix, pieces, spans, table, windows, words
 
 #: Most of a text's word characters that repeated windows of n words may cover.
 WINDOW_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -51,6 +51,28 @@ def _covered(n_words: int, first: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _lines(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+    """Number and bytes of the lines of each text that hold a word, and of those
+    that are equal to an earlier one; a line's hash is rolled over its bytes."""
+    n = len(off) - 1
+    feeds = np.flatnonzero(data == 10)
+    starts = np.unique(np.concatenate([off[:-1], feeds + 1]))
+    starts = starts[starts < len(data)]
+    row = np.searchsorted(off, starts, "right") - 1
+    ends = np.minimum(np.append(feeds, len(data))[np.searchsorted(feeds, starts)], off[row + 1])
+    held = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~IS_SPACE[data], out=held[1:])
+    some = np.flatnonzero(held[ends] > held[starts])
+    start, end, row = starts[some], ends[some], row[some]
+    size = end - start
+    key = mix(spans(data, start, end) ^ (row.astype(_U) * _U(0x9E3779B97F4A7C15)))
+    order = np.lexsort((start, key))
+    again = np.zeros(len(key), bool)
+    again[order[1:]] = key[order[1:]] == key[order[:-1]]
+    add = lambda weight: np.bincount(row, weight, n).astype(np.int64)
+    return {"n_dup_lines": add(again), "lines": np.bincount(row, minlength=n), "line_chars": add(size), "dup_line_chars": add(size * again)}
+
+
 def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """The fields of each text of a buffer, and what the rules look at."""
     n = len(off) - 1
@@ -65,25 +87,9 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         "n_words": count,
         "word_chars": np.bincount(row, length, n).astype(np.int64),
         "n_symbols": symbols[off[1:]] - symbols[off[:-1]],
-        "n_dup_lines": np.zeros(n, np.int64),
         "n_repeat_words": np.zeros(n, np.int64),
-        "lines": np.zeros(n, np.int64),
-        "line_chars": np.zeros(n, np.int64),
-        "dup_line_chars": np.zeros(n, np.int64),
     }
-    raw = data.tobytes()
-    for i in range(n):
-        seen, again, total, whole, lost = set(), 0, 0, 0, 0
-        for line in raw[off[i] : off[i + 1]].split(b"\n"):
-            if line.strip():
-                total += 1
-                whole += len(line)
-                if line in seen:
-                    again += 1
-                    lost += len(line)
-                else:
-                    seen.add(line)
-        out["lines"][i], out["line_chars"][i], out["n_dup_lines"][i], out["dup_line_chars"][i] = total, whole, again, lost
+    out |= _lines(data, off)
     for k in WINDOW_LIMITS:
         out[f"cover_{k}"] = np.zeros(n)
     first, later, _ = _again(hashes, row, min(WINDOW_LIMITS))
@@ -117,7 +123,8 @@ def score(docs: DataFrame) -> DataFrame:
     before in the text (a character counts once; the first showing does not).
     Kept: the base did not fail, and no cover and no share of repeated lines is
     over its limit (at the limit is kept). Null and empty texts have no words
-    and fail the base. Repeated rows are rows of their own.
+    and fail the base. Repeated rows are rows of their own. Texts of any length are
+    read whole; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     ints = ", ".join(f"{f} long" for f in FIELDS)
@@ -138,7 +145,8 @@ def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text the rules keep.
 
     The verdict is taken beside each row in one pass, so that repeated ids and
-    columns of any name do no harm.
+    columns of any name do no harm. Null and empty texts go; an empty table stays
+    empty.
     """
 
     def run(batches):
