@@ -3,9 +3,9 @@
 Each text is cut into sentences, on one line or wrapped over several, the
 sentences are normalised (letters, digits and inner dots, one space between
 words, lower case), looked up among known licence sentences, and the sequence of
-identifiers that comes out is matched against ordered rules; a rule that a
-longer matching rule contains gives way. The oracle SQL knows one-line sentences
-of ``SENTENCES`` only and is for tables that hold no others.
+identifiers that comes out is matched against ordered rules; a rule gives way
+where it lies within a longer rule that matches. The oracle SQL knows one-line
+sentences of ``SENTENCES`` only and is for tables that hold no others.
 """
 
 from __future__ import annotations
@@ -72,6 +72,18 @@ VARIANTS = {
     **{_GNU.format("", either, 2, later): (19,) for either in ("either ", "") for later in (_LATER, "")},
     **{_GNU.format("lesser ", either, v, later): (20,) for either in ("either ", "") for v in (2.1, 3) for later in (_LATER, "")},
     **{_GNU.format("affero ", either, 3, later): (21,) for either in ("either ", "") for later in (_LATER, "")},
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": (22,),
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": (22,),
+    # The full stop of "v. 2.0" ends a sentence.
+    "this source code form is subject to the terms of the mozilla public license v": (23,),
+    **{f"if a copy of the mpl was not distributed with this file you can obtain one at {http} mozilla.org mpl 2.0": (24,) for http in ("http", "https")},
+    "this is free and unencumbered software released into the public domain": (25,),
+    "this software is provided as is without any express or implied warranty": (26,),
+    "in no event will the authors be held liable for any damages arising from the use of this software": (27,),
+    "distributed under the boost software license version 1.0": (28,),
+    **{f"this work is licensed under {a} creative commons attribution 4.0 international license": (16,) for a in ("the", "a")},
+    **{f"this work is licensed under {a} creative commons attribution sharealike 4.0 international license": (17,) for a in ("the", "a")},
+    **{f"this work is licensed under {a} creative commons attribution noncommercial 4.0 international license": (4,) for a in ("the", "a")},
 }
 #: Further sequences: of the published notices, "all rights reserved" is a part.
 MORE_RULES = [
@@ -81,12 +93,18 @@ MORE_RULES = [
     ("gpl-2.0", "copyleft", (19,)),
     ("lgpl", "copyleft", (20,)),
     ("agpl-3.0", "copyleft", (21,)),
+    ("isc", "permissive", (22,)),
+    ("mpl-2.0", "copyleft", (23, 24)),
+    ("unlicense", "permissive", (25,)),
+    ("zlib", "permissive", (26, 27)),
+    ("bsl-1.0", "permissive", (28,)),
 ]
 _CUT, _NOISE, _EDGE = r"[.!?;:]+[ \t\r]+|[.!?;:]*\n+|[.!?;:]+$", r"[^A-Za-z0-9.\x01]+", r" ?\x01 ?"
 
 
 def _key(ids: tuple[int, ...]) -> str:
-    return "," + ",".join(map(str, ids)) + ","
+    """Each identifier between commas of its own, so that neighbours share none."""
+    return "".join(f",{i}," for i in ids)
 
 
 def _covered(rules=RULES) -> list[tuple[str, str, str, list[str]]]:
@@ -134,7 +152,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", plain.alias("plain"))
     rows = rows.select("doc_id", F.size(F.filter(F.split("plain", r"[\x01\x02]"), lambda s: s.rlike("[a-z0-9]"))).cast("long").alias("n_sentences"), F.transform(F.regexp_extract_all("plain", F.lit(_known()), 1), wording).alias("hits"))
     rows = rows.withColumn("sentence_ids", F.array_join(F.transform("hits", lambda s: F.element_at(known, s)), ","))
-    seq = F.concat(F.lit(","), "sentence_ids", F.lit(","))
+    seq = F.concat(F.lit(","), F.replace("sentence_ids", F.lit(","), F.lit(",,")), F.lit(","))
     names, kinds = {}, []
     for name, kind, key, longer in _covered(RULES + MORE_RULES):
         # A shorter rule stands if it also occurs outside the longer ones.
@@ -152,25 +170,23 @@ def op5_sentence_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = " ".join(f"when s = '{s}' then '{k}'" for k, s in SENTENCES.items())
-    names, kinds = [], []
-    for name, kind, key, longer in _covered():
-        rest = "seq"
-        for o in longer:
-            rest = f"replace({rest}, '{o}', ',0,')"
-        names.append(f"case when contains({rest}, '{key}') then '{name}' end")
-        kinds.append(f"case when contains({rest}, '{key}') then '{kind}' end")
-    listed = ", ".join(f"'{s}'" for s in SENTENCES.values())
+    """By lists: a rule matches where its identifiers stand in a row, unless a
+    longer rule's row, of which they are a part, lies there."""
+    sentences = ", ".join(f"({k}, '{s}')" for k, s in SENTENCES.items())
+    rules = ", ".join(f"({place}, '{name}', '{kind}', {list(ids)})" for place, (name, kind, ids) in enumerate(RULES))
     cut, noise, edge = (x.replace("\\x01", "' || chr(1) || '") for x in (_CUT, _NOISE, _EDGE))
     return f"""
-with a as (select doc_id, [trim(s) for s in regexp_split_to_array(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{cut}', chr(1), 'g'), '{noise}', ' ', 'g')), '{edge}')] as parts from documents),
-b as (select doc_id, len([s for s in parts if regexp_matches(s, '[a-z0-9]')])::bigint as n_sentences,
-  array_to_string([case {known} end for s in parts if s in ({listed})], ',') as sentence_ids from a),
-c as (select *, ',' || coalesce(sentence_ids, '') || ',' as seq from b)
-select doc_id, n_sentences, coalesce(sentence_ids, '') as sentence_ids,
-  coalesce(array_to_string([x for x in [{", ".join(names)}] if x is not null], ','), '') as licenses,
-  coalesce(array_to_string(list_sort(list_distinct([x for x in [{", ".join(kinds)}] if x is not null])), ','), '') as license_class
-from c"""
+with k(id, sentence) as (values {sentences}), rules(place, name, kind, ids) as (values {rules}),
+p as (select row_number() over () as rid, doc_id, [trim(s) for s in regexp_split_to_array(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{cut}', chr(1), 'g'), '{noise}', ' ', 'g')), '{edge}')] as parts from documents),
+w as (select rid, unnest(parts) as sentence, generate_subscripts(parts, 1) as i from p),
+h as (select rid, list(id order by i) as found from w join k using (sentence) group by rid),
+occurs as (select rid, r.place, r.name, r.kind, r.ids, unnest([i for i in range(1, len(found) - len(r.ids) + 2) if found[i : i + len(r.ids) - 1] = r.ids]) as start from h, rules r),
+free as (select distinct rid, place, name, kind from occurs a where not exists (select 1 from occurs b where b.rid = a.rid and len(b.ids) > len(a.ids)
+  and b.start <= a.start and a.start + len(a.ids) <= b.start + len(b.ids))),
+m as (select rid, string_agg(name, ',' order by place) as licenses, array_to_string(list_sort(list(distinct kind)), ',') as license_class from free group by rid)
+select doc_id, len([s for s in parts if regexp_matches(s, '[a-z0-9]')])::bigint as n_sentences,
+  coalesce(array_to_string(found, ','), '') as sentence_ids, coalesce(licenses, '') as licenses, coalesce(license_class, '') as license_class
+from p left join h using (rid) left join m using (rid)"""
 
 
 ORACLE = {"op5_sentence_rules": _sql()}
