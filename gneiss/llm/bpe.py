@@ -17,10 +17,11 @@ import base64
 import hashlib
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import kept, table
+from gneiss.llm.common import kept, pieces, table
 
 
 def read_ranks(data: bytes) -> list[bytes]:
@@ -35,6 +36,8 @@ def read_ranks(data: bytes) -> list[bytes]:
 #: Bytes after which the settled tokens of a long piece are emitted; several times
 #: the longest token, so that there are always some.
 LOOKAHEAD = 4096
+#: The longest pieces, in bytes, that the machine takes many of in step.
+WIDE = 96
 
 
 class Transducer:
@@ -133,6 +136,7 @@ class Transducer:
         self.states: list[tuple] = [((-1, 0),)]
         self.numbers = {self.states[0]: 0}
         self.moves: dict[int, int] = {}
+        self.keys = self.values = np.empty(0, np.int64)  # most of the moves, sorted
 
     def _number(self, state: tuple) -> int:
         at = self.numbers.get(state)
@@ -141,9 +145,9 @@ class Transducer:
             self.states.append(state)
         return at
 
-    def _move(self, at: int, byte: int) -> int:
+    def _move(self, at: int, byte: int, forget: bool = True) -> int:
         state = self.states[at]
-        if len(self.moves) >= self.most:  # in the midst of a piece too, however long it is
+        if forget and len(self.moves) >= self.most:  # in the midst of a piece too, however long it is
             self._forget()
             at = self._number(state)
         state, finished = self.step(state, byte)
@@ -199,6 +203,72 @@ class Transducer:
         return (*out, *path) if out else tuple(path)
 
 
+    def encode_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The same for many pieces: the machine takes a byte of all of them at a
+        time, and the moves that many need are looked up once."""
+        out = [(i,) if (i := self.ids.get(p)) is not None else None for p in pieces]
+        todo = []
+        for k, p in enumerate(pieces):
+            if out[k] is None:
+                if 0 < len(p) <= WIDE:
+                    todo.append(k)
+                else:
+                    out[k] = self.encode(p)
+        if not todo:
+            return out
+        if len(self.moves) >= self.most:
+            self._forget()
+        todo.sort(key=lambda k: -len(pieces[k]))
+        size = np.array([len(pieces[k]) for k in todo])
+        n, m = len(todo), int(size[0])
+        grid = np.ascontiguousarray(np.frombuffer(b"".join(pieces[k].ljust(m, b"\0") for k in todo), np.uint8).reshape(n, m).T)
+        state, finished = np.zeros(n, np.int64), np.empty((m, n), np.int32)
+        for j in range(m):
+            c = int(np.searchsorted(-size, -j, "left"))  # those that have this byte
+            need, which = np.unique(state[:c] << 8 | grid[j, :c], return_inverse=True)
+            move = self._look(need)[which]
+            state[:c], finished[j, :c] = move & 0xFFFFFF, (move >> 24) - 1
+            if len(self.moves) > 4 * self.most:  # texts made to need them: one by one
+                for k in todo:
+                    out[k] = self.encode(pieces[k])
+                return out
+        # Back from the ends, a token of every piece at a time.
+        place, live, steps, width = size.copy(), np.arange(n), [], np.array(self.sizes)
+        while len(live):
+            token = finished[place[live] - 1, live]
+            if (token < 0).any():
+                raise ValueError("bytes that no tokens cover")
+            steps.append((live, token))
+            place[live] -= width[token]
+            live = live[place[live] > 0]
+        count = np.zeros(n, np.int64)
+        for live, _ in steps:
+            count[live] += 1
+        end = np.cumsum(count)
+        flat = np.empty(int(end[-1]), np.int64)
+        for s, (live, token) in enumerate(steps):
+            flat[end[live] - 1 - s] = token
+        flat, end = flat.tolist(), end.tolist()
+        for k, lo, hi in zip(todo, [0, *end], end):
+            out[k] = tuple(flat[lo:hi])
+        if len(self.moves) > 1.1 * len(self.keys):
+            keys, values = (np.fromiter(x, np.int64, len(self.moves)) for x in (self.moves.keys(), self.moves.values()))
+            order = np.argsort(keys)
+            self.keys, self.values = keys[order], values[order]
+        return out
+
+    def _look(self, need: np.ndarray) -> np.ndarray:
+        """The moves of sorted keys; new ones are made."""
+        at = np.minimum(np.searchsorted(self.keys, need), max(0, len(self.keys) - 1))
+        known = self.keys[at] == need if len(self.keys) else np.zeros(len(need), bool)
+        out = self.values[at] if len(self.keys) else np.zeros(len(need), np.int64)
+        for i in np.flatnonzero(~known).tolist():
+            key = int(need[i])
+            move = self.moves.get(key)
+            out[i] = self._move(key >> 8, key & 255, False) if move is None else move
+        return out
+
+
 def utf8_step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
     """UTF-8 as a state machine: bytes still due, and the bounds of the next."""
     due, low, high = state
@@ -271,55 +341,19 @@ class StreamDecoder:
         return left
 
 
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-class _Pieces(dict):
-    """Ids of the text between two spaces, led by ``before``. When ``most`` are
-    held, they become the old ones; what is asked for again comes back. Letters
-    with marks after them are two matches, and a line end between two other
-    characters is one of its own; what else there is the pattern cuts."""
-
-    def __init__(self, coder: Coder, before: str, most: int):
-        super().__init__()
-        self.coder, self.before, self.most, self.old = coder, before, most, {}
-
-    def _make(self, piece: str) -> tuple[int, ...]:
-        coder = self.coder
-        if max(piece, default="\u0250") < "\u0250":  # letters that no version of Unicode disputes
-            word = piece.rstrip(_MARKS)
-            if word.isalpha():
-                ids = coder.fst.encode((self.before + word).encode())
-                return ids if len(word) == len(piece) else (*ids, *coder.match(piece[len(word) :]))
-        line, end, rest = piece.partition("\n")
-        if line and rest and not line[-1].isspace() and not rest[0].isspace():
-            return (*self[line], *coder.match(end), *coder.first[rest])
-        return tuple(chain.from_iterable(map(coder.match, coder.find(self.before + piece))))
-
-    def __missing__(self, piece: str):
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self._make(piece)
-            if len(piece) > 64:
-                return ids
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
 #: Fixed value: the pattern whose matches begin at a space between two non-spaces.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Coder:
     """Texts to ids and back. ``pattern`` cuts a text; each match is encoded on
-    its own. With the pattern ``SPACED`` texts are cut at such spaces first. Memory
-    is bounded by twice ``most`` remembered pieces, of up to 64 characters, of
-    either kind."""
+    its own. With the pattern ``SPACED`` texts are cut at spaces between two
+    non-spaces first, and what stands between them is a piece. Memory is bounded
+    by twice ``most`` remembered pieces of up to 64 characters: when ``most`` are
+    held, they become the old ones; what is asked for again comes back."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, most: int = 300_000):
+    def __init__(self, tokens: list[bytes], pattern: str, most: int = 200_000):
         import re
 
         import regex
@@ -327,35 +361,89 @@ class Coder:
         self.tokens = tokens
         self.fst = Transducer(tokens)
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
         self.most = most
-        self.spaced, self.first = _Pieces(self, " ", most), _Pieces(self, "", most // 8)
+        self.known: dict[str, tuple[int, ...]] = {}  # by match, a space before spaced ones
+        self.old: dict[str, tuple[int, ...]] = {}
         self.blurred = re.compile(r" [\s\x85\xa0]| \Z" if pattern == SPACED else "").search
 
-    def match(self, m: str) -> tuple[int, ...]:
-        ids = self.known.get(m)
-        if ids is None:
-            ids = self.old.get(m)
-            if ids is None:
-                ids = self.fst.encode(m.encode())
-            if len(m) <= 64:
-                if len(self.known) >= self.most:
-                    self.old, self.known = self.known, {}
-                self.known[m] = ids
-        return ids
+    def _cut(self, piece: str) -> list[str]:
+        """The matches of a piece, led by a space or not. Letters with marks after
+        them are two, and a line end between two other characters is one of its
+        own; what else there is the pattern cuts."""
+        bare = piece[1:] if piece[:1] == " " else piece
+        if max(bare, default="\u0250") < "\u0250":  # letters that no version of Unicode disputes
+            word = bare.rstrip(_MARKS)
+            if word.isalpha():
+                at = len(piece) - len(bare) + len(word)
+                return [piece] if at == len(piece) else [piece[:at], piece[at:]]
+        line, end, rest = bare.partition("\n")
+        if line and rest and not line[-1].isspace() and not rest[0].isspace():
+            return [*self._cut(piece[: len(piece) - len(bare)] + line), end, *self._cut(rest)]
+        return self.find(piece)
+
+    def _of(self, matches: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each of the matches, which are different."""
+        known, old = self.known.get, self.old.get
+        out = [known(m) or old(m) for m in matches]
+        new = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(new, self.fst.encode_many([matches[k].encode() for k in new])):
+            out[k] = ids
+        if len(self.known) >= self.most:
+            self.old, self.known = self.known, {}
+        self.known.update((m, ids) for m, ids in zip(matches, out) if len(m) <= 64)
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        # No match runs over a space between two non-spaces.
-        if not text:
-            return []
-        if self.blurred(text):
-            return list(chain.from_iterable(map(self.match, self.find(text))))
-        pieces = text.split(" ")
-        out = list(self.first[pieces[0]])
-        out.extend(chain.from_iterable(map(self.spaced.__getitem__, pieces[1:])))
+    def pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Ids of pieces, which are led by a space or not."""
+        cut = list(map(self._cut, pieces))
+        matches = list(dict.fromkeys(chain.from_iterable(cut)))
+        ids: dict[str, tuple[int, ...]] = {}
+        for at in range(0, len(matches), 50_000):
+            part = matches[at : at + 50_000]
+            ids.update(zip(part, self._of(part)))
+        return [ids[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, c))) for c in cut]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; each piece that they hold is taken once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
+        plain = []
+        for k, text in enumerate(texts):
+            if text and self.blurred(text):
+                found = self.pieces_of_matches(text)
+                out[k] = np.fromiter(found, np.int64)
+            elif text:
+                plain.append(k)
+        if not plain:
+            return out
+        lists = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+        begin = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        # A text's first piece has no space before it.
+        index[begin[:-1]] = len(words) + np.arange(len(plain))
+        ids = self.pieces([" " + w for w in words] + [words[i] for i in coded.indices.take(pa.array(begin[:-1])).to_pylist()])
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+        start, own = np.cumsum(size) - size, size[index]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        every = flat[np.arange(upto[-1]) + np.repeat(start[index] - upto[:-1], own)]
+        for k, lo, hi in zip(plain, upto[begin[:-1]].tolist(), upto[begin[1:]].tolist()):
+            out[k] = every[lo:hi]
         return out
 
+    def pieces_of_matches(self, text: str):
+        """The ids of a text that only the pattern can cut, match by match."""
+        found = self.find(text)
+        different = list(dict.fromkeys(found))
+        ids = dict(zip(different, self._of(different)))
+        return chain.from_iterable(map(ids.__getitem__, found))
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
 
 def coder_of(ranks: bytes, pattern: str) -> tuple[Coder, StreamDecoder, list[str]]:
     """The worker's coder, decoder and decimal ids: what one task has compiled
@@ -384,25 +472,22 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tru
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for part, _, _ in pieces(batches, "text", 8 << 20):
             coder, decoder, names = coder_of(sent.value, pattern)
-            doc, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
-            for at in range(0, batch.num_rows, 500):
-                part = texts.slice(at, 500)
-                n, hashes, back, ids_out = [], [], [], []
-                for text in part:
-                    ids = coder.encode(text.as_py() or "")
-                    n.append(len(ids))
-                    if with_ids:
-                        ids_out.append(ids)
-                    hashes.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                    digest = hashlib.sha256(decoder.feed(ids))
-                    digest.update(decoder.end())
-                    back.append(digest.hexdigest())
-                out = {"doc_id": doc.slice(at, 500), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(hashes), "decoded_sha256": pa.array(back)}
-                if with_ids:
-                    out["ids"] = pa.array(ids_out, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            doc, texts = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "text"))
+            found = coder.encode_all([t or "" for t in texts.to_pylist()])
+            hashes, back = [], []
+            for ids in found:
+                ids = ids.tolist()
+                hashes.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                digest = hashlib.sha256(decoder.feed(ids))
+                digest.update(decoder.end())
+                back.append(digest.hexdigest())
+            n = np.array([len(ids) for ids in found], np.int64)
+            out = {"doc_id": doc, "n_tokens": pa.array(n), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -174,7 +174,8 @@ def kept(mark: str, make):
     found = _KEPT.get(mark)
     if found is None:
         _KEPT.clear()
-        found = _KEPT[mark] = [0.0, make()]
+        made = make()
+        found = _KEPT[mark] = [time.monotonic(), made]
         threading.Thread(target=_forget_idle, args=(mark, found), daemon=True).start()
     found[0] = time.monotonic()
     return found[1]
