@@ -44,7 +44,7 @@ class Transducer:
     """Encodes byte strings; keeps at most ``most`` determinised transitions.
     Vocabularies have less than 2^20 tokens."""
 
-    def __init__(self, tokens: list[bytes], most: int = 600_000):
+    def __init__(self, tokens: list[bytes], most: int = 450_000):
         self.tokens, self.most = tokens, most
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.sizes = list(map(len, tokens))
@@ -353,7 +353,7 @@ class Coder:
     by twice ``most`` remembered pieces of up to 64 characters: when ``most`` are
     held, they become the old ones; what is asked for again comes back."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, most: int = 200_000):
+    def __init__(self, tokens: list[bytes], pattern: str, most: int = 150_000):
         import re
 
         import regex
@@ -395,25 +395,25 @@ class Coder:
 
     def pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """Ids of pieces, which are led by a space or not."""
-        cut = list(map(self._cut, pieces))
-        matches = list(dict.fromkeys(chain.from_iterable(cut)))
-        ids: dict[str, tuple[int, ...]] = {}
-        for at in range(0, len(matches), 50_000):
-            part = matches[at : at + 50_000]
-            ids.update(zip(part, self._of(part)))
-        return [ids[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, c))) for c in cut]
+        out = []
+        for at in range(0, len(pieces), 40_000):
+            cut = list(map(self._cut, pieces[at : at + 40_000]))
+            matches = list(dict.fromkeys(chain.from_iterable(cut)))
+            ids = dict(zip(matches, self._of(matches)))
+            out += [ids[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, c))) for c in cut]
+        return out
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; each piece that they hold is taken once."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
         plain = []
         for k, text in enumerate(texts):
             if text and self.blurred(text):
                 found = self.pieces_of_matches(text)
-                out[k] = np.fromiter(found, np.int64)
+                out[k] = np.fromiter(found, np.int32)
             elif text:
                 plain.append(k)
         if not plain:
@@ -421,15 +421,18 @@ class Coder:
         lists = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
         begin = lists.offsets.to_numpy()
         coded = lists.values.dictionary_encode()
-        index, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        index, words = np.array(coded.indices, np.int32), coded.dictionary.to_pylist()
         # A text's first piece has no space before it.
         index[begin[:-1]] = len(words) + np.arange(len(plain))
         ids = self.pieces([" " + w for w in words] + [words[i] for i in coded.indices.take(pa.array(begin[:-1])).to_pylist()])
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
-        start, own = np.cumsum(size) - size, size[index]
-        upto = np.concatenate([[0], np.cumsum(own)])
-        every = flat[np.arange(upto[-1]) + np.repeat(start[index] - upto[:-1], own)]
+        del lists, coded, words
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        start, own = np.cumsum(size, dtype=np.int64) - size, size[index]
+        upto = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
+        place = np.repeat(start[index] - upto[:-1], own)
+        place += np.arange(upto[-1])
+        every = flat[place]
         for k, lo, hi in zip(plain, upto[begin[:-1]].tolist(), upto[begin[1:]].tolist()):
             out[k] = every[lo:hi]
         return out
@@ -472,7 +475,7 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tru
     def run(batches):
         import pyarrow as pa
 
-        for part, _, _ in pieces(batches, "text", 8 << 20):
+        for part, _, _ in pieces(batches, "text", 4 << 20):
             coder, decoder, names = coder_of(sent.value, pattern)
             doc, texts = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "text"))
             found = coder.encode_all([t or "" for t in texts.to_pylist()])
