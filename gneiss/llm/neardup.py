@@ -27,11 +27,14 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gneiss.llm.common import LOWER, components, materialize, mix, pieces, table, windows, words
+from gneiss.llm.common import LOWER, components, drop_since, materialize, mix, pieces, scratch, table, windows, words
 
 PER_HALF = 3
-BIG = 8  # members from which a component counts as one kind of its own
+#: Members from which a component counts as one kind of its own: pairs within it
+#: need no test. It changes how cells are told apart, not which pairs are tested.
+BIG = 8
 _U = np.uint64
 
 
@@ -144,9 +147,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component_id is the smallest doc_id of a connected component. Equal sets
     always link. A doc_id names one text: repeated rows share one result. A row
     without doc_id gets no component and is kept. No pair, bucket or partner is capped.
+    Texts are read whole, whatever their length. An empty table gives no rows.
+    doc_ids are integers; another type raises TypeError.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("near_duplicates takes integer doc_ids")
     similarity = percent / 100
-    halves = half_keys(similarity)
+    halves, there = half_keys(similarity), scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(sketch(docs, size, halves), "sketch")
     named = rows.where("n > 0 and doc_id is not null")
@@ -199,15 +206,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     lacks = tried.selectExpr("a AS c", "b AS p", "nb - i AS lacks", "na - i AS others").union(tried.selectExpr("b", "a", "na - i", "nb - i"))
     lacks = own.join(main, "c").join(lacks, ["c", "p"]).select("c", F.col("p").alias("pivot"), "lacks", "others")
     lacks = materialize(lacks, "lacks")
+    # Written on its own: a join with the large ones need not deal the members out.
     big = comp.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") >= BIG).select(F.col("component").alias("g"), F.lit(True).alias("big"))
+    big = materialize(big, "big")
     about = own.join(lacks, "c", "left").join(alone, "c", "left")
     about = about.select("c", F.coalesce("pivot", "c").alias("pivot"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("lacks", "others", "alone")])
     held = held.join(big, "g", "left").withColumn("kind", F.when(F.col("big"), F.col("g")))
     held = materialize(held.join(about, "c").withColumn("cell", F.xxhash64("kind", "pivot", "n", "lacks", "others", "alone")), "held")
     cells = materialize(held.groupBy("k", "cell").agg(*[F.first(x).alias(x) for x in ("kind", "pivot", "n", "lacks", "others", "alone")]), "cells")
-    other = cells.select("k", *[F.col(x).alias(f"p_{x}") for x in ("cell", "kind", "pivot", "n", "lacks", "others", "alone")])
+    # Nothing is tested within a kind: the one with most of a bucket's cells is met
+    # by the others only, so that a large group of copies costs its cells once.
+    major = cells.where("kind is not null").groupBy("k", "kind").agg(F.count("*").alias("m"))
+    major = major.groupBy("k").agg(F.max_by("kind", F.struct("m", "kind")).alias("major"))
+    cells = cells.join(major, "k", "left").withColumn("main", F.coalesce(F.col("kind") == F.col("major"), F.lit(False)))
+    other = cells.where("not main").select("k", *[F.col(x).alias(f"p_{x}") for x in ("cell", "kind", "pivot", "n", "lacks", "others", "alone")])
     differ = "case when pivot = p_pivot then others + p_others + abs(lacks - p_lacks) else alone + p_alone end"
-    near = cells.join(other, "k").where("cell <= p_cell and not coalesce(kind = p_kind, false)")
+    near = cells.join(other, "k").where("(main or cell <= p_cell) and not coalesce(kind = p_kind, false)")
     near = near.where(f"({differ}) * {100 + percent} <= {100 - percent} * (n + p_n)").where(ratio.replace("pn", "p_n"))
     near = near.select("k", "cell", "p_cell")
     some = near.join(held.select("k", "cell", "c", "g"), ["k", "cell"])
@@ -215,14 +229,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rest = rest.select("c", "p")
     # Members with a common pivot that share a shingle which it has not.
     known = held.select("c", "n", "g").distinct()
-    beside = _beside(lacks.select("c", F.col("pivot").alias("p")), sets)
-    beside = beside.join(beside.groupBy("p", "h").agg(F.count("*").alias("m")).where("m > 1").select("p", "h"), ["p", "h"])
-    beside = materialize(beside.join(known, "c"), "beside")
-    peers = beside.select("p", "h", F.col("c").alias("q"), F.col("n").alias("pn"), F.col("g").alias("pg"))
-    rest = rest.union(beside.join(peers, ["p", "h"]).where("c > q and g <> pg").where(ratio).select("c", "q"))
+    beside = _beside(lacks.select("c", F.col("pivot").alias("p")), sets).join(known, "c")
+    mixed = beside.groupBy("p", "h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("p", "h")
+    beside = materialize(beside.join(mixed, ["p", "h"]), "beside")
+    major = beside.groupBy("p", "h", "g").agg(F.count("*").alias("m")).groupBy("p", "h").agg(F.max_by("g", F.struct("m", "g")).alias("major"))
+    marked = beside.join(major, ["p", "h"])
+    peers = marked.where("g <> major").select("p", "h", F.col("c").alias("q"), F.col("n").alias("pn"), F.col("g").alias("pg"))
+    rest = rest.union(marked.join(peers, ["p", "h"]).where("g <> pg and (g = major or c > q)").where(ratio).select("c", "q"))
     rest = rest.select(F.greatest("c", "p").alias("a"), F.least("c", "p").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = materialize(_common(_alike(rest, sigs, similarity, n_hash), sets), "links").where(linked).select("a", "b")
     comp = materialize(components(links.union(more)), "components")
+    drop_since(there, rows, whole, comp)
     named = whole.select("s1", "s2", "c").join(comp.withColumnRenamed("node", "c"), "c", "left")
     named = named.select("s1", "s2", F.coalesce("component", "c").alias("component_id"))
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
