@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialize, mix, pieces, powers, prefix_sums, release, table
+from gneiss.llm.common import drop_since, materialize, mix, pieces, powers, prefix_sums, release, scratch, table
 
 MEMBERS = 1000
 _U = np.uint64
@@ -305,7 +305,7 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFr
     docs: c1, c2 (``fingerprint``), rid (a hash of the row) and data (binary),
     any number of rows to a text. Spans may touch or overlap. Copies of a whole
     text are left to the caller: they repeat all of it. Also returns the texts
-    that hold a candidate place, one row each: c1, c2, data.
+    that hold a candidate place, one row each: c1, c2, data, hs.
     """
     key = max(1, min(200, least // 2))
     side = least - key
@@ -401,7 +401,7 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> tuple[DataFrame, DataFr
     spans = parts.repartition("part").sortWithinPartitions("part").mapInArrow(solve, "c1 long, c2 long, start int, end int")
     for more in (*decided, sure):
         spans = spans.union(more)
-    return spans, one.select(*TEXT, "data")
+    return spans, one
 
 
 def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -> DataFrame:
@@ -418,8 +418,10 @@ def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = docs.select("doc_id", text.alias("data")).select("doc_id", "data", *fingerprint("data"), F.xxhash64("doc_id").alias("rid"))
+    there = scratch()
     spans, texts = repeated_spans(base, least)
     merged = materialize(spans.groupBy(*TEXT).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    drop_since(there, merged, texts)
     n_bytes = F.octet_length("data").cast("long")
     long = base.where(n_bytes >= least)
     copied = materialize(long.groupBy(*TEXT).agg(F.count("*").alias("n")).where("n > 1").select(*TEXT), "copied")

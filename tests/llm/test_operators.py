@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from compare import oracle, rows
 from conftest import DATA
-from gneiss.llm import bpe, fm, licenses, mixing, neardup, ppm, quality, queries, repeats, sharding, topk
+from gneiss.llm import bpe, common, fm, licenses, mixing, neardup, ppm, quality, queries, repeats, sharding, topk
 
 SF = f"{DATA}/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, cls long, n int, key string, kept string"
@@ -303,13 +303,26 @@ BSD_3 = BSD_2 + """
    California nor the names of its contributors may be used to endorse or
    promote products derived from this software without specific prior written
    permission."""
+ISC = """Copyright (c) 2020 Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software."""
+CC = """This work is licensed under a Creative Commons
+Attribution-ShareAlike 4.0 International License."""
 GPL = """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
 the Free Software Foundation, either version 3 of the License, or
 (at your option) any later version."""
 
 
-@pytest.mark.parametrize("notice,name,kind", [(APACHE, "apache-2.0-notice", "permissive"), (MIT, "mit-text", "permissive"), (BSD_2, "bsd-2-clause", "permissive"), (BSD_3, "bsd-3-clause", "permissive"), (GPL, "gpl-3.0", "copyleft"), (GPL.replace("version 3", "version 2").replace(":", ";"), "gpl-2.0", "copyleft"), (GPL.replace("General", "Affero General"), "agpl-3.0", "copyleft"), (GPL.replace("General", "Lesser General"), "lgpl", "copyleft")])
+@pytest.mark.parametrize("notice,name,kind", [(APACHE, "apache-2.0-notice", "permissive"), (MIT, "mit-text", "permissive"), (BSD_2, "bsd-2-clause", "permissive"), (BSD_3, "bsd-3-clause", "permissive"), (GPL, "gpl-3.0", "copyleft"), (ISC, "isc", "permissive"), (MPL, "mpl-2.0", "copyleft"), (ZLIB, "zlib", "permissive"), (CC, "cc-by-sa-4.0", "copyleft"), (GPL.replace("version 3", "version 2").replace(":", ";"), "gpl-2.0", "copyleft"), (GPL.replace("General", "Affero General"), "agpl-3.0", "copyleft"), (GPL.replace("General", "Lesser General"), "lgpl", "copyleft")])
 def test_published_notices(spark, notice, name, kind):
     comment = "".join(f" * {x}\r\n" for x in notice.split("\n"))
     texts = [notice, " ".join(notice.split()), comment, "Some title\n" + notice + "\nMore text", notice.replace(" ", "\n")]
@@ -317,6 +330,14 @@ def test_published_notices(spark, notice, name, kind):
     assert list(out.licenses) == [name] * len(texts) and set(out.license_class) == {kind}
 
 
+def test_a_notice_twice_is_no_shorter_rule(spark):
+    short = APACHE.replace("You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n", "")
+    texts = [short + "\n\n" + short, APACHE * 3, short + "\n\nLicensed under the Apache License, Version 2.0.\n\n" + short]
+    out = pdf(licenses.recognise(frame(spark, texts, repeat=False)))
+    assert out.sentence_ids[0] == "1,6,8,1,6,8"
+    assert list(out.licenses) == ["apache-2.0-notice-short", "apache-2.0-notice", "apache-2.0,apache-2.0-notice-short"]
+
+
 def test_licences_need_whole_sentences(spark):
     texts = ["They may be licensed under the MIT License.", "Licensed under the MIT License of old.", "Released under.\nThe MIT License."]
     assert set(pdf(licenses.recognise(frame(spark, texts, repeat=False))).licenses) == {""}
@@ -530,7 +551,7 @@ def test_bpe_in_little_memory_and_by_other_patterns(coder):
     r = random.Random(6)
     texts = ["".join(r.choice("abcdeé 中😀") for _ in range(r.randint(200, 400))) for _ in range(20)] + ["x" * 3000, "ab" * 2000]
     for t in texts:
-        assert own.encode(t) == library.encode_ordinary(t) and own.fst.made <= 20
+        assert own.encode(t) == library.encode_ordinary(t) and len(own.fst.moves) <= 20
     other = r"\S+\s?|\s+"
     library = tiktoken.Encoding("other", pat_str=other, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
     own = bpe.Coder(tokens, other)
@@ -549,13 +570,24 @@ def test_coders_outlive_tasks(spark):
         import pyarrow as pa
 
         for _ in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._CODERS)])], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._KEPT)])], ["n"])
 
     for _ in range(2):
         bpe.tokenize(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     assert max(r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()) == 1
 
 
+def test_what_is_kept_goes_when_nobody_asks(monkeypatch):
+    import time
+
+    monkeypatch.setattr(common, "IDLE", 0.2)
+    made = []
+    assert [common.kept("a", lambda: made.append(1) or len(made)) for _ in range(3)] == [1, 1, 1]
+    time.sleep(0.6)
+    assert "a" not in common._KEPT and common.kept("a", lambda: made.append(1) or len(made)) == 2
+    assert common.kept("b", lambda: "b") == "b" and list(common._KEPT) == ["b"]
+
+
 def test_streaming_decode(coder):
     tokens, own, _ = coder
     decoder, t = bpe.StreamDecoder(tokens), "naïve 中文 😀 ß" * 20
@@ -639,6 +671,79 @@ def test_near_duplicates_of_nothing(empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_ids_that_are_no_integers(spark):
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    a, b = text(80), text(80)
+    docs = spark.createDataFrame([("x", a), ("y", a), ("z", b)], "doc_id string, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {"x", "z"}
+
+
+def test_near_duplicates_without_ids(spark):
+    a = text(50)
+    docs = spark.createDataFrame([(None, a), (None, a), (4, a), (2, a), (None, None)], "doc_id long, text string")
+    out = sorted(((r.doc_id or 0, r.component_id or 0, r.kept, r.n_shingles > 0) for r in neardup.near_duplicates(docs).collect()))
+    assert out == [(0, 0, True, False), (0, 0, True, True), (0, 0, True, True), (2, 2, True, True), (4, 2, False, True)]
+
+
+# Texts of more than the parts that the operators work in.
+
+
+@pytest.mark.parametrize("span", [700, 4096])
+def test_seams_change_nothing(span, monkeypatch):
+    r = random.Random(3)
+    passage = text(80, r)
+    texts = [" ".join(text(r.randint(1, 60), r) if r.random() < 0.7 else passage for _ in range(r.randint(1, 20))).encode() for _ in range(30)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole = [common.words(data, off), repeats.places(data, off, 400, 200), quality.measure(data, off)]
+    monkeypatch.setattr(common, "_SPAN", span)
+    monkeypatch.setattr(repeats, "_SPAN", span)
+    parts = [common.words(data, off), repeats.places(data, off, 400, 200), quality.measure(data, off)]
+    for a, b in zip(whole[:2], parts[:2]):
+        assert all((x == y).all() for x, y in zip(a, b))
+    assert all((whole[2][k] == parts[2][k]).all() for k in whole[2])
+
+
+@pytest.fixture(scope="module")
+def huge():
+    """Texts of some megabytes, of which two share their middle, beside short ones."""
+    r = random.Random(11)
+    middle = text(120_000, r)
+    return [text(150_000, r) + "\n" + middle + "\nend", "begin " + middle + " " + text(150_000, r), "short", None, "x" * 1_500_000, text(60, r)]
+
+
+def test_huge_texts_by_bytes_and_words(spark, huge):
+    docs = frame(spark, huge, repeat=False)
+    raw = [(t or "").encode() for t in huge]
+    assert max(map(len, raw)) > 1 << 20
+    out = pdf(sharding.shard_by_bytes(docs, shards=3))
+    assert list(out["size"]) == [len(b) + 8 for b in raw] and list(out.text_crc32) == [zlib.crc32(b) for b in raw]
+    out = pdf(quality.score(docs))
+    assert list(out.n_words) == [len(b.split()) for b in raw] and list(out.word_chars) == [sum(map(len, b.split())) for b in raw]
+    out = pdf(neardup.near_duplicates(docs, 3, 85))
+    want = [len({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else ()) for w in (b.lower().split() for b in raw)]
+    assert list(out.n_shingles) == want
+    out = pdf(mixing.mix(docs), "id")
+    assert list(out["size"]) == [len(b.split()) for b in raw]
+
+
+def test_huge_texts_by_model(spark, huge):
+    docs = frame(spark, huge, repeat=False)
+    out = pdf(ppm.score(docs, F.col("doc_id") != 1))
+    assert list(out.n_tokens) == [len((t or "").split()) + 1 for t in huge] and np.isfinite(out.score).all()
+    labels = spark.createDataFrame([(0, 1), (1, 0), (5, 1)], "doc_id long, quality int")
+    assert fm.predict(docs, fm.train(docs, labels, F.lit(True))).where("score between 0 and 1").count() == len(huge)
+
+
+def test_repeats_of_huge_texts(spark, huge):
+    out = pdf(repeats.remove_repeats(frame(spark, huge, repeat=False), 400))
+    at, to = huge[0].index("\n") + 1, huge[0].rindex("\n")
+    middle = to - at
+    gone = out.n_removed
+    assert middle <= gone[0] <= middle + 2 and middle <= gone[1] <= middle + 2 and out.n_spans[0] == out.n_spans[1] == 1
+    assert gone[4] == 1_500_000 and list(gone[[2, 3, 5]]) == [0, 0, 0]
+
+
 # The pipeline.
 
 
