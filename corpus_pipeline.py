@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gneiss.llm import bpe, mixing, neardup, quality, repeats
-from gneiss.llm.common import drop_scratch, materialize, scratch, table
+from gneiss.llm.common import drop_since, materialize, scratch, table
 
 #: Shortest repeated string that is cut out, in bytes: less than 50 words take.
 REPEAT_BYTES = 200
@@ -37,9 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents are linked at a similarity of 0.8 on five-word shingles. Repeated
     rows of a document become one. Rows without doc_id, or with one that other
-    texts have too, form groups by text like all others.
+    texts have too, or that is no integer, form groups by text like all others.
     """
-    unclear = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    unclear = not isinstance(docs.schema["doc_id"].dataType, T.IntegralType) or docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if unclear:
         return _near_duplicates_by_row(docs)
     kept = neardup.near_duplicates(docs, size=5, percent=80).where("kept")
@@ -124,5 +125,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, name)
-            drop_scratch(there, keep=docs)
+            drop_since(there, docs)
     return docs
