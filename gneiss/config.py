@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 PAGE_SIZE_MAX = 500
@@ -17,6 +18,13 @@ class GatewayConfig:
     read_only: bool = True
     jdbc_options: dict[str, str] = field(default_factory=dict)
 
+    @classmethod
+    def from_environment(cls, **given) -> GatewayConfig:
+        """What is given, else what GNEISS_* variables say, else the defaults."""
+        kinds = {"name": str, "page_size": int, "query_timeout": float, "read_only": lambda v: v.strip().lower() not in ("0", "false", "no")}
+        found = {k: read(os.environ[f"GNEISS_{k.upper()}"]) for k, read in kinds.items() if f"GNEISS_{k.upper()}" in os.environ}
+        return cls(**(found | given))
+
     def problems(self) -> list[str]:
         """All that is wrong, not the first thing only."""
         out = []

@@ -62,3 +62,31 @@ def rows(df: DataFrame) -> list[dict]:
     """All rows of a bounded frame; of equal column names the last one stands."""
     kinds = [(f.name, f.dataType) for f in df.schema.fields]
     return [{name: encode(v, kind) for (name, kind), v in zip(kinds, row)} for row in df.collect()]
+
+
+def affected(df: DataFrame) -> int | None:
+    """Rows that a write has put out, by the metrics of the command that ran;
+    None where the statement wrote none."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() != "CommandResult":
+        return None
+    found = [plan.commandPhysicalPlan()]
+    while found:
+        node = found.pop()
+        metric = node.metrics().get("numOutputRows")
+        if node.nodeName().startswith("Execute ") and metric.isDefined():
+            return int(metric.get().value())
+        children = node.children()
+        found += [children.apply(i) for i in range(children.size())]
+    return None
+
+
+def first_cell(df: DataFrame):
+    """The first column of the first row as a JSON value; None without rows."""
+    row = df.limit(1).collect()
+    return encode(row[0][0], df.schema.fields[0].dataType) if row else None
+
+
+def first_column(df: DataFrame) -> list:
+    """The first column of a bounded frame as JSON values."""
+    return [encode(r[0], df.schema.fields[0].dataType) for r in df.select(df[df.columns[0]]).collect()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gneiss import runner
@@ -10,23 +12,31 @@ from gneiss.errors import QueryError, ReadOnlyViolation, SqlError, TableNotFound
 from gneiss.functions import encode
 from gneiss.functions.ident import quote_ident, resolve_database, validate_ident
 from gneiss.operators import catalog
-from gneiss.plans import explain
+from gneiss.plans import explain, rewrite
 from gneiss.plans.gate import Gate, StatementKind
-from gneiss.plans.paging import Pager
+from gneiss.plans.paging import DEEP, DEEP_SETTING, Pager
+
+#: Sessions of other databases that are kept for further requests.
+SESSIONS = 16
 
 
 class Gateway:
     """Operators as methods; results are plain dicts, ready for JSON.
 
-    Requests that name a database, and USE, run in a session of their own, so
-    that nobody's current database moves. Temporary views are visible to
-    requests that name none.
+    Requests that name a database run in a session of that database, which is
+    kept (the ``SESSIONS`` used last are), and USE in one of its own, so that
+    nobody's current database moves. Temporary views are visible to requests
+    that name none. Statements take values for their named parameters (``:a``)
+    as ``args``, which no text of theirs can change.
     """
 
     def __init__(self, spark: SparkSession, config: GatewayConfig | None = None):
         self.spark = spark
         self.config = (config or GatewayConfig()).validate()
         self.gate = Gate(spark)
+        self.sessions: OrderedDict[str, SparkSession] = OrderedDict()
+        if int(spark.conf.get(DEEP_SETTING)) > DEEP:
+            spark.conf.set(DEEP_SETTING, DEEP)
 
     # Sessions.
 
@@ -43,14 +53,23 @@ class Gateway:
         name = resolve_database(database) or self.config.name
         if name is None or name == self.spark.catalog.currentDatabase():
             return self.spark
-        other = self.spark.newSession()
-        other.conf.set("spark.sql.session.timeZone", self.spark.conf.get("spark.sql.session.timeZone"))
-        try:
-            other.catalog.setCurrentDatabase(name)
-        except Exception as e:
-            raise from_spark(e) from e
+        other = self.sessions.pop(name, None)
+        if other is None or not self.spark.catalog.databaseExists(quote_ident(name)):
+            other = self.spark.newSession()
+            for setting in ("spark.sql.session.timeZone", DEEP_SETTING):
+                other.conf.set(setting, self.spark.conf.get(setting))
+            try:
+                other.catalog.setCurrentDatabase(name)
+            except Exception as e:
+                raise from_spark(e) from e
+        self.sessions[name] = other
+        while len(self.sessions) > SESSIONS:
+            self.sessions.popitem(last=False)
         return other
 
+    def _gate(self, session: SparkSession) -> Gate:
+        return self.gate if session is self.spark else Gate(session)
+
     def _timed(self, work, sql: str):
         return runner.run(self.spark, work, sql, self.config.query_timeout)
 
@@ -76,7 +95,7 @@ class Gateway:
         frame = catalog.tables(self.spark, database, search)
         found, after = pager.finish(self._timed(lambda: pager.window(frame).collect(), "listTables"))
         if detailed:
-            listed = {r["name"]: catalog.describe(self.spark, database, r["name"], r["kind"]) for r in found}
+            listed = {r["name"]: catalog.describe(self.spark, database, r["name"]) for r in found}
         else:
             listed = [r["name"] for r in found]
         return {"tables": listed} | ({"nextCursor": after} if after else {})
@@ -98,48 +117,63 @@ class Gateway:
 
     # Queries.
 
-    def frame(self, query: str, database: str | None = None) -> tuple[DataFrame, StatementKind]:
+    def frame(self, query: str, database: str | None = None, args: dict | None = None) -> tuple[DataFrame, StatementKind]:
         """The gated statement as a lazy frame, not paged."""
-        kind = self.gate.classify(query)
         session = self._session(database)
-        if kind is StatementKind.NON_SELECT and session is self.spark and query.lstrip().upper().startswith("USE"):
-            session = self.spark.newSession()
+        gate = self._gate(session)
+        kind = gate.classify(query)
+        if kind is StatementKind.NON_SELECT and gate.moves(query):
+            session = session.newSession()
         try:
-            return session.sql(query.strip().rstrip(";")), kind
+            return session.sql(query.strip().rstrip(";"), args=args), kind
         except Exception as e:
             raise from_spark(e) from e
 
-    def page_frame(self, query: str, cursor: str | None = None, database: str | None = None) -> DataFrame:
+    def page_frame(self, query: str, cursor: str | None = None, database: str | None = None, args: dict | None = None) -> DataFrame:
         """One page of a SELECT as a lazy frame; other statements whole."""
         pager = Pager(cursor, self.config.page_size)
-        df, kind = self.frame(query, database)
+        df, kind = self.frame(query, database, args)
         return pager.page(df) if kind is StatementKind.SELECT else df
 
-    def read_query(self, query: str, database: str | None = None, cursor: str | None = None) -> dict:
+    def read_query(self, query: str, database: str | None = None, cursor: str | None = None, args: dict | None = None) -> dict:
         """Rows of a SELECT, a page at a time; of SHOW, DESCRIBE, EXPLAIN and USE
         all rows, whatever the cursor. Pages hang together under a total ORDER BY."""
         pager = Pager(cursor, self.config.page_size)
-        df, kind = self.frame(query, database)
+        df, kind = self.frame(query, database, args)
         if kind is StatementKind.NON_SELECT:
             return {"rows": self._timed(lambda: encode.rows(df), query)}
         found, after = pager.finish(self._timed(lambda: encode.rows(pager.window(df)), query))
         return {"rows": found} | ({"nextCursor": after} if after else {})
 
-    def write_query(self, query: str, database: str | None = None) -> dict:
-        """Any statement; the rows it returns, mostly none."""
+    def write_query(self, query: str, database: str | None = None, args: dict | None = None) -> dict:
+        """Any statement; the rows it returns, mostly none, and where rows were
+        written or changed, how many (``affected``). UPDATE and DELETE of a file
+        table write it anew (``plans/rewrite.py``); MERGE is Spark's alone."""
         self._writable()
         session = self._session(database)
-        return {"rows": self._timed(lambda: encode.rows(session.sql(query.strip().rstrip(";"))), query)}
+        text = query.strip().rstrip(";")
+
+        def work() -> dict:
+            changed = rewrite.row_level(session, text, args)
+            if changed is not None:
+                return {"rows": [], "affected": changed}
+            df = session.sql(text, args=args)
+            written = encode.affected(df)
+            return {"rows": encode.rows(df)} | ({"affected": written} if written is not None else {})
+
+        return self._timed(work, query)
 
     def explain_query(self, query: str, database: str | None = None, analyze: bool = False) -> dict:
         """The plan; with ``analyze`` the statement runs and its metrics come
-        back, in read-only mode for statements that pass the gate."""
+        back. In read-only mode what is planned may be a write, what is run not,
+        and neither may reach files or Java."""
         session = self._session(database)
-        if analyze:
-            if self.config.read_only:
-                self.gate.classify(query)
-            return {"rows": self._timed(lambda: encode.rows(explain.measured(session, query.strip().rstrip(";"))), query)}
-        return {"rows": self._timed(lambda: encode.rows(explain.planned(session, query)), query)}
+        text = query.strip().rstrip(";")
+        if self.config.read_only:
+            gate = self._gate(session)
+            gate.classify(query) if analyze else gate.inspect(query)
+        work = explain.measured if analyze else explain.planned
+        return {"rows": self._timed(lambda: encode.rows(work(session, text)), query)}
 
     # DDL.
 
@@ -147,16 +181,17 @@ class Gateway:
         self._writable()
         validate_ident(database)
         self._timed(lambda: self.spark.sql(f"CREATE DATABASE {quote_ident(database)}"), "createDatabase")
-        return {"message": f"Database '{database}' created successfully."}
+        return {"message": f"created database {database}"}
 
     def drop_database(self, database: str) -> dict:
         """With all it holds; the active one can't be dropped."""
         self._writable()
         validate_ident(database)
         if database.lower() == self.active().lower():
-            raise SqlError(f"Cannot drop the currently connected database '{database}'.")
+            raise SqlError(f"{database} is this gateway's own database and stays")
         self._timed(lambda: self.spark.sql(f"DROP DATABASE {quote_ident(database)} CASCADE"), "dropDatabase")
-        return {"message": f"Database '{database}' dropped successfully."}
+        self.sessions.pop(database, None)
+        return {"message": f"dropped database {database} and all in it"}
 
     def drop_table(self, table: str, database: str | None = None, cascade: bool = False) -> dict:
         """``cascade`` is accepted; nothing depends on a Spark table."""
@@ -167,14 +202,15 @@ class Gateway:
         if not self.spark.catalog.tableExists(at):
             raise TableNotFound(table)
         self._timed(lambda: self.spark.sql(f"DROP TABLE {at}"), "dropTable")
-        return {"message": f"Table '{table}' dropped successfully."}
+        return {"message": f"dropped table {table}"}
 
     def create_materialized_view(self, name: str, query: str, database: str | None = None) -> dict:
         """A marked table that holds a gated SELECT's rows; created anew to refresh."""
         self._writable()
         validate_ident(name)
-        at = f"{quote_ident(self._database(database))}.{quote_ident(name)}"
+        home = self._database(database)
+        at = f"{quote_ident(home)}.{quote_ident(name)}"
         df, _ = self.frame(query, database)
         self._timed(lambda: df.write.mode("overwrite").saveAsTable(at), query)
-        self._timed(lambda: self.spark.sql(f"ALTER TABLE {at} SET TBLPROPERTIES ('{catalog.MARK}'='true')"), query)
-        return {"message": f"Materialized view '{name}' created successfully."}
+        self._timed(lambda: catalog.mark_materialized(self.spark, home, name), query)
+        return {"message": f"stored view {name}"}

@@ -2,8 +2,13 @@
 
 The root's class tells what a statement is; what hides below it (an INSERT in a
 WITH, a TRANSFORM, a call into Java, a path in place of a table) is found by
-walking children, inner children and the plans inside expressions. Nothing is
-resolved or run.
+walking children, inner children and the plans inside expressions, and the
+statements that EXPLAIN and DESCRIBE QUERY hold. Nothing is resolved or run.
+
+Spark reads ``format.`path` `` wherever a two-part name is no table of the
+catalog, for every format and class on the class path. So such names must be
+tables that the catalog has; a list of formats would not hold. Names that an
+expression makes (IDENTIFIER) are refused, as nothing can be told of them.
 """
 
 from __future__ import annotations
@@ -13,7 +18,8 @@ from enum import Enum
 from pyspark.errors import ParseException
 from pyspark.sql import SparkSession
 
-from gneiss.errors import DangerousFunction, FileReadBlocked, FileWriteBlocked, MultiStatement, QueryError, ReadOnlyViolation
+from gneiss.errors import DangerousFunction, FileReadBlocked, FileWriteBlocked, MultiStatement, QueryError, ReadOnlyViolation, TableNotFound
+from gneiss.functions.ident import quote_ident
 
 
 class StatementKind(Enum):
@@ -27,8 +33,11 @@ _NON_SELECT = {
     *("DescribeRelation", "DescribeRelationJsonCommand", "DescribeColumn", "DescribeNamespace", "DescribeFunction", "DescribeQueryCommand", "DescribeProcedure"),
     *("ExplainCommand", "SetCatalogAndNamespace", "SetNamespaceCommand"),
 }
+_MOVING = {"SetCatalogAndNamespace", "SetNamespaceCommand", "SetCatalogCommand"}
+#: Statements that hold others which can't be seen here.
+_SCRIPTS = {"CompoundBody", "SingleStatement", "UnresolvedExecuteImmediate", "ExecuteImmediateQuery", "ExecuteImmediateCommands"}
 _BLOCKED = {"reflect", "java_method", "try_reflect", "load_file"}
-_FORMATS = {"parquet", "csv", "json", "text", "orc", "avro", "xml", "binaryfile", "delta", "jdbc"}
+_MADE_NAMES = {"PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier"}
 _CATALYST = "org.apache.spark.sql.catalyst"
 
 
@@ -75,6 +84,25 @@ class Gate:
 
     def classify(self, sql: str) -> StatementKind:
         """What a statement is, or the error why it must not run."""
+        plan = self.parse(sql)
+        root = plan.getClass().getSimpleName()
+        if root in _NON_SELECT:
+            self._walk_held(plan)
+            return StatementKind.NON_SELECT
+        self._walk(plan)
+        return StatementKind.SELECT
+
+    def inspect(self, sql: str) -> None:
+        """Errors of a statement that is planned and not run: it may be a command,
+        but may not reach files or Java."""
+        self._walk(self.parse(sql), commands=True)
+
+    def moves(self, sql: str) -> bool:
+        """Whether a statement changes the session's current database."""
+        return self.parse(sql).getClass().getSimpleName() in _MOVING
+
+    def parse(self, sql: str):
+        """The parsed plan of the only statement."""
         text = sql.strip()
         found = statements(text)
         if not found:
@@ -84,32 +112,47 @@ class Gate:
         if len(found) > 1:
             raise MultiStatement()
         try:
-            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+            return self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
         except ParseException as e:
             raise QueryError(str(e).split("\n\nJVM")[0]) from e
-        root = plan.getClass().getSimpleName()
-        if root in _NON_SELECT:
-            return StatementKind.NON_SELECT
-        if root.startswith("InsertIntoDir"):
-            raise FileWriteBlocked("INSERT OVERWRITE DIRECTORY")
-        self._walk(plan)
-        return StatementKind.SELECT
 
-    def _walk(self, plan) -> None:
+    def _walk_held(self, plan) -> None:
+        name = plan.getClass().getSimpleName()
+        if name == "ExplainCommand":
+            self._walk(plan.logicalPlan(), commands=True)
+        elif name == "DescribeQueryCommand":
+            self._walk(plan.plan(), commands=True)
+
+    def _table(self, parts: list[str]) -> None:
+        """Names of one part are views, tables of the session's database or parts
+        of the statement; longer ones must be in the catalog."""
+        catalog = self.spark.catalog
+        if len(parts) == 1 or len(parts) == 2 and parts[0].lower() in ("global_temp", "session"):
+            return
+        if not catalog.databaseExists(".".join(map(quote_ident, parts[:-1]))):
+            raise FileReadBlocked(f"reading by the format or database '{parts[0]}'")
+        if not catalog.tableExists(".".join(map(quote_ident, parts))):
+            raise TableNotFound(".".join(parts))
+
+    def _is_command(self, node) -> bool:
+        return ".execution.command." in node.getClass().getName() or any(c.isInstance(node) for c in self.commands)
+
+    def _walk(self, plan, commands: bool = False) -> None:
         todo = [plan]
         while todo:
             node = todo.pop()
             name = node.getClass().getSimpleName()
             if name.startswith("InsertIntoDir"):
                 raise FileWriteBlocked("INSERT OVERWRITE DIRECTORY")
-            if name in ("CompoundBody", "SingleStatement") or any(c.isInstance(node) for c in self.commands):
+            if name in _SCRIPTS or not commands and self._is_command(node):
                 raise ReadOnlyViolation(name)
             if name == "ScriptTransformation":
                 raise DangerousFunction("TRANSFORM")
+            if name in _MADE_NAMES:
+                raise DangerousFunction("IDENTIFIER")
             if name == "UnresolvedRelation":
-                parts = _seq(node.multipartIdentifier())
-                if len(parts) > 1 and parts[0].lower() in _FORMATS and ("/" in parts[-1] or ":" in parts[-1] or "." in parts[-1]):
-                    raise FileReadBlocked(f"reading {parts[0]} paths")
+                self._table(_seq(node.multipartIdentifier()))
+            self._walk_held(node)
             todo += _seq(node.children()) + _seq(node.innerChildren())
             self._check(_seq(node.expressions()), todo)
 
@@ -117,6 +160,8 @@ class Gate:
         while todo:
             e = todo.pop()
             name = e.getClass().getSimpleName()
+            if name in _MADE_NAMES:
+                raise DangerousFunction("IDENTIFIER")
             if name == "UnresolvedFunction":
                 called = _seq(e.nameParts())[-1].lower()
                 if called in _BLOCKED:

@@ -13,6 +13,9 @@ from gneiss.errors import InvalidCursor
 
 _INT_MAX = (1 << 31) - 1  # Spark's OFFSET and LIMIT are INT
 _U64 = 1 << 64
+#: A top-k of more rows would gather them on the driver.
+DEEP = 100_000
+DEEP_SETTING = "spark.sql.execution.topKSortFallbackThreshold"
 
 
 @dataclass(frozen=True)
@@ -53,10 +56,14 @@ class Pager:
 
     @property
     def offset(self) -> int:
-        return min(self.start, _INT_MAX - self.limit)
+        """Beyond what Spark can skip a page can't be had, nor one before it."""
+        if self.start > _INT_MAX - self.limit:
+            raise InvalidCursor(f"invalid cursor: offsets end at {_INT_MAX - self.limit}; page by a condition on the key")
+        return self.start
 
     def window(self, df: DataFrame) -> DataFrame:
-        """The page and its extra row: a top-k of offset + limit, not a sort."""
+        """The page and its extra row: a top-k of offset + limit, or a sort over
+        all executors where that is more than ``DEEP`` rows."""
         return df.offset(self.offset).limit(self.limit)
 
     def page(self, df: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from gneiss import sources
 from gneiss.config import GatewayConfig
 from gneiss.errors import SqlError
 from gneiss.functions import encode
-from gneiss.functions.ident import validate_ident
+from gneiss.functions.ident import quote_ident, quote_literal, validate_ident
 from gneiss.gateway import Gateway
 from gneiss.operators import catalog
+from gneiss.operators.registry import Registry
 from gneiss.plans.paging import Cursor
 
 _LISTED = ("customer", "lineitem", "nation", "orders", "region")
@@ -34,7 +35,7 @@ READS: dict[str, str | tuple[str, str]] = {
     "read_join_three": "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name",
     "read_composite_join": "SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber",
     "read_left_join": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
-    "read_full_join": "SELECT a.n_nationkey AS a, coalesce(b.s_nationkey, -1) AS b FROM nation a FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey < 10) b ON a.n_nationkey = b.s_nationkey",
+    "read_full_join": "SELECT coalesce(a.n_nationkey, -1) AS a, coalesce(b.k, -1) AS b FROM nation a FULL JOIN (SELECT DISTINCT s_nationkey + 5 AS k FROM supplier) b ON a.n_nationkey = b.k",
     "read_cross_join": "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b",
     "read_theta_join": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey",
     "read_in_subquery": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
@@ -47,7 +48,7 @@ READS: dict[str, str | tuple[str, str]] = {
     "read_union": "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey FROM region",
     "read_union_all": "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region",
     "read_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "read_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20",
+    "read_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
     "read_derived_table": "SELECT p_brand, n FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) AS t WHERE n > 10",
     "read_inner_limit": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5",
     "read_comments": "/* leading */ SELECT r_name -- inner\nFROM region -- trailing",
@@ -91,14 +92,40 @@ READS: dict[str, str | tuple[str, str]] = {
         "SELECT n_regionkey, to_json(array_agg({'k': n_nationkey, 'v': n_name} ORDER BY n_nationkey))::varchar AS j FROM nation GROUP BY n_regionkey",
     ),
     "json_reparse": (
-        "SELECT event_id, get_json_object(to_json(named_struct('t', event_type)), '$.t') AS t FROM events",
-        "SELECT event_id, json_extract_string(json_object('t', event_type), '$.t') AS t FROM events",
+        "SELECT event_id, cast(from_json(props, 'k BIGINT').k AS bigint) AS k, to_json(parse_json(props)) AS again FROM events",
+        "SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k, json(props)::varchar AS again FROM events",
+    ),
+    "read_max_min": "SELECT o_orderstatus, max(o_totalprice) AS most, min(o_totalprice) AS least, max(o_orderkey) AS last FROM orders GROUP BY o_orderstatus",
+    "read_sum_int": "SELECT l_returnflag, cast(sum(l_linenumber) AS bigint) AS s, cast(sum(l_orderkey) AS bigint) AS k FROM lineitem GROUP BY l_returnflag",
+    "read_existence": "SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 100000) AS some, EXISTS (SELECT 1 FROM orders WHERE o_orderkey < 0) AS none",
+    "read_composite_join_two": "SELECT l_orderkey, l_linenumber, most FROM lineitem JOIN (SELECT l_orderkey AS k, l_linenumber AS n, max(l_quantity) AS most FROM lineitem GROUP BY l_orderkey, l_linenumber) m ON l_orderkey = k AND l_linenumber = n WHERE l_quantity = most",
+    "read_approximate": (
+        "SELECT approx_count_distinct(n_regionkey) AS regions, percentile_approx(n_nationkey, 0.5, 1000000) AS middle FROM nation",
+        "SELECT approx_count_distinct(n_regionkey) AS regions, quantile_disc(n_nationkey, 0.5) AS middle FROM nation",
+    ),
+    "read_map_functions": (
+        "SELECT n_nationkey, element_at(map(n_name, n_regionkey, 'x', -1), n_name) AS own, element_at(map('x', -1), n_name) AS missing, cardinality(map_keys(map(n_name, 1, 'x', 2))) AS size FROM nation",
+        "SELECT n_nationkey, map {n_name: n_regionkey, 'x': -1}[n_name] AS own, map {'x': -1}[n_name] AS missing, cast(len(map_keys(map {n_name: 1, 'x': 2})) AS int) AS size FROM nation",
+    ),
+    "read_array_functions": (
+        "SELECT n_nationkey, array_contains(split(n_name, 'A'), '') AS starts, element_at(array_sort(split(n_name, 'A')), 1) AS first, cast(size(array_distinct(split(n_name, ''))) AS int) AS letters FROM nation",
+        "SELECT n_nationkey, list_contains(string_split(n_name, 'A'), '') AS starts, list_sort(string_split(n_name, 'A'))[1] AS first, cast(len(list_distinct(string_split(n_name, ''))) AS int) AS letters FROM nation",
     ),
     "series": ("SELECT explode(sequence(1, 10)) AS n", "SELECT cast(unnest(range(1, 11)) AS int) AS n"),
 }
 
 _ORDERED = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber, l_quantity, l_partkey, l_suppkey"
 _NATIONS = "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey"
+_CUSTOMERS = "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey"
+_TOP = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 5"
+_BAD_CURSORS = ("!!!not-base64", "bm90LWpzb24", "eyJ4IjoxfQ", "eyJvZmZzZXQiOi0xfQ")
+
+# Statement with named parameters, their values, and the same with the values in it.
+BOUND = {
+    "bound_parameters": ("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = :region AND n_name <> :name", {"region": 1, "name": "'' OR 1 = 1 --"}, "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1"),
+    "optional_filter_null": ("SELECT n_name FROM nation WHERE (:p IS NULL OR n_name ILIKE '%' || :p || '%')", {"p": None}, "SELECT n_name FROM nation"),
+    "optional_filter_set": ("SELECT n_name FROM nation WHERE (:p IS NULL OR n_name ILIKE '%' || :p || '%')", {"p": "n1"}, "SELECT n_name FROM nation WHERE n_name ILIKE '%n1%'"),
+}
 
 _STATEMENTS = [
     *(("SELECT 1", "select"), ("WITH x AS (SELECT 1) SELECT * FROM x", "select"), ("SELECT 1 UNION SELECT 2", "select"), ("VALUES (1)", "select")),
@@ -109,7 +136,9 @@ _STATEMENTS = [
     *(("WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "ReadOnlyViolation"), ("FROM a INSERT INTO b SELECT * INSERT INTO c SELECT *", "ReadOnlyViolation")),
     *(("SELECT TRANSFORM(a) USING ''cat'' FROM region", "DangerousFunction"), ("SELECT reflect(''java.lang.System'', ''exit'', 0)", "DangerousFunction"), ("SELECT load_file(''/etc/passwd'')", "DangerousFunction")),
     *(("SELECT ''LOAD_FILE(/etc/passwd)''", "select"), ("SELECT * FROM text.`/etc/passwd`", "FileReadBlocked"), ("INSERT OVERWRITE DIRECTORY ''/tmp/x'' SELECT 1", "FileWriteBlocked")),
-    *(("SELECT * FROM r WHERE a IN (SELECT reflect(''a'', ''b''))", "DangerousFunction"),),
+    *(("SELECT * FROM r WHERE a IN (SELECT reflect(''a'', ''b''))", "DangerousFunction"), ("SELECT * FROM `org.apache.spark.sql.execution.datasources.text.TextFileFormat`.`/etc/passwd`", "FileReadBlocked")),
+    *(("SELECT * FROM json.relative", "FileReadBlocked"), ("EXPLAIN SELECT * FROM text.`/etc/passwd`", "FileReadBlocked"), ("DESCRIBE QUERY SELECT * FROM text.`/etc/passwd`", "FileReadBlocked"), ("EXPLAIN INSERT INTO t SELECT 1", "non_select")),
+    *(("SELECT * FROM default.no_such_table", "TableNotFound"), ("EXPLAIN SELECT reflect(''a'', ''b'')", "DangerousFunction"), ("WITH t AS (SELECT * FROM csv.`/tmp`) SELECT * FROM t", "FileReadBlocked")),
 ]
 _IDENTS = [("users", True), ("my table", True), ("a.b", True), ("", False), ("   ", False), ("a\tb", False), ("naïve", True), ("x" * 200, True)]
 _OFFSETS = [0, 1, 99, 100, 101, 12345, (1 << 63) - 1]
@@ -131,13 +160,154 @@ def _page(spark: SparkSession, sf_dir: str, sql: str, offset: int, size: int = 1
 
 def _page_walk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page of a traversal by cursor, put together."""
-    gateway, cursor, rows = _gateway(spark, sf_dir, _NATIONS, page_size=7), None, []
+    gateway, cursor, rows = _gateway(spark, sf_dir, _CUSTOMERS, page_size=400), None, []
     while True:
-        page = gateway.read_query(_NATIONS, cursor=cursor)
-        rows += [(r["n_nationkey"], r["n_name"]) for r in page["rows"]]
+        page = gateway.read_query(_CUSTOMERS, cursor=cursor)
+        rows += [(r["c_custkey"], r["c_name"]) for r in page["rows"]]
         cursor = page.get("nextCursor")
         if cursor is None:
-            return spark.createDataFrame(rows, "n_nationkey int, n_name string")
+            return spark.createDataFrame(rows, "c_custkey long, c_name string")
+
+
+def _bound(spark: SparkSession, sf_dir: str, sql: str, args: dict) -> DataFrame:
+    return _gateway(spark, sf_dir, sql).frame(sql, args=args)[0]
+
+
+def _told(call: Callable) -> str:
+    """The name of the error that a call raises, or of what it returns."""
+    try:
+        return type(call()).__name__
+    except SqlError as e:
+        return f"{type(e).__name__} {e.code}"
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call for each kind of error."""
+    read, write = (_gateway(spark, sf_dir, read_only=r) for r in (True, False))
+    timed = _gateway(spark, sf_dir, query_timeout=0.5)
+    calls = {
+        "write in read-only mode": lambda: read.write_query("SELECT 1"),
+        "function": lambda: read.read_query("SELECT reflect('a', 'b')"),
+        "path": lambda: read.read_query("SELECT * FROM text.`/etc/hosts`"),
+        "directory": lambda: read.read_query("INSERT OVERWRITE DIRECTORY '/tmp/x' USING csv SELECT 1"),
+        "two statements": lambda: read.read_query("SELECT 1; SELECT 2"),
+        "identifier": lambda: write.create_database(" "),
+        "no table": lambda: read.read_query("SELECT * FROM no_such_table"),
+        "syntax": lambda: read.read_query("SELEC 1"),
+        "time limit": lambda: timed.read_query("SELECT count(*) AS n FROM range(0, 100000000000, 1, 4) WHERE sqrt(id) = 0.5"),
+        "far cursor": lambda: read.read_query("SELECT 1 AS a", cursor=Cursor(1 << 33).encode()),
+        **{f"cursor {c}": (lambda c=c: read.read_query("SELECT 1 AS a", cursor=c)) for c in _BAD_CURSORS},
+        "nothing wrong": lambda: read.read_query("SELECT 1 AS a"),
+    }
+    return spark.createDataFrame([(name, _told(call)) for name, call in calls.items()], "call string, told string")
+
+
+_TOLD = {
+    **{"write in read-only mode": "ReadOnlyViolation -32603", "function": "DangerousFunction -32603", "path": "FileReadBlocked -32603", "directory": "FileWriteBlocked -32603", "two statements": "MultiStatement -32603", "identifier": "InvalidIdentifier -32603"},
+    **{"no table": "TableNotFound -32603", "syntax": "QueryError -32603", "time limit": "QueryTimeout -32603", "far cursor": "InvalidCursor -32602", **{f"cursor {c}": "InvalidCursor -32602" for c in _BAD_CURSORS}, "nothing wrong": "dict"},
+}
+
+
+def _quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and texts through the quoting, as Spark reads them back."""
+    row = spark.sql("SELECT " + ", ".join(f"{quote_literal(n)} AS {quote_ident(n)}" for n in _QUOTED))
+    return spark.createDataFrame(list(zip(row.columns, row.first())), "name string, text string")
+
+
+_QUOTED = ["plain", "two words", "a`b", "it's", "back\\slash", "dot.ted", "naïve"]
+
+
+def _databases_of_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a blank, a given and a padded database name lead to; sessions are kept."""
+    sources.register_tables(spark, "gneiss_scratch", sf_dir, ("region",))
+    gateway = Gateway(spark, GatewayConfig(query_timeout=0))
+    rows = [(n or "", gateway.read_query("SELECT current_database() AS d", n)["rows"][0]["d"]) for n in (None, "  ", "gneiss_scratch", " gneiss_scratch ")]
+    return spark.createDataFrame([*rows, ("kept", str(len(gateway.sessions)))], "given string, used string")
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many problems settings have, and whether a secret is shown."""
+    given = {"good": GatewayConfig(), "page of 0": GatewayConfig(page_size=0), "page of 501": GatewayConfig(page_size=501), "three": GatewayConfig(name=" ", page_size=-1, query_timeout=-1)}
+    rows = [(k, len(c.problems())) for k, c in given.items()]
+    shown = repr(GatewayConfig(jdbc_options={"password": "secret", "user": "me", "fetchsize": "7"}))
+    return spark.createDataFrame([*rows, ("secrets shown", sum(x in shown for x in ("secret", "me'")))], "setting string, problems int")
+
+
+def _tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registries = [Registry(_gateway(spark, sf_dir, read_only=r)) for r in (True, False)]
+    called = registries[0].call_tool("readQuery", query="SELECT 1 AS a")["rows"][0]["a"]
+    return spark.createDataFrame([(t.name, t.read_only, t.destructive, registries[0].get_tool(t.name) is not None, called) for t in registries[1].list_tools()], "tool string, reads boolean, destroys boolean, in_read_only boolean, called int")
+
+
+_TOOLS = [*((f"list{x}", True, False, True, 1) for x in ("Databases", "Tables", "Views", "Triggers", "Functions", "Procedures", "MaterializedViews")), ("readQuery", True, False, True, 1), ("explainQuery", True, False, True, 1), ("writeQuery", False, True, False, 1), ("createDatabase", False, False, False, 1), ("dropDatabase", False, True, False, 1), ("dropTable", False, True, False, 1)]
+
+
+def _statement(spark: SparkSession, sf_dir: str, sql: str, keys: tuple[str, ...], where: str = "true") -> DataFrame:
+    """Columns of a statement that is no SELECT, run whole through the gate."""
+    gateway = _demo(spark, sf_dir)
+    rows = gateway.read_query(sql, "gneiss_demo", cursor=Cursor(3).encode())["rows"]
+    return spark.createDataFrame([tuple(str(r[k]) for k in keys) for r in rows], ", ".join(f"{k} string" for k in keys)).where(where)
+
+
+def _use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """USE answers without rows and moves nobody's current database."""
+    gateway, before = _demo(spark, sf_dir), spark.catalog.currentDatabase()
+    rows = gateway.read_query("USE gneiss_demo")["rows"]
+    return spark.createDataFrame([(len(rows), spark.catalog.currentDatabase() == before)], "n int, stayed boolean")
+
+
+def _version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "SELECT version() RLIKE '^[0-9]+[.][0-9]+[.][0-9]+' AS told")
+
+
+def _explain_nodes(spark: SparkSession, sf_dir: str, analyze: bool = False) -> DataFrame:
+    """What every plan of this statement has, by the read or the explain tool."""
+    sql = READS["read_group_by"]
+    if analyze:
+        rows = _gateway(spark, sf_dir, sql).explain_query(sql, analyze=True)["rows"]
+        scanned = max(r["value"] for r in rows if r["metric"] == "numOutputRows")
+        return spark.createDataFrame([(scanned, any("Aggregate" in r["node"] for r in rows))], "scanned long, aggregates boolean")
+    plan = _gateway(spark, sf_dir, sql).read_query("EXPLAIN FORMATTED " + sql)["rows"][0]["plan"]
+    return spark.createDataFrame([(w, w in plan) for w in ("Scan parquet", "HashAggregate", "Sort", "l_returnflag", "l_comment")], "word string, there boolean")
+
+
+def _write_rows(spark: SparkSession, sf_dir: str, statements: tuple[str, ...]) -> DataFrame:
+    """A copy of nation after row-level writes, and how many rows each changed."""
+    sources.register_tables(spark, "gneiss_scratch", sf_dir, ("nation",))
+    gateway = Gateway(spark, GatewayConfig(query_timeout=0, read_only=False))
+    gateway.write_query("DROP TABLE IF EXISTS gneiss_scratch.held")
+    done = [gateway.write_query("CREATE TABLE gneiss_scratch.held USING parquet AS SELECT * FROM gneiss_scratch.nation")]
+    done += [gateway.write_query(s) for s in statements]
+    changed = ",".join(str(d.get("affected")) for d in done)
+    return gateway.frame("SELECT n_nationkey, n_name, coalesce(n_regionkey, -1) AS n_regionkey FROM gneiss_scratch.held")[0].withColumn("changed", F.lit(changed))
+
+
+_UPDATES = ("UPDATE gneiss_scratch.held SET n_name = concat(n_name, '!'), n_regionkey = n_regionkey + 10 WHERE n_regionkey = 1 AND n_name <> 'none'", "UPDATE gneiss_scratch.held SET n_regionkey = 99 WHERE n_nationkey < 0")
+_DELETES = ("DELETE FROM gneiss_scratch.held WHERE n_regionkey IN (SELECT r_regionkey FROM gneiss_scratch.held JOIN gneiss_scratch.regions ON r_regionkey = n_regionkey WHERE r_name LIKE 'A%')", "INSERT INTO gneiss_scratch.held VALUES (100, 'NEW', NULL), (101, 'OLD', 1)", "DELETE FROM gneiss_scratch.held WHERE n_regionkey <> 2 AND n_nationkey >= 100")
+
+
+def _write_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources.register_tables(spark, "gneiss_scratch", sf_dir, ("region",))
+    spark.sql("CREATE OR REPLACE VIEW gneiss_scratch.regions AS SELECT * FROM gneiss_scratch.region")
+    return _write_rows(spark, sf_dir, _DELETES)
+
+
+def _fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First cells, first columns and rows of statements."""
+    frame = lambda sql: _read(spark, sf_dir, sql)
+    cell = encode.first_cell(frame("SELECT max(o_orderkey) AS k, 1 AS x FROM orders"))
+    none = encode.first_cell(frame("SELECT o_orderkey FROM orders WHERE o_orderkey < 0"))
+    names = encode.first_column(frame("SELECT r_name, r_regionkey FROM region ORDER BY r_regionkey"))
+    return spark.createDataFrame([(cell, none is None, ",".join(names), len(encode.rows(frame("SELECT * FROM nation"))))], "cell long, none boolean, names string, n int")
+
+
+def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a table's properties declare, out of the detailed listing."""
+    gateway = _demo(spark, sf_dir)
+    keys = [{"name": "pk", "type": "PRIMARY KEY", "columns": ["n_nationkey"]}, {"name": "fk", "type": "FOREIGN KEY", "columns": ["n_regionkey"], "referencedTable": "region", "referencedColumns": ["r_regionkey"]}]
+    gateway.write_query(f"ALTER TABLE nation SET TBLPROPERTIES ('{catalog.CONSTRAINTS}'={quote_literal(json.dumps(keys))})", "gneiss_demo")
+    found = gateway.list_tables("gneiss_demo", search="nation", detailed=True)["tables"]
+    return spark.createDataFrame([(t, c["name"], c["type"], ",".join(c["columns"]), c["referencedTable"]) for t, meta in found.items() for c in meta["constraints"]], "table string, name string, type string, columns string, referenced string")
 
 
 def _demo(spark: SparkSession, sf_dir: str) -> Gateway:
@@ -158,7 +328,8 @@ def _list_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _list_tables(spark: SparkSession, sf_dir: str, search: str | None = None) -> DataFrame:
     _demo(spark, sf_dir)
-    return catalog.tables(spark, "gneiss_demo", search).select(F.col("name").alias("table"), "kind")
+    found = [r["name"] for r in catalog.tables(spark, "gneiss_demo", search).collect()]
+    return spark.createDataFrame([(n, catalog.kind(spark, "gneiss_demo", n)) for n in found], "table string, kind string")
 
 
 def _list_tables_detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +431,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "page_last_short": partial(_page, sql=_NATIONS, offset=20, size=10),
         "page_off_end": partial(_page, sql=_NATIONS, offset=1000),
         "page_walk_all": _page_walk_all,
+        "page_comment": partial(_page, sql=_NATIONS + "; -- all of them", offset=5, size=10),
+        "page_inner_limit": partial(_page, sql=_TOP, offset=30, size=20),
+        **{name: partial(_bound, sql=sql, args=args) for name, (sql, args, _) in BOUND.items()},
+        "errors": _errors,
+        "quoting": _quoting,
+        "databases_of_requests": _databases_of_requests,
+        "settings": _settings,
+        "tools": _tools,
+        "show_tables": partial(_statement, sql="SHOW TABLES", keys=("tableName",), where="tableName in ('nation', 'region', 'big_orders')"),
+        "show_databases": partial(_statement, sql="SHOW DATABASES LIKE 'gneiss_demo'", keys=("namespace",)),
+        "show_columns": partial(_statement, sql="SHOW COLUMNS IN nation", keys=("col_name",)),
+        "describe_table": partial(_statement, sql="DESCRIBE nation", keys=("col_name", "data_type")),
+        "use_database": _use,
+        "server_version": _version,
+        "explain_read": _explain_nodes,
+        "explain_measured": partial(_explain_nodes, analyze=True),
+        "write_update": partial(_write_rows, statements=_UPDATES),
+        "write_delete": _write_delete,
+        "fetch": _fetch,
+        "declared_constraints": _constraints,
         "list_databases": _list_databases,
         "list_tables": _list_tables,
         "list_tables_search": partial(_list_tables, search="ON"),
@@ -300,7 +491,27 @@ def oracle_sql() -> dict[str, str]:
         "page_middle": f"SELECT * FROM ({_ORDERED}) LIMIT 100 OFFSET 3000",
         "page_last_short": f"SELECT * FROM ({_NATIONS}) LIMIT 10 OFFSET 20",
         "page_off_end": f"SELECT * FROM ({_NATIONS}) LIMIT 100 OFFSET 1000",
-        "page_walk_all": _NATIONS,
+        "page_walk_all": _CUSTOMERS,
+        "page_comment": f"SELECT * FROM ({_NATIONS}) LIMIT 10 OFFSET 5",
+        "page_inner_limit": f"SELECT * FROM ({_TOP}) LIMIT 20 OFFSET 30",
+        **{name: sql for name, (_, _, sql) in BOUND.items()},
+        "errors": _values(list(_TOLD.items()), "call, told"),
+        "quoting": _values([(n.replace("'", "''"),) * 2 for n in _QUOTED], "name, text"),
+        "databases_of_requests": _values([("", "default"), ("  ", "default"), ("gneiss_scratch", "gneiss_scratch"), (" gneiss_scratch ", "gneiss_scratch"), ("kept", "1")], "given, used"),
+        "settings": _values([("good", 0), ("page of 0", 1), ("page of 501", 1), ("three", 3), ("secrets shown", 0)], "setting, problems"),
+        "tools": _values(_TOOLS, "tool, reads, destroys, in_read_only, called"),
+        "show_tables": "SELECT unnest(['big_orders', 'nation', 'region']) AS tableName",
+        "show_databases": "SELECT 'gneiss_demo' AS namespace",
+        "show_columns": "SELECT column_name AS col_name FROM information_schema.columns WHERE table_name = 'nation'",
+        "describe_table": "SELECT column_name AS col_name, CASE data_type WHEN 'INTEGER' THEN 'int' ELSE 'string' END AS data_type FROM information_schema.columns WHERE table_name = 'nation'",
+        "use_database": "SELECT 0 AS n, true AS stayed",
+        "server_version": "SELECT regexp_matches('1.2.3', '^[0-9]+[.][0-9]+[.][0-9]+') AS told",
+        "explain_read": _values([("Scan parquet", True), ("HashAggregate", True), ("Sort", True), ("l_returnflag", True), ("l_comment", False)], "word, there"),
+        "explain_measured": "SELECT count(*) AS scanned, true AS aggregates FROM lineitem",
+        "write_update": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN n_name || '!' ELSE n_name END AS n_name, n_regionkey + CASE WHEN n_regionkey = 1 THEN 10 ELSE 0 END AS n_regionkey, (SELECT 'None,' || sum((n_regionkey = 1)::int) || ',0' FROM nation) AS changed FROM nation",
+        "write_delete": "SELECT *, (SELECT 'None,' || sum((r_name LIKE 'A%')::int) || ',2,1' FROM nation JOIN region ON r_regionkey = n_regionkey) AS changed FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%') UNION ALL SELECT 100, 'NEW', -1)",
+        "fetch": "SELECT (SELECT max(o_orderkey) FROM orders) AS cell, true AS none, (SELECT string_agg(r_name, ',' ORDER BY r_regionkey) FROM region) AS names, (SELECT count(*) FROM nation) AS n",
+        "declared_constraints": "SELECT * FROM (VALUES ('nation', 'pk', 'PRIMARY KEY', 'n_nationkey', NULL), ('nation', 'fk', 'FOREIGN KEY', 'n_regionkey', 'region')) AS t(\"table\", name, type, columns, referenced)",
         "list_databases": "SELECT 'gneiss_demo' AS database",
         "list_tables": _values(listed, '"table", kind'),
         "list_tables_search": _values([("nation", "TABLE"), ("region", "TABLE")], '"table", kind'),
@@ -317,6 +528,6 @@ def oracle_sql() -> dict[str, str]:
         "ident_validation": _values(_IDENTS, "name, valid"),
         "cursor_codec": "SELECT cast(n AS bigint) AS given, cast(n AS bigint) AS back FROM (VALUES " + ", ".join(f"({n})" for n in _OFFSETS) + ") AS t(n)",
         "write_insert_readback": "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 100, 'extra'",
-        "create_drop_database": _values([(0, "Database ''gneiss_canary'' created successfully."), (1, "Table ''t'' dropped successfully."), (2, "Database ''gneiss_canary'' dropped successfully.")], "step, message"),
+        "create_drop_database": _values([(0, "created database gneiss_canary"), (1, "dropped table t"), (2, "dropped database gneiss_canary and all in it")], "step, message"),
     }
     return out

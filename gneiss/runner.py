@@ -35,7 +35,8 @@ def run(spark: SparkSession, work: Callable[[], R], sql: str, limit: float | Non
     thread.start()
     thread.join(limit)
     if thread.is_alive():
-        spark.sparkContext.cancelJobGroup(group)
+        # Jobs that the work has yet to start are cancelled as they come.
+        spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(group)
         raise QueryTimeout(time.monotonic() - began, sql)
     if "error" in out:
         raise from_spark(out["error"]) from out["error"]

@@ -17,6 +17,15 @@ def register_views(spark: SparkSession, folder: str, names: tuple[str, ...] = TA
         spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
 
 
+def register_folder(spark: SparkSession, folder: str) -> list[str]:
+    """Views over all Parquet tables of a folder that Spark can list."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(f.getPath().getName().removesuffix(".parquet") for f in found if f.getPath().getName().endswith(".parquet"))
+    register_views(spark, folder, tuple(map(validate_ident, names)))
+    return names
+
+
 def register_tables(spark: SparkSession, database: str, folder: str, names: tuple[str, ...]) -> None:
     """External catalog tables over the same files, in a database of their own.
 

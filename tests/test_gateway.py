@@ -64,7 +64,8 @@ def test_pager_boundaries():
     assert pager.finish(list(range(50))) == (list(range(50)), None)
     items, after = pager.finish(list(range(51)))
     assert len(items) == 50 and Cursor.decode(after).offset == 50
-    assert Pager(Cursor((1 << 64) - 1).encode(), 50).offset <= (1 << 31) - 1
+    with pytest.raises(errors.InvalidCursor):
+        Pager(Cursor((1 << 64) - 1).encode(), 50).offset
 
 
 def test_traversal_equals_one_page(gateway, app):
@@ -247,7 +248,7 @@ def test_databases_come_and_go(gateway):
     assert "canary_t" not in gateway.list_databases(Cursor(0).encode())["databases"]
     assert "created" in gateway.create_database("canary_t")["message"]
     for name in ("app_t", "APP_T"):
-        with pytest.raises(errors.SqlError, match="currently connected"):
+        with pytest.raises(errors.SqlError, match="stays"):
             gateway.drop_database(name)
     with pytest.raises(errors.TableNotFound):
         gateway.drop_table("nothing_here")
@@ -255,9 +256,57 @@ def test_databases_come_and_go(gateway):
         gateway.drop_table(" ")
 
 
-def test_row_level_writes_surface_spark_errors(gateway):
-    with pytest.raises(errors.QueryError):
-        gateway.write_query("UPDATE users SET name = 'x'")
+def test_row_level_writes(gateway):
+    gateway.write_query("CREATE TABLE people USING parquet AS SELECT * FROM users")
+    assert gateway.write_query("INSERT INTO people VALUES (4, NULL, NULL), (5, 'Eve', 'e')") == {"rows": [], "affected": 2}
+    assert gateway.write_query("UPDATE people AS p SET name = upper(p.name), EMAIL = '' WHERE p.id > 2") == {"rows": [], "affected": 3}
+    assert gateway.read_query("SELECT name FROM people WHERE email = '' ORDER BY id", cursor=None)["rows"] == [{"name": "CHARLIE BROWN"}, {"name": None}]
+    assert gateway.write_query("DELETE FROM people WHERE name LIKE 'A%'")["affected"] == 1  # a null name is not meant
+    assert gateway.write_query("DELETE FROM people WHERE id = 77")["affected"] == 0
+    assert gateway.read_query("SELECT count(*) AS n, count(name) AS named FROM people")["rows"] == [{"n": 4, "named": 3}]
+    for bad in ("UPDATE people SET nothing = 1", "UPDATE no_such SET a = 1", "MERGE INTO people USING users ON people.id = users.id WHEN MATCHED THEN DELETE"):
+        with pytest.raises(errors.SqlError):
+            gateway.write_query(bad)
+    assert gateway.write_query("DELETE FROM people")["affected"] == 4
+    gateway.drop_table("people")
+
+
+def test_no_way_to_a_file(app, tmp_path):
+    (tmp_path / "secret.txt").write_text("word")
+    g, at = Gateway(app, GatewayConfig(name="app_t")), f"`{tmp_path}/secret.txt`"
+    kinds = ["text", "csv", "`org.apache.spark.sql.execution.datasources.text.TextFileFormat`", "`org.apache.spark.sql.execution.datasources.v2.text.TextDataSourceV2`", "TEXT", "binaryFile"]
+    for kind in kinds:
+        for sql in (f"SELECT * FROM {kind}.{at}", f"EXPLAIN SELECT * FROM {kind}.{at}", f"DESCRIBE QUERY SELECT * FROM {kind}.{at}", f"WITH x AS (SELECT * FROM {kind}.{at}) SELECT * FROM x", f"SELECT (SELECT max(value) FROM {kind}.{at})"):
+            with pytest.raises(errors.SqlError):
+                g.read_query(sql)
+        with pytest.raises(errors.SqlError):
+            g.explain_query(f"INSERT INTO users SELECT 1, value, value FROM {kind}.{at}")
+    for sql in (f"SELECT * FROM IDENTIFIER('text.{at}')", "SELECT IDENTIFIER('reflect')('java.lang.System', 'lineSeparator')", f"SELECT * FROM app_t.{at}", "EXECUTE IMMEDIATE 'SELECT 1'"):
+        with pytest.raises(errors.SqlError):
+            g.read_query(sql)
+    assert g.read_query("SELECT count(*) AS n FROM app_t.users")["rows"] == [{"n": 3}]
+
+
+def test_parameters_are_values(gateway):
+    ask = "SELECT id FROM users WHERE name = :name ORDER BY id"
+    assert gateway.read_query(ask, args={"name": "Bob Smith"})["rows"] == [{"id": 2}]
+    assert gateway.read_query(ask, args={"name": "x' OR 1 = 1 --"})["rows"] == []
+    assert gateway.write_query("INSERT INTO users SELECT id, :n, email FROM users WHERE id < 0", args={"n": "z"})["affected"] == 0
+
+
+def test_a_write_that_is_out_of_time_does_not_commit(app):
+    g = Gateway(app, GatewayConfig(name="app_t", query_timeout=1, read_only=False))
+    slow = "INSERT INTO orders SELECT id, 1, NULL FROM range(0, 100000000000, 1, 4) WHERE sqrt(id) = 0.5"
+    with pytest.raises(errors.QueryTimeout):
+        g.write_query(slow)
+    time.sleep(1)
+    assert app.table("app_t.orders").count() == 0
+
+
+def test_deep_pages_sort_on_executors(gateway):
+    plan = lambda offset: gateway.page_frame("SELECT id FROM range(1000000) ORDER BY id DESC", Cursor(offset).encode())._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan(10) and "TakeOrderedAndProject" not in plan(500_000)
+    assert gateway.read_query("SELECT id FROM range(1000000) ORDER BY id DESC", cursor=Cursor(500_000).encode())["rows"][0] == {"id": 499_999}
 
 
 def test_read_only_blocks_every_write(app):
@@ -280,7 +329,7 @@ def test_explain(app):
 def test_timeout_cancels(app):
     g = Gateway(app, GatewayConfig(name="app_t", query_timeout=2))
     began = time.monotonic()
-    with pytest.raises(errors.QueryTimeout, match="timed out"):
+    with pytest.raises(errors.QueryTimeout, match="time limit"):
         g.read_query("SELECT count(*) AS n FROM range(0, 100000000000, 1, 8) WHERE sqrt(id) = 0.5")
     assert time.monotonic() - began < 10
     assert g.read_query("SELECT 1 AS a")["rows"] == [{"a": 1}]
@@ -308,6 +357,28 @@ def test_config_collects_problems():
     assert "secret" not in repr(GatewayConfig(jdbc_options={"password": "secret"}))
 
 
+def test_settings_from_the_environment(monkeypatch):
+    monkeypatch.setenv("GNEISS_PAGE_SIZE", "7")
+    monkeypatch.setenv("GNEISS_READ_ONLY", "false")
+    config = GatewayConfig.from_environment(page_size=9)
+    assert (config.page_size, config.read_only, config.query_timeout) == (9, False, 30) and GatewayConfig.from_environment().page_size == 7
+
+
+def test_requests_by_line(app, monkeypatch, capsys):
+    import io
+
+    from gneiss import __main__ as shell
+
+    asked = [{"id": 1, "tool": "readQuery", "arguments": {"query": "SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 1"}}, {"id": 2, "tool": "readQuery", "arguments": {"query": "DROP TABLE x"}}, {"id": 3, "tool": "nothing"}]
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n".join(map(json.dumps, asked)) + "\n"))
+    assert shell.main(["--data", "/root/testdata/sf0.001", "--page-size", "3", "serve"]) == 0
+    told = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert len(told[0]["result"]["rows"]) == 1 and "nextCursor" not in told[0]["result"]
+    assert told[1]["error"]["kind"] == "ReadOnlyViolation" and told[2]["error"]["code"] == -32602
+    assert shell.main(["tools"]) == 0 and len(capsys.readouterr().out.splitlines()) == 9
+    assert shell.main(["call", "listTriggers"]) == 0 and json.loads(capsys.readouterr().out) == {"triggers": []}
+
+
 def test_jdbc_source_reports_a_missing_driver(spark):
     with pytest.raises(Exception):
         sources.read_jdbc(spark, "jdbc:nothing://host/db", "t")
