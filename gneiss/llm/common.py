@@ -181,6 +181,11 @@ def kept(mark: str, make):
     return found[1]
 
 
+def give_back() -> None:
+    """Forgets what is kept: for a stage that has no use for it."""
+    _KEPT.clear()
+
+
 def _forget_idle(mark: str, found: list) -> None:
     while (left := found[0] + IDLE - time.monotonic()) > 0:
         time.sleep(left)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import CRC_TABLE, LOWER, WORD, crc_sql, kept, label_bucket, materialize, pieces, table, words
+from gneiss.llm.common import CRC_TABLE, LOWER, WORD, crc_sql, give_back, kept, label_bucket, materialize, pieces, table, words
 
 ORDER = 5
 _U = np.uint64
@@ -148,13 +148,14 @@ class Trie:
         return out
 
 
-def count(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
+def count(docs: DataFrame, flush: int = 1_500_000) -> DataFrame:
     """(kind, key, n) over the texts that ``learn`` marks: 0 words by hash, 1 grams,
     2 texts (key 0). Grams of other texts only are there too, with n = 0."""
 
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         held = {0: [], 1: []}
         texts = 0
 
@@ -172,7 +173,7 @@ def count(docs: DataFrame, flush: int = 3_000_000) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(n[at : at + 100_000])], ["kind", "key", "n"])
             held[kind] = []
 
-        for part, data, off in pieces(batches, "text", 4 << 20):
+        for part, data, off in pieces(batches, "text", 1 << 20):
             learn = part.column(1).to_numpy(zero_copy_only=False)
             texts += int(learn.sum())
             word, _, _, row = words(LOWER[data], off)
