@@ -100,7 +100,7 @@ def _products(q: np.ndarray, x: np.ndarray, row: np.ndarray, col: np.ndarray, ki
         q, x = ([[int(v) for v in r] for r in m] for m in (q, x))
         return np.array([sum(a * b for a, b in zip(q[i], x[j])) for i, j in zip(row, col)], object)
     rows, cols = np.unique(row), np.unique(col)
-    if kind is float and len(row) * 8 > len(rows) * len(cols):
+    if kind is float and len(row) * 100 > len(rows) * len(cols):  # a pair on its own costs as much as a hundred
         whole = q[rows] @ x[cols].T
         return whole[np.searchsorted(rows, row), np.searchsorted(cols, col)].astype(np.int64)
     out = np.empty(len(row), np.int64)
