@@ -395,8 +395,9 @@ def _cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _gateway(spark, sf_dir, READS["read_group_by"]).explain_query(READS["read_group_by"])["rows"]
-    return spark.createDataFrame([(r["plan"],) for r in rows], "plan string")
+    """What the explain tool's plan of a statement has."""
+    plan = _gateway(spark, sf_dir, READS["read_group_by"]).explain_query(READS["read_group_by"])["rows"][0]["plan"]
+    return spark.createDataFrame([(w, w in plan) for w in ("Physical Plan", "Exchange", "l_quantity", "l_tax")], "word string, there boolean")
 
 
 def _explain_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,6 +507,7 @@ def oracle_sql() -> dict[str, str]:
         "describe_table": "SELECT column_name AS col_name, CASE data_type WHEN 'INTEGER' THEN 'int' ELSE 'string' END AS data_type FROM information_schema.columns WHERE table_name = 'nation'",
         "use_database": "SELECT 0 AS n, true AS stayed",
         "server_version": "SELECT regexp_matches('1.2.3', '^[0-9]+[.][0-9]+[.][0-9]+') AS told",
+        "explain_plan": _values([("Physical Plan", True), ("Exchange", True), ("l_quantity", True), ("l_tax", False)], "word, there"),
         "explain_read": _values([("Scan parquet", True), ("HashAggregate", True), ("Sort", True), ("l_returnflag", True), ("l_comment", False)], "word, there"),
         "explain_measured": "SELECT count(*) AS scanned, true AS aggregates FROM lineitem",
         "write_update": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN n_name || '!' ELSE n_name END AS n_name, n_regionkey + CASE WHEN n_regionkey = 1 THEN 10 ELSE 0 END AS n_regionkey, (SELECT 'None,' || sum((n_regionkey = 1)::int) || ',0' FROM nation) AS changed FROM nation",
