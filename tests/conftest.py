@@ -23,6 +23,7 @@ def spark(tmp_path_factory):
         "spark.driver.memory": "3g",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.warehouse.dir": str(home / "warehouse"),
+        "spark.checkpoint.dir": (home / "shared").as_uri(),
     }
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("OFF")
