@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -38,13 +39,15 @@ def read_ranks(data: bytes) -> list[bytes]:
 LOOKAHEAD = 4096
 #: The longest pieces, in bytes, that the machine takes many of in step.
 WIDE = 96
+#: New moves that are kept as a dictionary before they join the arrays.
+NEW = 20_000
 
 
 class Transducer:
     """Encodes byte strings; keeps at most ``most`` determinised transitions.
     Vocabularies have less than 2^20 tokens."""
 
-    def __init__(self, tokens: list[bytes], most: int = 450_000):
+    def __init__(self, tokens: list[bytes], most: int = 400_000):
         self.tokens, self.most = tokens, most
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.sizes = list(map(len, tokens))
@@ -103,51 +106,69 @@ class Transducer:
         self.apart[(left << 20) | right] = ok
         return ok
 
-    def step(self, state: tuple, byte: int) -> tuple[tuple, int]:
+    def step(self, state: bytes, byte: int) -> tuple[bytes, int]:
         """Next state, and the token that is finished at this byte, or -1: every
-        prefix has one encoding at most, so there is one such token at most."""
-        now, finished, children, ends, apart = [], -1, self.next, self.ends, self.apart
-        for hypothesis in state:
-            last, node = hypothesis
-            to = children[node].get(byte)
+        prefix has one encoding at most, so there is one such token at most. A
+        state is an array of hypotheses, (last token + 1) << 32 | place in the trie."""
+        now, finished, children, ends, apart = array("q"), -1, self.next, self.ends, self.apart
+        for hypothesis in array("q", state):
+            to = children[hypothesis & 0xFFFFFFFF].get(byte)
             if to is None:
                 continue
+            last = hypothesis >> 32
             if children[to]:
-                now.append((last, to))
+                now.append(last << 32 | to)
             if finished < 0:
                 token = ends[to]
                 if token >= 0:
-                    if last < 0:
+                    if not last:
                         finished = token
                     else:
-                        ok = apart.get((last << 20) | token)
+                        ok = apart.get((last - 1) << 20 | token)
                         if ok is None:
-                            ok = self.stay_apart(last, token)
+                            ok = self.stay_apart(last - 1, token)
                         if ok:
                             finished = token
         if finished >= 0:
-            now.append((finished, 0))
-        return tuple(now), finished
+            now.append((finished + 1) << 32)
+        return now.tobytes(), finished
 
     def _forget(self) -> None:
         """Starts the determinised machine anew; state 0 is the initial one. Moves
         are numbers by state * 256 + byte: the next state, 24 bits, and over those
-        the finished token + 1."""
-        self.states: list[tuple] = [((-1, 0),)]
+        the finished token + 1. The new ones are a dictionary, the others arrays."""
+        self.states: list[bytes] = [array("q", [0]).tobytes()]
         self.numbers = {self.states[0]: 0}
         self.moves: dict[int, int] = {}
-        self.keys = self.values = np.empty(0, np.int64)  # most of the moves, sorted
+        self.keys = self.values = np.empty(0, np.int64)
 
-    def _number(self, state: tuple) -> int:
+    def made(self) -> int:
+        return len(self.moves) + len(self.keys)
+
+    def _number(self, state: bytes) -> int:
         at = self.numbers.get(state)
         if at is None:
             at = self.numbers[state] = len(self.states)
             self.states.append(state)
         return at
 
+    def _settle_moves(self) -> None:
+        """The new moves join the arrays."""
+        keys, values = (np.fromiter(x, np.int64, len(self.moves)) for x in (self.moves.keys(), self.moves.values()))
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], np.concatenate([self.values, values])[order]
+        self.moves = {}
+
     def _move(self, at: int, byte: int, forget: bool = True) -> int:
+        """A move that is not among the new ones."""
+        key = at << 8 | byte
+        if len(self.keys):
+            i = int(np.searchsorted(self.keys, key))
+            if i < len(self.keys) and self.keys[i] == key:
+                return int(self.values[i])
         state = self.states[at]
-        if forget and len(self.moves) >= self.most:  # in the midst of a piece too, however long it is
+        if forget and self.made() >= self.most:  # in the midst of a piece too, however long it is
             self._forget()
             at = self._number(state)
         state, finished = self.step(state, byte)
@@ -165,10 +186,10 @@ class Transducer:
             place -= size[token]
         return out
 
-    def _settled(self, finished: list[int], state: tuple) -> list[int]:
+    def _settled(self, finished: list[int], state: bytes) -> list[int]:
         """The tokens that all hypotheses share, the first first. Each hypothesis
         began where its last token ended, as many bytes ago as its node is deep."""
-        paths = [self._path(finished, len(finished) - self.depth[node])[::-1] for _, node in state]
+        paths = [self._path(finished, len(finished) - self.depth[h & 0xFFFFFFFF])[::-1] for h in array("q", state)]
         out = []
         for tokens in zip(*paths):
             if tokens.count(tokens[0]) < len(tokens):
@@ -182,6 +203,8 @@ class Transducer:
         whole = self.ids.get(data)
         if whole is not None:
             return (whole,)
+        if len(self.moves) > NEW:
+            self._settle_moves()
         move, moves, finished, out = 0, self.moves, [], []
         for lo in range(0, len(data), LOOKAHEAD):
             for b in data[lo : lo + LOOKAHEAD] if lo or len(data) > LOOKAHEAD else data:
@@ -216,7 +239,7 @@ class Transducer:
                     out[k] = self.encode(p)
         if not todo:
             return out
-        if len(self.moves) >= self.most:
+        if self.made() >= self.most:
             self._forget()
         todo.sort(key=lambda k: -len(pieces[k]))
         size = np.array([len(pieces[k]) for k in todo])
@@ -228,7 +251,7 @@ class Transducer:
             need, which = np.unique(state[:c] << 8 | grid[j, :c], return_inverse=True)
             move = self._look(need)[which]
             state[:c], finished[j, :c] = move & 0xFFFFFF, (move >> 24) - 1
-            if len(self.moves) > 4 * self.most:  # texts made to need them: one by one
+            if self.made() > 4 * self.most:  # texts made to need them: one by one
                 for k in todo:
                     out[k] = self.encode(pieces[k])
                 return out
@@ -251,10 +274,8 @@ class Transducer:
         flat, end = flat.tolist(), end.tolist()
         for k, lo, hi in zip(todo, [0, *end], end):
             out[k] = tuple(flat[lo:hi])
-        if len(self.moves) > 1.1 * len(self.keys):
-            keys, values = (np.fromiter(x, np.int64, len(self.moves)) for x in (self.moves.keys(), self.moves.values()))
-            order = np.argsort(keys)
-            self.keys, self.values = keys[order], values[order]
+        if len(self.moves) > NEW:
+            self._settle_moves()
         return out
 
     def _look(self, need: np.ndarray) -> np.ndarray:
@@ -353,7 +374,7 @@ class Coder:
     by twice ``most`` remembered pieces of up to 64 characters: when ``most`` are
     held, they become the old ones; what is asked for again comes back."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, most: int = 150_000):
+    def __init__(self, tokens: list[bytes], pattern: str, most: int = 80_000):
         import re
 
         import regex
@@ -475,7 +496,7 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tru
     def run(batches):
         import pyarrow as pa
 
-        for part, _, _ in pieces(batches, "text", 4 << 20):
+        for part, _, _ in pieces(batches, "text", 2 << 20):
             coder, decoder, names = coder_of(sent.value, pattern)
             doc, texts = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "text"))
             found = coder.encode_all([t or "" for t in texts.to_pylist()])
@@ -491,6 +512,8 @@ def tokenize(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Tru
             if with_ids:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            del found, out
+            pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
