@@ -12,6 +12,7 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import threading
@@ -20,6 +21,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +59,6 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     ``release`` deletes the table; what is left goes when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gneiss/{label}-{uuid.uuid4().hex}"
-    if not _SCRATCH:
-        atexit.register(drop_scratch)
     _SCRATCH[path] = spark.sparkContext._jsc.hadoopConfiguration(), threading.get_ident()
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -105,9 +105,10 @@ def drop_scratch() -> None:
         _delete(path)
 
 
-def spread(df: DataFrame, column: str = "text") -> DataFrame:
-    """Null texts become empty ones."""
-    return df.withColumn(column, F.coalesce(F.col(column), F.lit("")))
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Py4JError, OSError):  # Spark may be gone already
+        drop_scratch()
 
 
 def label_bucket(doc_id) -> F.Column:
