@@ -59,9 +59,14 @@ def _seconds(value: dt.datetime) -> str:
 
 
 def rows(df: DataFrame) -> list[dict]:
-    """All rows of a bounded frame; of equal column names the last one stands."""
-    kinds = [(f.name, f.dataType) for f in df.schema.fields]
-    return [{name: encode(v, kind) for (name, kind), v in zip(kinds, row)} for row in df.collect()]
+    """All rows of a bounded frame."""
+    return named(df.collect(), df.schema)
+
+
+def named(found: list, schema: T.StructType) -> list[dict]:
+    """Rows by column name; of equal column names the last one stands."""
+    kinds = [(f.name, f.dataType) for f in schema.fields]
+    return [{name: encode(v, kind) for (name, kind), v in zip(kinds, row)} for row in found]
 
 
 def affected(df: DataFrame) -> int | None:

@@ -15,6 +15,7 @@ from gneiss.operators import catalog
 from gneiss.plans import explain, rewrite
 from gneiss.plans.gate import Gate, StatementKind
 from gneiss.plans.paging import DEEP, DEEP_SETTING, Pager
+from gneiss.plans.walks import RUN, Stored, Walks
 
 #: Sessions of other databases that are kept for further requests.
 SESSIONS = 16
@@ -35,6 +36,7 @@ class Gateway:
         self.config = (config or GatewayConfig()).validate()
         self.gate = Gate(spark)
         self.sessions: OrderedDict[str, SparkSession] = OrderedDict()
+        self.walks = Walks()
         if int(spark.conf.get(DEEP_SETTING)) > DEEP:
             spark.conf.set(DEEP_SETTING, DEEP)
 
@@ -81,6 +83,7 @@ class Gateway:
     def _writable(self) -> None:
         if self.config.read_only:
             raise ReadOnlyViolation("read-only mode")
+        self.walks.clear()  # their pages would show what was there before
 
     # Catalog.
 
@@ -137,13 +140,46 @@ class Gateway:
 
     def read_query(self, query: str, database: str | None = None, cursor: str | None = None, args: dict | None = None) -> dict:
         """Rows of a SELECT, a page at a time; of SHOW, DESCRIBE, EXPLAIN and USE
-        all rows, whatever the cursor. Pages hang together under a total ORDER BY."""
+        all rows, whatever the cursor. Pages hang together under a total ORDER BY.
+        A traversal of more than ``RUN`` pages is stored (``plans/walks.py``) and
+        then shows what was there at that time."""
         pager = Pager(cursor, self.config.page_size)
-        df, kind = self.frame(query, database, args)
-        if kind is StatementKind.NON_SELECT:
-            return {"rows": self._timed(lambda: encode.rows(df), query)}
-        found, after = pager.finish(self._timed(lambda: encode.rows(pager.window(df)), query))
-        return {"rows": found} | ({"nextCursor": after} if after else {})
+        key = self.walks.key(query, resolve_database(database) or self.active(), args)
+        walk, found = self.walks.take(key, pager.start), None
+        try:
+            if walk.stored is not None:
+                found = self._stored_page(walk, pager, query)
+            if found is None:
+                df, kind = self.frame(query, database, args)
+                if kind is StatementKind.NON_SELECT:
+                    return {"rows": self._timed(lambda: encode.rows(df), query)}
+                if walk.pages >= RUN and not walk.runs:
+                    found = self._stored_page(walk, pager, query, df)
+            if found is None:
+                found = self._timed(lambda: encode.rows(pager.window(df)), query)
+                walk.pages += 1
+        except BaseException:
+            walk.drop()
+            raise
+        found, after = pager.finish(found)
+        if after is None:
+            walk.drop()
+            return {"rows": found}
+        self.walks.put(key, walk, pager.start + pager.size)
+        return {"rows": found, "nextCursor": after}
+
+    def _stored_page(self, walk, pager: Pager, query: str, df: DataFrame | None = None) -> list | None:
+        """A page from what is stored, of ``df`` where that is still to be done.
+        None where it can't be (types that files don't hold, no shared folder, no
+        time, files that are gone): such a traversal runs its pages."""
+        try:
+            if df is not None:
+                walk.stored = self._timed(lambda: Stored(df), query)
+            return self._timed(lambda: walk.stored.rows(pager.start, pager.limit), query)
+        except SqlError:
+            walk.runs = True
+            walk.drop()
+            return None
 
     def write_query(self, query: str, database: str | None = None, args: dict | None = None) -> dict:
         """Any statement; the rows it returns, mostly none, and where rows were

@@ -388,3 +388,52 @@ def test_dates_before_1970_keep_their_fraction():
     from pyspark.sql import types as T
 
     assert encode.encode(dt.datetime(1969, 1, 1, 0, 0, 0, 500), T.TimestampNTZType()) == "1969-01-01T00:00:00.0005"
+
+
+def _walk(gateway, sql, args=None):
+    """Rows of all pages, a call that gives each, and what it returned."""
+    cursor, out = None, []
+    while True:
+        page = gateway.read_query(sql, cursor=cursor, args=args)
+        out += page["rows"]
+        if (cursor := page.get("nextCursor")) is None:
+            return out
+
+
+def test_a_traversal_does_not_run_its_query_for_every_page(spark, monkeypatch):
+    from gneiss import scratch
+    from gneiss.plans import walks
+
+    monkeypatch.setattr(walks, "ROWS", 70)
+    gateway, runs = Gateway(spark, GatewayConfig(page_size=10)), []
+    monkeypatch.setattr(Gateway, "frame", lambda self, *a, frame=Gateway.frame: runs.append(a) or frame(self, *a))
+    sql = "SELECT id % 7 AS a, id AS a, id % 7 AS m, if(id % 3 = 0, NULL, id) AS n FROM range(0, 2000, 1, 8) WHERE id >= :least ORDER BY n DESC NULLS FIRST, id"
+    there = set(scratch.SCRATCH)
+    got = _walk(gateway, sql, {"least": 5})
+    assert got == encode.rows(spark.sql(sql, args={"least": 5})) and len(got) == 1995
+    assert len(runs) <= 10
+    assert set(scratch.SCRATCH) == there  # nothing stays behind
+    # Any other page is run: the same one again, and one of other arguments.
+    assert _walk(gateway, sql, {"least": 1900}) == encode.rows(spark.sql(sql, args={"least": 1900}))
+
+
+def test_a_stored_traversal_tells_the_same_and_ends_with_a_write(app, monkeypatch):
+    from gneiss.plans import walks
+
+    monkeypatch.setattr(walks, "RUN", 1)
+    gateway = Gateway(app, GatewayConfig(page_size=3, read_only=False))
+    kinds = "id, CAST(id AS DECIMAL(20,3)) / 7 AS d, TIMESTAMP '1850-01-02 03:04:05.678' AS t, TIMESTAMP_NTZ '2020-01-01 00:00:00' AS z, DATE '0999-12-31' AS y, encode('x', 'utf-8') AS b, array(id, NULL) AS l, map('k', id) AS m, named_struct('x', double('NaN')) AS s, INTERVAL '1' DAY AS i, X'00ff' AS e"
+    for extra in ("", ", NULL AS v", ", parse_json('{\"q\": [1, null]}') AS v"):  # files hold no void
+        sql = f"SELECT {kinds}{extra} FROM range(20) ORDER BY id DESC"
+        assert _walk(gateway, sql) == encode.rows(app.sql(sql))
+    gateway.write_query("CREATE TABLE app_t.walked USING parquet AS SELECT id FROM range(30)")
+    try:
+        sql, cursor = "SELECT id FROM app_t.walked ORDER BY id", None
+        for _ in range(3):
+            cursor = gateway.read_query(sql, cursor=cursor)["nextCursor"]
+        assert gateway.walks.known
+        gateway.write_query("DELETE FROM app_t.walked WHERE id = 9")
+        assert not gateway.walks.known
+        assert [r["id"] for r in gateway.read_query(sql, cursor=cursor)["rows"]] == [10, 11, 12]
+    finally:
+        gateway.write_query("DROP TABLE app_t.walked")
