@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import CRC_TABLE, LOWER, WORD, crc_sql, give_back, kept, label_bucket, materialize, pieces, table, words
+from gneiss.llm.common import CRC_TABLE, LOWER, WORD, crc_sql, give_back, kept, label_bucket, materialize, pieces, table, trim, words
 
 ORDER = 5
 _U = np.uint64
@@ -52,23 +52,24 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Table:
     """Values by 64-bit key: open addressing, looked up for arrays of keys."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray, values: np.ndarray, step: int = 100_000):
+        """No value is NaN, which marks free places; ``step`` keys at a time are put."""
         bits = max(4, int(np.ceil(np.log2(2.5 * max(1, len(keys))))))
         self.shift, self.mask = _U(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.zeros(1 << bits, _U), np.full(1 << bits, np.nan)
-        self.used = np.zeros(1 << bits, bool)
-        left = np.arange(len(keys))
+        for lo in range(0, len(keys), step):
+            self._put(keys[lo : lo + step], values[lo : lo + step])
+
+    def _put(self, keys: np.ndarray, values: np.ndarray) -> None:
         at = self._home(keys)
-        while len(left):
-            spot = at[left]
-            free = ~self.used[spot]
-            _, one = np.unique(spot[free], return_index=True)
-            put = left[free][one]
-            self.used[at[put]], self.keys[at[put]], self.values[at[put]] = True, keys[put], values[put]
-            done = np.zeros(len(keys), bool)
-            done[put] = True
-            left = left[~done[left]]
-            at[left] = (at[left] + 1) & self.mask
+        while len(keys):
+            free = np.flatnonzero(np.isnan(self.values[at]))
+            spots, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[spots], self.values[spots] = keys[put], values[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, values, at = keys[left], values[left], (at[left] + 1) & self.mask
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -76,14 +77,16 @@ class Table:
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Values; NaN where a key is not in the table."""
         at = self._home(keys)
-        out = np.where(self.keys[at] == keys, self.values[at], np.nan)
-        left = np.flatnonzero((self.keys[at] != keys) & self.used[at])
+        out, there = self.values[at], self.keys[at]
+        # Free places hold key 0, and NaN, which is what an absent key gets.
+        left = np.flatnonzero((there != keys) & ~np.isnan(out))
+        out[left] = np.nan
         at = at[left]
         while len(left):
             at = (at + 1) & self.mask
-            hit = self.used[at] & (self.keys[at] == keys[left])
-            out[left[hit]] = self.values[at[hit]]
-            on = self.used[at] & ~hit
+            found, hit = self.values[at], self.keys[at] == keys[left]
+            out[left[hit]] = found[hit]
+            on = ~hit & ~np.isnan(found)
             left, at = left[on], at[on]
         return out
 
@@ -161,8 +164,11 @@ def count(docs: DataFrame, flush: int = 1_500_000) -> DataFrame:
 
         def merged(kind):
             keys, n = (np.concatenate(x) for x in zip(*held[kind]))
+            held[kind] = []
             order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
+            keys = keys[order]
+            n = n[order]
+            del order
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             held[kind] = [(keys[first], np.add.reduceat(n, first))]
 
@@ -240,6 +246,8 @@ def fit(counts: DataFrame, chunk: int = 500_000) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        give_back()
+
         def answers(parts):
             key, n = (np.concatenate(x) for x in zip(*parts))
             key = key.view(_U)
@@ -312,9 +320,9 @@ def score(docs: DataFrame, learn: F.Column, most_words: int = 400_000, most_gram
     def run(batches):
         import pyarrow as pa
 
-        spell, known = kept(mark, lambda: _tables(*sent.value))
+        spell, known = kept(mark, lambda: _tables(sent))
         uid = TaskContext.get().partitionId() << 36
-        for part, data, off in pieces(batches, "text"):
+        for part, data, off in pieces(batches, "text", 1 << 19):
             n = len(off) - 1
             h, _, _, row = words(LOWER[data], off)
             value = known(h)
@@ -351,8 +359,15 @@ def score(docs: DataFrame, learn: F.Column, most_words: int = 400_000, most_gram
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("spelt", F.lit(0.0))).alias("score"))
 
 
-def _tables(gram: np.ndarray, value: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[Table, Table]:
-    return Table(gram, value), Table(word, np.log10(n + 0.1))
+def _tables(sent) -> tuple[Table, Table]:
+    """The tables of a worker, of a broadcast that it then holds no more."""
+    trim()
+    path = getattr(sent, "_path", None)  # none where Spark encrypts what it sends
+    gram, value, word, n = sent.load_from_path(path) if path else sent.value
+    out = Table(gram, value), Table(word, np.log10(n + 0.1))
+    del gram, value, word, n
+    trim()
+    return out
 
 
 _FIELDS = ["doc_id", "learn", "uid", "kind", "w", "n", "known", "head", "score"]

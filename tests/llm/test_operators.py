@@ -200,6 +200,23 @@ def test_ppm_fits_part_by_part(spark, odd):
     assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-9 for k in whole)
 
 
+def test_ppm_tables_take_little_more_than_they_hold():
+    import tracemalloc
+
+    keys = np.unique(np.concatenate([[0, 1], np.random.RandomState(1).randint(2, 2**62, 400_000)]).astype(np.uint64))
+    values = np.arange(len(keys)) * 1.0
+    tracemalloc.start()
+    table = ppm.Table(keys, values)
+    size, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < size + 10e6
+    assert np.array_equal(table(keys), values)
+    few = ppm.Table(keys[1:4], np.array([5.0, -1.0, 0.0]))
+    found = few(keys[:1000])
+    assert np.isnan(found[[0, *range(4, 1000)]]).all() and found[1:4].tolist() == [5, -1, 0]
+    assert np.isnan(ppm.Table(keys[:0], np.empty(0))(keys[:9])).all()
+
+
 def test_ppm_without_training(odd, empty):
     assert ppm.score(empty, F.lit(True)).count() == 0
     out = pdf(ppm.score(odd, F.lit(False)))
