@@ -51,6 +51,7 @@ class Transducer:
         self.tokens, self.most = tokens, most
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.sizes = list(map(len, tokens))
+        self.packed = np.arange(len(tokens), dtype=np.int32).tobytes()
         self.next: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
         self.depth: list[int] = [0]
@@ -227,16 +228,24 @@ class Transducer:
 
 
     def encode_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The same for many pieces: the machine takes a byte of all of them at a
-        time, and the moves that many need are looked up once."""
-        out = [(i,) if (i := self.ids.get(p)) is not None else None for p in pieces]
+        """The same for many pieces."""
+        return [tuple(array("i", b)) for b in self.pack_many(pieces)]
+
+    def _pack(self, data: bytes) -> bytes:
+        return array("i", self.encode(data)).tobytes()
+
+    def pack_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many pieces, each's as the bytes of int32: the machine takes a byte
+        of all of them at a time, and the moves that many need are looked up once."""
+        ids, packed = self.ids.get, self.packed
+        out = [packed[4 * i : 4 * i + 4] if (i := ids(p)) is not None else None for p in pieces]
         todo = []
         for k, p in enumerate(pieces):
             if out[k] is None:
                 if 0 < len(p) <= WIDE:
                     todo.append(k)
                 else:
-                    out[k] = self.encode(p)
+                    out[k] = self._pack(p)
         if not todo:
             return out
         if self.made() >= self.most:
@@ -253,7 +262,7 @@ class Transducer:
             state[:c], finished[j, :c] = move & 0xFFFFFF, (move >> 24) - 1
             if self.made() > 4 * self.most:  # texts made to need them: one by one
                 for k in todo:
-                    out[k] = self.encode(pieces[k])
+                    out[k] = self._pack(pieces[k])
                 return out
         # Back from the ends, a token of every piece at a time.
         place, live, steps, width = size.copy(), np.arange(n), [], np.array(self.sizes)
@@ -268,12 +277,12 @@ class Transducer:
         for live, _ in steps:
             count[live] += 1
         end = np.cumsum(count)
-        flat = np.empty(int(end[-1]), np.int64)
+        flat = np.empty(int(end[-1]), np.int32)
         for s, (live, token) in enumerate(steps):
             flat[end[live] - 1 - s] = token
-        flat, end = flat.tolist(), end.tolist()
+        flat, end = flat.tobytes(), (4 * end).tolist()
         for k, lo, hi in zip(todo, [0, *end], end):
-            out[k] = tuple(flat[lo:hi])
+            out[k] = flat[lo:hi]
         if len(self.moves) > NEW:
             self._settle_moves()
         return out
@@ -371,10 +380,13 @@ class Coder:
     """Texts to ids and back. ``pattern`` cuts a text; each match is encoded on
     its own. With the pattern ``SPACED`` texts are cut at spaces between two
     non-spaces first, and what stands between them is a piece. Memory is bounded
-    by twice ``most`` remembered pieces of up to 64 characters: when ``most`` are
-    held, they become the old ones; what is asked for again comes back."""
+    by twice ``most`` remembered pieces and matches of up to 64 characters, and what
+    one call adds: when ``most`` are held, they become the old ones; what is asked
+    for again comes back. A match of the pattern ``SPACED`` is its only match in
+    itself, so that pieces and matches are remembered together. Ids are bytes of
+    int32."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, most: int = 80_000):
+    def __init__(self, tokens: list[bytes], pattern: str, most: int = 160_000):
         import re
 
         import regex
@@ -383,8 +395,8 @@ class Coder:
         self.fst = Transducer(tokens)
         self.find = regex.compile(pattern).findall
         self.most = most
-        self.known: dict[str, tuple[int, ...]] = {}  # by match, a space before spaced ones
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # by piece or match, a space before spaced ones
+        self.old: dict[str, bytes] = {}
         self.blurred = re.compile(r" [\s\x85\xa0]| \Z" if pattern == SPACED else "").search
 
     def _cut(self, piece: str) -> list[str]:
@@ -402,26 +414,50 @@ class Coder:
             return [*self._cut(piece[: len(piece) - len(bare)] + line), end, *self._cut(rest)]
         return self.find(piece)
 
-    def _of(self, matches: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each of the matches, which are different."""
-        known, old = self.known.get, self.old.get
-        out = [known(m) or old(m) for m in matches]
-        new = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(new, self.fst.encode_many([matches[k].encode() for k in new])):
-            out[k] = ids
+    def _remember(self, texts: list[str], ids: list[bytes]) -> None:
         if len(self.known) >= self.most:
             self.old, self.known = self.known, {}
-        self.known.update((m, ids) for m, ids in zip(matches, out) if len(m) <= 64)
+        self.known.update((t, i) for t, i in zip(texts, ids) if len(t) <= 64)
+
+    def _find(self, texts: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What is remembered of each, and the places of the others."""
+        known, old = self.known.get, self.old.get
+        out = [known(t) for t in texts]
+        new, back = [], []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            ids = out[k] = old(texts[k])
+            (new if ids is None else back).append(k)
+        self.known.update((texts[k], out[k]) for k in back)
+        return out, new
+
+    def _of(self, matches: list[str]) -> list[bytes]:
+        """Ids of each of the matches, which are different."""
+        out, new = self._find(matches)
+        texts = [matches[k] for k in new]
+        found = self.fst.pack_many([t.encode() for t in texts])
+        for k, ids in zip(new, found):
+            out[k] = ids
+        self._remember(texts, found)
         return out
 
-    def pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+    def pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, which are led by a space or not."""
         out = []
         for at in range(0, len(pieces), 40_000):
-            cut = list(map(self._cut, pieces[at : at + 40_000]))
+            some = pieces[at : at + 40_000]
+            got, new = self._find(some)
+            cut = [self._cut(some[k]) for k in new]
             matches = list(dict.fromkeys(chain.from_iterable(cut)))
             ids = dict(zip(matches, self._of(matches)))
-            out += [ids[c[0]] if len(c) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, c))) for c in cut]
+            more = []
+            for k, c in zip(new, cut):
+                if len(c) == 1:
+                    got[k] = ids[c[0]]
+                else:
+                    got[k] = b"".join(map(ids.__getitem__, c))
+                    more.append(k)
+            self._remember([some[k] for k in more], [got[k] for k in more])
+            out += got
         return out
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
@@ -433,8 +469,7 @@ class Coder:
         plain = []
         for k, text in enumerate(texts):
             if text and self.blurred(text):
-                found = self.pieces_of_matches(text)
-                out[k] = np.fromiter(found, np.int32)
+                out[k] = np.frombuffer(self.pieces_of_matches(text), np.int32)
             elif text:
                 plain.append(k)
         if not plain:
@@ -447,8 +482,8 @@ class Coder:
         index[begin[:-1]] = len(words) + np.arange(len(plain))
         ids = self.pieces([" " + w for w in words] + [words[i] for i in coded.indices.take(pa.array(begin[:-1])).to_pylist()])
         del lists, coded, words
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
         start, own = np.cumsum(size, dtype=np.int64) - size, size[index]
         upto = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
         place = np.repeat(start[index] - upto[:-1], own)
@@ -458,12 +493,12 @@ class Coder:
             out[k] = every[lo:hi]
         return out
 
-    def pieces_of_matches(self, text: str):
+    def pieces_of_matches(self, text: str) -> bytes:
         """The ids of a text that only the pattern can cut, match by match."""
         found = self.find(text)
         different = list(dict.fromkeys(found))
         ids = dict(zip(different, self._of(different)))
-        return chain.from_iterable(map(ids.__getitem__, found))
+        return b"".join(map(ids.__getitem__, found))
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()

@@ -546,6 +546,20 @@ def coder():
     return tokens, bpe.Coder(tokens, P.PATTERN, most=50), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
 
 
+def test_bpe_cuts_a_remembered_piece_no_more(coder, monkeypatch):
+    tokens, _, theirs = coder
+    coder, cut = bpe.Coder(tokens, bpe.SPACED), []
+    monkeypatch.setattr(bpe.Coder, "_cut", lambda self, piece, old=bpe.Coder._cut: cut.append(piece) or old(self, piece))
+    text = "The word's, ends.\nHere it's ''so 12 (x3)...\t\nand done"
+    assert coder.encode(text) == coder.encode(text) == theirs.encode_ordinary(text)
+    assert len(cut) == len(set(cut)) > 5
+    # Pieces and matches are remembered together: a match is its only match.
+    rng = random.Random(5)
+    for _ in range(3000):
+        found = coder.find("".join(rng.choice("ab1\u00b2\u00e9' .,\t\n\u00a0slrev\u0301") for _ in range(12)))
+        assert all(coder.find(m) == [m] == coder._cut(m) for m in found)
+
+
 def test_bpe_equals_the_library(coder):
     tokens, own, library = coder
     r = random.Random(2)
