@@ -7,6 +7,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import weakref
 import zlib
 
 import numpy as np
@@ -617,6 +619,51 @@ def test_what_is_kept_goes_when_nobody_asks(monkeypatch):
     assert common.kept("b", lambda: "b") == "b" and list(common._KEPT) == ["b"]
 
 
+def test_what_is_forgotten_is_freed_and_given_back(monkeypatch):
+    class Large:
+        pass
+
+    freed = []
+    monkeypatch.setattr(common, "IDLE", 0.2)
+    ref = weakref.ref(common.kept("large", Large))
+    monkeypatch.setattr(common, "trim", lambda: freed.append(ref() is None))
+    for _ in range(100):
+        time.sleep(0.05)
+        if freed:
+            break
+    assert freed == [True]
+
+
+def test_a_task_gives_back_at_its_end(monkeypatch):
+    import pyarrow as pa
+
+    given = []
+    monkeypatch.setattr(common, "trim", lambda: given.append(1))
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a", "bc", None])], ["text"]), pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"])]
+    assert [part.num_rows for part, _, _ in common.pieces(iter(batches), "text", 1)] == [1, 1, 1] and given == [1]
+    assert list(common.pieces(iter([]), "text")) == [] and given == [1, 1]
+
+
+def test_little_is_written_in_few_files(spark, tmp_path):
+    spark.range(5000).selectExpr("id", "id % 1000 as k").write.parquet(str(tmp_path / "in"))
+    base = spark.read.parquet(str(tmp_path / "in"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = common.materialize(base.groupBy("k").agg(F.sum("id").alias("s")))
+        # What reads much for so many partitions is written as it is.
+        large = spark.range(1 << 32)
+        assert common._dealt(large) is large
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = len(spark.read.parquet(out._gneiss_path).inputFiles())
+    assert files <= 2 * spark.sparkContext.defaultParallelism and out.count() == 1000
+    assert {(r.k, r.s) for r in out.collect()} == {(k, 5 * k + 10000) for k in range(1000)}
+    common.release(out)
+
+
 def test_streaming_decode(coder):
     tokens, own, _ = coder
     decoder, t = bpe.StreamDecoder(tokens), "naïve 中文 😀 ß" * 20
